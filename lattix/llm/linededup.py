@@ -9,6 +9,7 @@ from lattix.llm.shared import WORD, stash
 
 #: A run is deleted where it repeats if it has so many words.
 MIN_WORDS = 50
+#: What lines are trimmed of.
 SPACE = " \t\n\x0b\x0c\r"
 KEY = ["id", "th"]
 
@@ -24,9 +25,9 @@ def _ranked(keys: DataFrame, names: list[str], out: str) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(id, th, start, length)``: runs of lines of ``docs(id, th, lines)`` that an earlier place of the corpus has too.
+    """``(id, th, start, length, numbers)``: runs of lines of ``docs(id, th, lines)`` that an earlier place of the corpus has too.
 
-    ``lines`` are the trimmed lines with a word, ``(id, th)`` names and orders the documents. Ranks of blocks of 1, 2,
+    ``lines`` are the trimmed lines with a word and their line numbers, ``(id, th)`` names and orders the documents. Ranks of blocks of 1, 2,
     4, ... lines come by prefix doubling: the rank of a block is that of its halves' ranks sorted as pairs (a suffix
     array of the corpus cut at that length; runs end with their document). Blocks that occur once have no rank and
     drop out. All places with a common prefix of d lines are one longest-common-prefix interval, named by the ranks of
@@ -35,12 +36,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     words is the union of such pieces, so their union is that of the maximal repeated runs; a line has a word at
     least, so a piece has no more than ``min_words`` lines.
     """
-    lines = docs.select("id", "th", F.posexplode("lines").alias("at", "line"))
-    lines = stash(lines.select("id", "th", "at", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit("second")).alias("h2"), F.regexp_count("line", F.lit(WORD)).alias("w")), "lines")
+    lines = docs.select("id", "th", F.posexplode("lines").alias("at", "x")).select("id", "th", "at", "x.ln", "x.line")
+    lines = stash(lines.select("id", "th", "at", "ln", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit("second")).alias("h2"), F.regexp_count("line", F.lit(WORD)).alias("w")), "lines")
     live = lines.join(_ranked(lines, ["h1", "h2"], "r0"), ["h1", "h2"])
     doc = Window.partitionBy(*KEY)
     live = live.repartition(*KEY).dropDuplicates([*KEY, "at"])  # repeated rows; the windows reuse this shuffle
-    live = live.select("id", "th", "at", "w", "r0", (F.col("at") - F.row_number().over(doc.orderBy("at"))).alias("run"))
+    live = live.select("id", "th", "at", "ln", "w", "r0", (F.col("at") - F.row_number().over(doc.orderBy("at"))).alias("run"))
     run = Window.partitionBy(*KEY, "run")
     live = live.withColumn("words", F.sum("w").over(run)).where(F.col("words") >= min_words).drop("words")
     live = stash(live.withColumn("cum", F.sum("w").over(run.orderBy("at"))), "live")
@@ -57,7 +58,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ranks = _ranked(paired, [f"r{k - 1}", "next"], f"r{k}")
         live = stash(paired.join(ranks, [f"r{k - 1}", "next"], "left").drop("next"), "live")
 
-    cell = F.struct("cum", "w", *(f"r{k}" for k in range(levels)))
+    cell = F.struct("cum", "w", "ln", *(f"r{k}" for k in range(levels)))
     seen = live.select("id", "th", "at", "cum", "w", fits.alias("f_ok"), (F.sum("w").over(behind) >= min_words).alias("b_ok"), F.collect_list(cell).over(ahead).alias("fw"), F.collect_list(cell).over(behind).alias("bw"))
     seen = seen.withColumn("f_n", F.size(F.filter("fw", lambda x: x["cum"] < need)) + 1).withColumn("b_n", F.size(F.filter("bw", lambda x: x["cum"] - x["w"] > F.col("cum") - min_words)) + 1)
 
@@ -72,12 +73,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     fl, fr = piece(F.col("fw"), F.lit(1), F.col("f_n"))
     bl, br = piece(F.col("bw"), F.size("bw") - F.col("b_n") + 1, F.col("b_n"))
-    pieces = seen.where("f_ok").select("id", "th", F.col("at").alias("start"), F.col("f_n").alias("length"), fl.alias("left"), fr.alias("right"))
-    pieces = pieces.unionByName(seen.where("b_ok").select("id", "th", (F.col("at") - F.col("b_n") + 1).alias("start"), F.col("b_n").alias("length"), bl.alias("left"), br.alias("right")))
+    pieces = seen.where("f_ok").select("id", "th", F.col("at").alias("start"), F.col("f_n").alias("length"), fl.alias("left"), fr.alias("right"), F.slice("fw", 1, F.col("f_n"))["ln"].alias("numbers"))
+    pieces = pieces.unionByName(seen.where("b_ok").select("id", "th", (F.col("at") - F.col("b_n") + 1).alias("start"), F.col("b_n").alias("length"), bl.alias("left"), br.alias("right"), F.slice("bw", -F.col("b_n"), F.col("b_n"))["ln"].alias("numbers")))
     pieces = stash(pieces.where("left is not null and right is not null"), "pieces")
     name, place = ["length", "left", "right"], F.struct("id", "th", "start")
     first = pieces.groupBy(*name).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    return pieces.join(first, name).where(~place.eqNullSafe(F.col("first"))).select("id", "th", "start", "length")
+    return pieces.join(first, name).where(~place.eqNullSafe(F.col("first"))).select("id", "th", "start", "length", "numbers")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -91,21 +92,19 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     two added ones are reserved. An empty table gives an empty result.
     """
     keyed = docs.withColumn("__th", F.xxhash64(F.col(text)))
-    cut = F.transform(F.split(F.col(text), "\n"), lambda x: F.btrim(x, F.lit(SPACE)))
-    slim = keyed.select(F.col(id).alias("id"), F.col("__th").alias("th"), F.filter(cut, lambda x: x != "").alias("lines"))
+    cut = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("ln"), F.btrim(x, F.lit(SPACE)).alias("line")))
+    slim = keyed.select(F.col(id).alias("id"), F.col("__th").alias("th"), F.filter(cut, lambda x: x["line"] != "").alias("lines"))
     runs = repeated_runs(slim.where(F.size("lines") > 0), min_words)
-    gone = runs.select("id", "th", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")).distinct()
-    gone = gone.groupBy("id", "th").agg(F.sort_array(F.collect_list("at")).alias("__gone"))
-    joined = keyed.join(gone, keyed[id].eqNullSafe(gone["id"]) & (keyed["__th"] == gone["th"]), "left")
-    lines = F.split(keyed[text], "\n")
-    every = F.sequence(F.lit(0), F.size(lines) - 1)
-    filled = F.filter(every, lambda i: F.get(lines, i).rlike(WORD))
-    removed = F.when(F.col("__gone").isNotNull(), F.transform("__gone", lambda j: F.get(filled, j))).otherwise(F.array().cast("array<int>"))
-    joined = joined.select(*(keyed[c] for c in keyed.columns), removed.alias("__removed"))
-    left = F.array_join(F.transform(F.array_except(every, F.col("__removed")), lambda i: F.get(lines, i)), "\n")
-    out = F.when(F.size("__removed") > 0, left).otherwise(keyed[text])
-    count = F.when(keyed[text].isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return joined.select(*(out.alias(c) if c == text else keyed[c] for c in docs.columns), count.alias("n_lines"), F.col("__removed").alias("removed"))
+    gone = runs.select("id", "th", F.explode("numbers").alias("ln")).distinct()
+    gone = gone.groupBy("id", "th").agg(F.sort_array(F.collect_list("ln")).alias("__gone"))
+    joined = keyed.join(gone, keyed[id].eqNullSafe(gone["id"]) & (keyed["__th"] == gone["th"]), "left").select(*(keyed[c] for c in keyed.columns), "__gone")
+    # Exploded from an array of one, so that the split below is made once for a text, not once for each use.
+    joined = joined.withColumn("__lines", F.explode(F.array(F.split(F.col(text), "\n"))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    left = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
+    out = F.when(F.col("__gone").isNotNull(), left).otherwise(F.col(text))
+    count = F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long")
+    return joined.select(*(out.alias(c) if c == text else F.col(c) for c in docs.columns), count.alias("n_lines"), F.coalesce("__gone", F.array().cast("array<int>")).alias("removed"))
 
 
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
