@@ -77,7 +77,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pieces = pieces.unionByName(seen.where("b_ok").select("id", "th", (F.col("at") - F.col("b_n") + 1).alias("start"), F.col("b_n").alias("length"), bl.alias("left"), br.alias("right"), F.slice("bw", -F.col("b_n"), F.col("b_n"))["ln"].alias("numbers")))
     pieces = stash(pieces.where("left is not null and right is not null"), "pieces")
     name, place = ["length", "left", "right"], F.struct("id", "th", "start")
+    # Written first: beside a plain table, Spark can split the other side where many places share an interval.
     first = pieces.groupBy(*name).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    first = stash(first, "intervals")
     return pieces.join(first, name).where(~place.eqNullSafe(F.col("first"))).select("id", "th", "start", "length", "numbers")
 
 
