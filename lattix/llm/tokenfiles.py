@@ -34,7 +34,8 @@ def train_dictionary(docs: DataFrame, path: str, end: int, width: int) -> bytes:
 
     ``SAMPLE_DOCS`` whole documents of ``SAMPLE_CHARS`` characters at most, so 8 MB of text at most come to the driver.
     """
-    short = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "text")
+    thin = max(1, docs.count() // (4 * SAMPLE_DOCS))  # about four times as many are looked at, by hashed id
+    short = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(thin)) == 0).where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "text")
     texts = [r["text"] for r in short.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE_DOCS).collect()]
     tail = np.array([end], "<u4").tobytes()
     samples = [_bytes(x + tail, width) for x in encoder(path).encode_many(texts)]
@@ -93,7 +94,7 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end: int = 2
 
     ``to``/dictionary: one row, the hash and bytes of the shared dictionary. ``to``/shards: blocks of whole documents,
     each a frame of its own, with ids, offsets and token counts of its documents; their order is (shard, block).
-    ``to``/manifest: the tokens before each shard. Spark commits the files, so tasks that are run again leave no double.
+    ``to``/manifest: the tokens before each block. Spark commits the files, so tasks that are run again leave no double.
     Null ids come first, equal ids in the order of their texts' hashes; null texts are empty: the end id alone. Ids are
     longs. Other columns are ignored. An empty table writes no blocks.
     """
@@ -105,9 +106,12 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end: int = 2
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc()]
     ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(_writer(path, end, width, raw), _BLOCKS).write.option("parquet.page.size", 1 << 16).parquet(f"{to}/shards")
-    per_shard = spark.read.schema(_BLOCKS).parquet(f"{to}/shards").groupBy("shard").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"))
+    index = spark.read.schema(_BLOCKS).parquet(f"{to}/shards").select("shard", "block", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("own"))
+    shards = index.groupBy("shard").agg(F.sum("own").alias("tokens"))
     # One row for each shard, whose number is that of the partitions.
-    per_shard.select("shard", (F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")).alias("before")).write.parquet(f"{to}/manifest")
+    shards = shards.select("shard", (F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")).alias("ahead"))
+    within = F.sum("own").over(Window.partitionBy("shard").orderBy("block")) - F.col("own")
+    index.withColumn("within", within).join(shards, "shard").select("shard", "block", (F.col("ahead") + F.col("within")).alias("before")).write.parquet(f"{to}/manifest")
 
 
 def load_dictionary(spark: SparkSession, to: str) -> bytes:
@@ -153,10 +157,7 @@ def read_tokens(spark: SparkSession, to: str, ids: list[int] | None = None) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][k] for k in take], pa.int64()), pa.array([int(starts[k]) for k in take], pa.int64()), pa.array([row["n_tokens"][k] for k in take], pa.int64()), pa.array([_opened(row["payload"], row["offsets"], k, width, unzip) for k in take], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     blocks = spark.read.schema(_BLOCKS).parquet(f"{to}/shards")
-    own = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
-    index = blocks.select("shard", "block", own.alias("own"))
-    index = index.select("shard", "block", (F.sum("own").over(Window.partitionBy("shard").orderBy("block")) - F.col("own")).alias("ahead"))
-    index = index.join(spark.read.parquet(f"{to}/manifest"), "shard").select("shard", "block", (F.col("ahead") + F.col("before")).alias("before"))
+    index = spark.read.schema("shard int, block int, before long").parquet(f"{to}/manifest")
     if wanted is not None:
         hit = F.lit(False)
         for i in sorted(x for x in wanted if x is not None):
