@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lattix.llm.shared import stash
 
 #: Vectors of one tree, queries of one search task, entries of a leaf page and of an inner page.
-TREE, QUERIES, PAGE, FAN = 8192, 512, 128, 16
+TREE, QUERIES, PAGE, FAN = 4096, 512, 1024, 8
 #: Bounds are loosened by this share, so that rounding never hides a vector.
 LOOSE = 1e-9
 
@@ -28,13 +28,22 @@ class MTree:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, page: int = PAGE, fan: int = FAN):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], rows[order]
+        self.ids, rows = ids[order], rows[order]
+        # Sums of products under 2 ** 53 are exact in double precision, whose products are much faster.
+        largest = float(np.abs(rows).max(initial=0))
+        self.rows = rows.astype(np.float64) if largest * largest * rows.shape[1] < 2**52 else rows
+        self.limit = 2**52 / max(largest * rows.shape[1], 1.0)
         square = np.einsum("ij,ij->i", self.rows, self.rows).astype(np.float64)
         self.most = square.max(initial=0.0)
-        self.points = np.column_stack([self.rows.astype(np.float64), np.sqrt(self.most - square)])
+        self.points = np.column_stack([rows.astype(np.float64), np.sqrt(self.most - square)])
+        self.plain = rows
         self.page, self.fan = page, fan
         self.rng = np.random.default_rng(len(ids))
+        self.paged: list[np.ndarray] = []
+        self.laid = 0
         self.root = self._build(np.arange(len(ids)), None)
+        order = np.concatenate(self.paged)  # a page's rows lie together
+        self.ids, self.rows, self.plain = self.ids[order], self.rows[order], self.plain[order]
 
     def _build(self, members: np.ndarray, parent: np.ndarray | None) -> dict:
         points = self.points[members]
@@ -43,7 +52,9 @@ class MTree:
         node = {"pivot": pivot, "radius": far.max(initial=0.0), "up": 0.0 if parent is None else float(np.linalg.norm(pivot - parent))}
         if len(members) <= self.page or node["radius"] == 0.0:
             by = np.argsort(far, kind="stable")
-            return node | {"members": members[by], "far": far[by]}
+            self.paged.append(members[by])
+            at, self.laid = self.laid, self.laid + len(members)
+            return node | {"page": (at, self.laid), "far": far[by]}
         seeds = points[self.rng.choice(len(members), min(self.fan, len(members)), replace=False)]
         nearest = np.argmin((seeds**2).sum(1)[None, :] - 2 * points @ seeds.T, axis=1)
         parts = [members[nearest == k] for k in np.unique(nearest)]
@@ -58,6 +69,8 @@ class MTree:
         Pages wait in a heap by the least distance they can hold. An entry's distance is not computed if the stored
         distances show by the triangle inequality that it is beyond the k-th score.
         """
+        rows = self.rows if np.abs(query).max(initial=0) < self.limit else self.plain
+        asked = query.astype(rows.dtype)
         base = float(query @ query) + self.most
         point = np.append(query.astype(np.float64), 0.0)
         best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -77,12 +90,12 @@ class MTree:
                         heapq.heappush(heap, (low, tick, d, node["children"][i]))
                 continue
             a, b = (np.searchsorted(node["far"], here - reach, "left"), np.searchsorted(node["far"], here + reach, "right")) if reach < np.inf else (0, len(node["far"]))
-            members = node["members"][a:b]
-            scores = self.rows[members] @ query
+            scores = (rows[node["page"][0] : node["page"][1]][a:b] @ asked).astype(np.int64)
             if len(best) >= k:
-                good = scores >= best[k - 1]
-                members, scores = members[good], scores[good]
-            ids = self.ids[members]
+                good = np.flatnonzero(scores >= best[k - 1])
+                ids, scores = self.ids[node["page"][0] + a + good], scores[good]
+            else:
+                ids = self.ids[node["page"][0] + a : node["page"][0] + b]
             if (own := ids == query_id).any():
                 ids, scores = ids[~own], scores[~own]
             if len(ids):
@@ -129,7 +142,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """
     trees = stash(_blocks(vectors, TREE, ""), "trees")
     asked = stash(_blocks(queries, QUERIES, "q_"), "queries")
-    count = max(1, trees.count())
+    count = 4 * max(1, trees.count())  # few trees share a task
     parts = trees.groupBy("width").agg((F.max("block") + 1).alias("parts")).withColumnRenamed("width", "p_width")
     sent = asked.join(parts, F.col("q_width") == F.col("p_width")).withColumn("q_tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     sent = sent.repartition(count, "q_width", "q_tree")
