@@ -1,10 +1,589 @@
-"""Registered queries of the map-analysis operators and their SQL."""
+"""Registered queries of the map-analysis operators and their SQL. Maps are 4 x 4: the embeddings of id 0 to 15."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from lattix.functions import geometry, kernels, transforms, vectors
+from lattix.operators import bmu, clusters, codebook, graphs, grid, linalg, project, train
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+ROWS = COLS = 4
+#: Decimals of results, which sums in another order must not change.
+DIGITS = 6
+
+
+class Tables:
+    """The inputs that queries share."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    @property
+    def data(self) -> DataFrame:
+        return codebook.vectors(self.embeddings)
+
+    @property
+    def map(self) -> DataFrame:
+        return codebook.from_rows(self.embeddings, ROWS, COLS)
+
+    @property
+    def bmus(self) -> DataFrame:
+        return bmu.assign(codebook.vectors(self.embeddings, "vec_id", "embedding", "label"), self.map)
+
+    @property
+    def umatrix(self) -> DataFrame:
+        return grid.umatrix(self.map, ROWS, COLS)
+
+    @property
+    def edges(self) -> DataFrame:
+        return grid.edges(self.map, ROWS, COLS, False, grid.FOUR)
+
+    @property
+    def short(self) -> DataFrame:
+        """The first 12 dimensions, four points of three."""
+        return self.data.select("id", F.slice("v", 1, 12).alias("v"))
+
+    @property
+    def walk(self) -> DataFrame:
+        """Events as states on the grid: by value along i, by hour along j."""
+        i, j = F.least(F.floor(F.col("value") / 125), F.lit(3)).cast("int"), F.floor(F.hour("ts") / 6).cast("int")
+        return self.events.select("user_id", "ts", "event_id", i.alias("i"), j.alias("j"), (i * 4 + j).alias("nid"))
+
+    @property
+    def labels(self) -> DataFrame:
+        return self.map.select("nid", F.col("i").alias("label"))
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to ``DIGITS`` decimals, without a negative zero."""
+    return df.select(*((F.round(c, DIGITS) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        own = name or f.__name__
+        QUERIES[own] = lambda spark, sf_dir: rounded(f(Tables(spark, sf_dir)))
+        if sql:
+            ORACLES[own] = sql.strip()
+        return f
+
+    return add
+
+
+BASE = """WITH data AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings),
+book AS (SELECT id::INTEGER AS nid, (id // 4)::INTEGER AS i, (id % 4)::INTEGER AS j, v AS w FROM data WHERE id BETWEEN 0 AND 15),
+far AS (SELECT id, label, v, nid, i, j, sqrt(list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d FROM data, book),
+bmus AS (SELECT id, any_value(label) AS label, arg_min({'nid': nid, 'i': i, 'j': j}, {'d': d, 'nid': nid}) AS b, min(d) AS qe FROM far GROUP BY id),
+steps AS (SELECT a, b FROM (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(b) WHERE a <> 0 OR b <> 0),
+toric AS (SELECT DISTINCT nid, (((i + a + 4) % 4) * 4 + (j + b + 4) % 4)::INTEGER AS other FROM book, steps),
+planar AS (SELECT DISTINCT nid, ((i + a) * 4 + j + b)::INTEGER AS other, a = 0 OR b = 0 AS straight FROM book, steps WHERE i + a BETWEEN 0 AND 3 AND j + b BETWEEN 0 AND 3),
+gaps AS (SELECT x.nid AS a, y.nid AS b, sqrt(list_sum(list_transform(list_zip(x.w, y.w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d FROM book x, book y),
+u AS (SELECT t.nid, any_value(t.nid // 4)::INTEGER AS i, any_value(t.nid % 4)::INTEGER AS j, avg(d) AS val FROM toric t JOIN gaps g ON t.nid = g.a AND t.other = g.b GROUP BY t.nid),
+edges AS (SELECT nid AS src, other AS dst, d AS w FROM planar JOIN gaps ON nid = a AND other = b WHERE straight)
+"""
+SHORT = """WITH short AS (SELECT vec_id AS id, list_transform(embedding[1:12], lambda x: x::DOUBLE) AS v FROM embeddings),
+cells AS (SELECT id, (k - 1)::INTEGER AS k, v[k] AS x FROM (SELECT id, v, unnest(range(1, 13)) AS k FROM short)),
+pairs AS (SELECT a.k AS r, b.k AS c, count(*) AS n, sum(a.x * b.x) - sum(a.x) * sum(b.x) / count(*) AS s FROM cells a JOIN cells b USING (id) GROUP BY 1, 2),
+cov AS (SELECT r, c, s / n AS val FROM pairs),
+corr AS (SELECT cov.r, cov.c, cov.val / (sqrt(x.val) * sqrt(y.val)) AS val FROM cov JOIN cov x ON x.r = x.c AND x.r = cov.r JOIN cov y ON y.r = y.c AND y.c = cov.c),
+points AS (SELECT id, a::INTEGER AS a, v[3 * a + 1:3 * a + 3] AS p FROM (SELECT id, v, unnest(range(0, 4)) AS a FROM short))
+"""
+WALK = """WITH walk AS (SELECT user_id, ts, event_id, least(floor(value / 125), 3)::INTEGER AS i, (extract(hour FROM ts) // 6)::INTEGER AS j FROM events),
+states AS (SELECT *, i * 4 + j AS nid, lead(i * 4 + j) OVER w AS dst, lead(i) OVER w - i AS di, lead(j) OVER w - j AS dj FROM walk WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+moves AS (SELECT nid AS src, dst, count(*) AS n FROM states WHERE dst IS NOT NULL GROUP BY 1, 2)
+"""
+BMU_SQL = BASE + "SELECT id, b.nid AS nid, b.i AS i, b.j AS j, round(qe, 6) AS qe FROM bmus"
+FIELD = "round(val, 6) + 0.0 AS val"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    hits = project.density(t.bmus, t.map).withColumnRenamed("val", "hits")
+    return rounded(t.umatrix.join(hits.select("nid", "hits"), "nid"))
+
+
+@query(BASE + "SELECT u.nid, u.i, u.j, round(val, 6) AS val, (SELECT count(*) FROM bmus WHERE b.nid = u.nid) AS hits FROM u")
+def map_overview(t: Tables) -> DataFrame:
+    return flagship(t.spark, t.dir)
+
+
+@query(BMU_SQL)
+def bmu_assign(t: Tables) -> DataFrame:
+    return bmu.assign(t.data, t.map)
+
+
+@query(BMU_SQL)
+def bmu_assign_arrow(t: Tables) -> DataFrame:
+    return bmu.assign_arrow(t.data, t.map)
+
+
+def _other_bmu(d: str) -> str:
+    return BASE + f"SELECT id, arg_min(nid, {{'d': d, 'nid': nid}}) AS nid, round(min(d), 6) AS qe FROM (SELECT id, nid, {d} AS d FROM data, book) GROUP BY id"
+
+
+@query(_other_bmu("1 - list_sum(list_transform(list_zip(v, w), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(w, lambda x: x * x))))"))
+def bmu_cosine(t: Tables) -> DataFrame:
+    return bmu.assign(t.data, t.map, vectors.cosine_distance).select("id", "nid", "qe")
+
+
+@query(_other_bmu("sqrt(list_sum(list_transform(list_zip(v[1:16], w[1:16]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"))
+def bmu_subpart(t: Tables) -> DataFrame:
+    cut = lambda df, c: df.withColumn(c, F.slice(c, 1, 16))
+    return bmu.assign(cut(t.data, "v"), cut(t.map, "w")).select("id", "nid", "qe")
+
+
+@query(_other_bmu("sqrt(list_sum(list_transform(list_zip(v, w, range(0, 64)), lambda p: CASE WHEN (id + p[3]) % 7 = 0 THEN 0.0 ELSE (p[1] - p[2]) * (p[1] - p[2]) END)))"))
+def bmu_masked(t: Tables) -> DataFrame:
+    masked = t.data.withColumn("v", F.transform("v", lambda x, k: F.when((F.col("id") + k) % 7 != 0, x)))
+    return bmu.assign(masked, t.map, vectors.masked_distance).select("id", "nid", "qe")
+
+
+@query(BASE + "SELECT id, rank::INTEGER AS rank, nid, round(d, 6) AS qe FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nid) AS rank FROM far) WHERE rank <= 3")
+def bmu_top3(t: Tables) -> DataFrame:
+    return bmu.nearest(t.data, t.map, 3)
+
+
+@query(BASE + "SELECT id, nid, round(d, 6) AS d FROM (SELECT *, min(d) OVER (PARTITION BY id) + stddev_pop(d) OVER (PARTITION BY id) AS most FROM far) WHERE d <= most")
+def region_per_input(t: Tables) -> DataFrame:
+    return bmu.within_spread(t.data, t.map)
+
+
+@query(BASE + "SELECT nid, round(avg(h / whole), 6) AS p FROM (SELECT nid, exp(-d * d / 4) AS h, sum(exp(-d * d / 4)) OVER (PARTITION BY id) AS whole FROM far) GROUP BY nid")
+def bmu_probability(t: Tables) -> DataFrame:
+    return bmu.probability(t.data, t.map)
+
+
+@query(BASE + "SELECT nid, i, j, (SELECT count(*) FROM bmus WHERE b.nid = book.nid) AS val FROM book")
+def hit_density(t: Tables) -> DataFrame:
+    return project.density(t.bmus, t.map)
+
+
+@query(BASE + "SELECT b.nid AS nid, arg_min(id, {'q': qe, 'id': id}) AS id, round(min(qe), 6) AS qe FROM bmus GROUP BY b.nid")
+def representative(t: Tables) -> DataFrame:
+    return project.representatives(t.bmus)
+
+
+@query(BASE + "SELECT b.nid AS nid, count(*) AS hits, round(avg(qe), 6) AS mean_qe, round(max(qe), 6) AS max_qe FROM bmus GROUP BY b.nid")
+def quantization_error(t: Tables) -> DataFrame:
+    return project.quantization_error(t.bmus)
+
+
+@query(BASE + "SELECT nid, i, j, (SELECT round(avg(label), 6) FROM bmus WHERE b.nid = book.nid) AS val FROM book")
+def data_projection(t: Tables) -> DataFrame:
+    return project.projection(t.bmus, t.map, "label")
+
+
+@query(BASE + "SELECT nid, i, j, (SELECT count(*) FROM bmus WHERE b.nid = book.nid AND label = 3) AS actives, (SELECT count(*) FROM bmus WHERE b.nid = book.nid) AS total FROM book")
+def active_map(t: Tables) -> DataFrame:
+    return project.active_map(t.bmus, t.map, F.col("label") == 3)
+
+
+@query(BASE + "SELECT b.i AS label, count(*) AS n, list_sort(list(id)) AS ids FROM bmus WHERE b.i <> 0 GROUP BY b.i")
+def cluster_members(t: Tables) -> DataFrame:
+    return project.members(t.bmus.drop("label"), t.labels)
+
+
+@query(BASE + "SELECT b.nid AS label_a, label AS label_b, count(*) AS n FROM bmus GROUP BY 1, 2")
+def co_membership(t: Tables) -> DataFrame:
+    return project.co_membership(t.bmus.select("id", "nid"), t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("nid")))
+
+
+@query(BASE + f"SELECT nid, i, j, {FIELD} FROM u")
+def umatrix_toric(t: Tables) -> DataFrame:
+    return t.umatrix
+
+
+@query(BASE + "SELECT nid, any_value(nid // 4)::INTEGER AS i, any_value(nid % 4)::INTEGER AS j, round(avg(d), 6) AS val FROM planar JOIN gaps ON nid = a AND other = b GROUP BY nid")
+def umatrix_planar(t: Tables) -> DataFrame:
+    return grid.umatrix(t.map, ROWS, COLS, False)
+
+
+@query(BASE + ", round_about AS (SELECT nid, other FROM planar UNION ALL SELECT nid, nid FROM book) SELECT x.nid, round(avg(d), 6) AS val FROM round_about x JOIN round_about y ON x.nid = y.nid AND x.other < y.other JOIN gaps ON a = x.other AND b = y.other GROUP BY x.nid")
+def umatrix_window(t: Tables) -> DataFrame:
+    return clusters.window_umatrix(t.map, ROWS, COLS)
+
+
+def _extrema(fn: str, op: str) -> str:
+    return BASE + f"SELECT nid, i, j, {FIELD} FROM u WHERE val {op} (SELECT {fn}(o.val) FROM toric JOIN u o ON toric.other = o.nid WHERE toric.nid = u.nid)"
+
+
+@query(_extrema("min", "<="))
+def local_minima(t: Tables) -> DataFrame:
+    return grid.extrema(t.umatrix, ROWS, COLS)
+
+
+@query(_extrema("max", ">="))
+def local_maxima(t: Tables) -> DataFrame:
+    return grid.extrema(t.umatrix, ROWS, COLS, least=False)
+
+
+@query(BASE + "SELECT nid, arg_min(other, {'v': o.val, 'n': other}) AS target FROM (SELECT nid, other FROM toric UNION ALL SELECT nid, nid FROM book) x JOIN u o ON x.other = o.nid GROUP BY x.nid".replace("SELECT nid, arg_min", "SELECT x.nid, arg_min"))
+def descent_basin(t: Tables) -> DataFrame:
+    return grid.basin(t.umatrix, ROWS, COLS)
+
+
+@query(BASE + "SELECT x.nid, round(sum((x.val - y.val) * a / sqrt(a * a + b * b)), 6) + 0.0 AS di, round(sum((x.val - y.val) * b / sqrt(a * a + b * b)), 6) + 0.0 AS dj FROM u x, steps, u y WHERE y.nid = ((x.i + a + 4) % 4) * 4 + (x.j + b + 4) % 4 GROUP BY x.nid")
+def vector_field(t: Tables) -> DataFrame:
+    return grid.gradient(t.umatrix, ROWS, COLS)
+
+
+LEVELS = ", cuts AS (SELECT nid, greatest(1, ceil((val - low) / (high - low) * 10 - 1e-9))::INTEGER AS first FROM u, (SELECT min(val) AS low, max(val) AS high FROM u))"
+
+
+@query(BASE + LEVELS + " SELECT unnest(range(first, 11))::INTEGER AS level, nid FROM cuts")
+def slice_cumulative(t: Tables) -> DataFrame:
+    return grid.slices(t.umatrix, 10)
+
+
+@query(BASE + LEVELS + " SELECT first AS level, nid FROM cuts")
+def slice_band(t: Tables) -> DataFrame:
+    return grid.slices(t.umatrix, 10, band=True)
+
+
+@query(BASE + f"SELECT (i + 4 * a)::INTEGER AS u, (j + 4 * b)::INTEGER AS v, nid, {FIELD} FROM u, (SELECT unnest([0, 1, 2]) AS a), (SELECT unnest([0, 1, 2]) AS b)")
+def expand(t: Tables) -> DataFrame:
+    return grid.tiled(t.umatrix, ROWS, COLS, 3)
+
+
+@query(BASE + f"SELECT (((i + 1) % 4) * 4 + (j + 2) % 4)::INTEGER AS nid, ((i + 1) % 4)::INTEGER AS i, ((j + 2) % 4)::INTEGER AS j, {FIELD} FROM u")
+def roll(t: Tables) -> DataFrame:
+    return grid.rolled(t.umatrix, ROWS, COLS, 1, 2)
+
+
+@query(BASE + "SELECT (i // 2)::INTEGER AS i, (j // 2)::INTEGER AS j, round(avg(val), 6) AS val FROM u GROUP BY 1, 2")
+def condense(t: Tables) -> DataFrame:
+    return grid.condensed(t.umatrix, COLS, 2)
+
+
+@query(BASE + ", cells AS (SELECT unnest(v) AS x, unnest(range(0, 64))::INTEGER AS dim FROM data) SELECT dim, round(min(x), 6) + 0.0 AS low, round(max(x), 6) + 0.0 AS high FROM cells GROUP BY dim")
+def init_bounds(t: Tables) -> DataFrame:
+    return codebook.bounds(t.data)
+
+
+@query()
+def random_init(t: Tables) -> DataFrame:
+    return codebook.random_init(t.data, ROWS, COLS)
+
+
+@query()
+def pca_init(t: Tables) -> DataFrame:
+    return codebook.pca_init(t.data, ROWS, COLS)
+
+
+def _batch(toric: bool) -> str:
+    di, dj = ("least(abs(a.i - b.i), 4 - abs(a.i - b.i))", "least(abs(a.j - b.j), 4 - abs(a.j - b.j))") if toric else ("(a.i - b.i)", "(a.j - b.j)")
+    return BASE + f""", h AS (SELECT a.nid AS src, b.nid AS dst, b.i, b.j, exp(-({di} * {di} + {dj} * {dj}) / 4.0) AS h FROM book a, book b),
+sums AS (SELECT b.nid AS nid, dim, sum(x) AS x, count(*) AS n FROM (SELECT b, unnest(v) AS x, unnest(range(0, 64)) AS dim FROM bmus JOIN data USING (id)) GROUP BY 1, 2),
+new AS (SELECT dst, h.i, h.j, dim, sum(h * x) / sum(h * n) AS x FROM h JOIN sums ON src = nid GROUP BY 1, 2, 3, 4)
+SELECT dst AS nid, i, j, round(sum(x), 6) + 0.0 AS total, round(sum(x * dim), 4) + 0.0 AS moment FROM new GROUP BY 1, 2, 3"""
+
+
+def _summed(book: DataFrame) -> DataFrame:
+    moment = F.aggregate(F.transform("w", lambda x, k: x * k), F.lit(0.0), lambda s, x: s + x)
+    return book.select("nid", "i", "j", vectors.total(F.col("w")).alias("total"), F.round(moment, 4).alias("moment"))
+
+
+@query(_batch(True))
+def batch_step_toric(t: Tables) -> DataFrame:
+    return _summed(train.batch_step(t.data, t.map, ROWS, COLS, 1.0))
+
+
+@query(_batch(False))
+def batch_step_planar(t: Tables) -> DataFrame:
+    return _summed(train.batch_step(t.data, t.map, ROWS, COLS, 1.0, toric=False))
+
+
+@query()
+def batch_train(t: Tables) -> DataFrame:
+    return train.batch_train(t.data, t.map, ROWS, COLS, [2.0, 1.5, 1.0])
+
+
+@query()
+def online_train(t: Tables) -> DataFrame:
+    return train.train_online(t.data, t.map, ROWS, COLS)
+
+
+@query()
+def growing_train(t: Tables) -> DataFrame:
+    return train.train_growing(t.data)
+
+
+@query("""WITH t AS (SELECT range AS t, (6.25 - 3.0) * exp(-10.0 * range / 100) + 3.0 AS r FROM range(0, 101))
+SELECT t, round(r, 6) AS radius, round(exp(-4.0 / (4 * r * r)), 6) AS gauss, round(sin(2 / r * pi()) / (2 / r * pi()), 6) + 0.0 AS sinc FROM t""")
+def kernel_values(t: Tables) -> DataFrame:
+    r = kernels.decay(6.25, 3.0, F.col("id"), 100)
+    return t.spark.range(101).select(F.col("id").alias("t"), r.alias("radius"), kernels.gaussian(F.lit(4.0), r).alias("gauss"), kernels.sinc(F.lit(2.0), r).alias("sinc"))
+
+
+@query(BASE + "SELECT id, label AS series, round(qe, 6) AS qe, round(max(qe) OVER w, 6) AS rho, round(qe / nullif(max(qe) OVER w, 0), 6) AS epsilon FROM bmus WINDOW w AS (PARTITION BY label ORDER BY id)")
+def rho_epsilon(t: Tables) -> DataFrame:
+    done = clusters.convergence(t.bmus.withColumn("t", F.col("id")), by="label")
+    return done.select("id", F.col("label").alias("series"), "qe", "rho", "epsilon")
+
+
+EDGE = "round(w, 6) AS w"
+
+
+@query(BASE + f"SELECT src, dst, {EDGE} FROM edges")
+def grid_edges(t: Tables) -> DataFrame:
+    return t.edges
+
+
+@query(BASE + f"SELECT src, dst, {EDGE} FROM edges WHERE src < dst")
+def unsymmetrize(t: Tables) -> DataFrame:
+    return graphs.unsymmetrized(t.edges)
+
+
+@query(BASE + f"SELECT src, dst, {EDGE} FROM edges")
+def symmetrize(t: Tables) -> DataFrame:
+    return graphs.symmetrized(graphs.unsymmetrized(t.edges))
+
+
+@query(BASE + "SELECT DISTINCT src AS node FROM edges")
+def vertices(t: Tables) -> DataFrame:
+    return graphs.vertices(t.edges)
+
+
+@query(BASE + f"SELECT src, dst, {EDGE} FROM edges ORDER BY edges.w, src, dst LIMIT 1")
+def smallest_edge(t: Tables) -> DataFrame:
+    return graphs.smallest(t.edges)
+
+
+@query(BASE + f"SELECT src, dst, {EDGE} FROM edges WHERE edges.w <= 1.35")
+def prune_edges(t: Tables) -> DataFrame:
+    return graphs.pruned(t.edges, 1.35)
+
+
+@query(BASE + "SELECT x.nid AS r, y.nid AS c, round(coalesce(edges.w, 0.0), 6) AS val FROM book x CROSS JOIN book y LEFT JOIN edges ON src = x.nid AND dst = y.nid")
+def adjacency(t: Tables) -> DataFrame:
+    return graphs.adjacency(t.edges)
+
+
+@query(BASE + f"SELECT src, dst, {EDGE} FROM edges")
+def merge_graphs(t: Tables) -> DataFrame:
+    return graphs.merged(graphs.pruned(t.edges, 1.35), t.edges)
+
+
+@query("WITH RECURSIVE " + BASE.removeprefix("WITH ") + ", reach(node, root) AS (SELECT DISTINCT src, src FROM edges WHERE w <= 1.35 UNION SELECT dst, root FROM reach JOIN edges ON src = node WHERE w <= 1.35) SELECT node, min(root) AS component FROM reach GROUP BY node")
+def components(t: Tables) -> DataFrame:
+    return graphs.components(graphs.pruned(t.edges, 1.35))
+
+
+@query("WITH RECURSIVE " + BASE.removeprefix("WITH ") + ", walks(node, dist, seen) AS (SELECT 0, 0.0::DOUBLE, [0] UNION ALL SELECT dst, dist + w, list_append(seen, dst) FROM walks JOIN edges ON src = node WHERE NOT list_contains(seen, dst) AND len(seen) < 16) SELECT node, round(min(dist), 6) AS dist FROM walks GROUP BY node")
+def shortest_lengths(t: Tables) -> DataFrame:
+    return graphs.shortest_lengths(t.edges, 0)
+
+
+@query("WITH RECURSIVE " + BASE.removeprefix("WITH ") + """, low AS (SELECT * FROM u WHERE val <= 0.99 * (SELECT max(val) FROM u)),
+near AS (SELECT DISTINCT t.nid, t.other FROM toric t JOIN low a ON t.nid = a.nid JOIN low b ON t.other = b.nid WHERE a.i = b.i OR a.j = b.j),
+reach(node, root) AS (SELECT nid, nid FROM low UNION SELECT other, root FROM reach JOIN near ON nid = node),
+comp AS (SELECT node, min(root) AS c FROM reach GROUP BY node),
+ranked AS (SELECT c, row_number() OVER (ORDER BY m, c)::INTEGER AS label FROM (SELECT c, avg(val) AS m FROM comp JOIN low ON node = nid GROUP BY c))
+SELECT node AS nid, label FROM comp JOIN ranked USING (c)""")
+def threshold_clusters(t: Tables) -> DataFrame:
+    return graphs.threshold_clusters(t.umatrix, ROWS, COLS, 0.99)
+
+
+@query(BASE + "SELECT (a // 4)::INTEGER AS label, 4::BIGINT AS n, round(avg(d), 6) AS val FROM gaps WHERE a < b AND a // 4 = b // 4 GROUP BY a // 4")
+def looseness(t: Tables) -> DataFrame:
+    return clusters.looseness(t.map, t.labels)
+
+
+@query(BASE + "SELECT (a // 4)::INTEGER AS la, (b // 4)::INTEGER AS lb, round(avg(d), 6) AS val FROM gaps WHERE a // 4 < b // 4 GROUP BY 1, 2")
+def cluster_distance(t: Tables) -> DataFrame:
+    return clusters.cluster_distance(t.map, t.labels)
+
+
+@query(BASE + "SELECT 4::BIGINT AS clusters, round(4 * (SELECT avg(l) FROM (SELECT avg(d) AS l FROM gaps WHERE a < b AND a // 4 = b // 4 GROUP BY a // 4)) / (SELECT avg(m) FROM (SELECT avg(d) AS m FROM gaps WHERE a // 4 < b // 4 GROUP BY a // 4, b // 4)), 6) AS val")
+def cluster_separation(t: Tables) -> DataFrame:
+    return clusters.separation(t.map, t.labels)
+
+
+@query()
+def linkage(t: Tables) -> DataFrame:
+    return clusters.linkage(t.map)
+
+
+@query(BASE + "SELECT bin::INTEGER AS bin, count(*) AS n FROM (SELECT least(floor((qe - low) / (high - low) * 20), 19) AS bin FROM bmus, (SELECT min(qe) AS low, max(qe) AS high FROM bmus)) GROUP BY bin")
+def histogram(t: Tables) -> DataFrame:
+    return clusters.histogram(t.bmus, "qe", 20)
+
+
+@query()
+def equalize(t: Tables) -> DataFrame:
+    return clusters.equalized(t.umatrix, 32)
+
+
+@query(BASE + ", k AS (SELECT *, dense_rank() OVER (ORDER BY val) - 1 AS r, min(val) OVER () AS low, max(val) OVER () - min(val) OVER () AS h, (SELECT count(DISTINCT val) - 1 FROM u) AS last FROM u) SELECT nid, i, j, round((r * last + val * h) / (last * last + h * h) * h + low, 6) AS val FROM k")
+def rank_diagonal(t: Tables) -> DataFrame:
+    return clusters.rank_diagonal(t.umatrix)
+
+
+@query()
+def watershed_clusters(t: Tables) -> DataFrame:
+    flood = lambda g: pd.DataFrame({"nid": np.arange(g.size, dtype=np.int32), "label": graphs.watershed(g).ravel()})
+    return graphs.on_grid(t.umatrix, ROWS, COLS, flood, "nid int, label int")
+
+
+@query()
+def least_path(t: Tables) -> DataFrame:
+    def walk(g):
+        path = graphs.least_path(g, 0, 10)
+        return pd.DataFrame({"step": range(len(path)), "nid": path})
+
+    return graphs.on_grid(t.umatrix, ROWS, COLS, walk, "step int, nid int")
+
+
+@query()
+def monte_carlo_path(t: Tables) -> DataFrame:
+    def walk(g):
+        path = graphs.monte_carlo(g, 0, 200, 0.01)
+        return pd.DataFrame({"step": range(len(path)), "nid": path})
+
+    return graphs.on_grid(t.umatrix, ROWS, COLS, walk, "step int, nid int")
+
+
+@query("SELECT l_orderkey, round(min(l_extendedprice), 6) AS l_extendedprice, arg_min(l_linenumber, {'p': l_extendedprice, 'n': l_linenumber}) AS l_linenumber FROM lineitem GROUP BY l_orderkey")
+def best_pose(t: Tables) -> DataFrame:
+    return project.best_pose(t.lineitem, "l_orderkey", "l_extendedprice", "l_linenumber")
+
+
+ROC = """WITH per AS (SELECT c_acctbal AS score, count(*) FILTER (c_mktsegment = 'BUILDING') AS p, count(*) FILTER (c_mktsegment <> 'BUILDING') AS n FROM customer GROUP BY 1),
+roc AS (SELECT score, p, n, sum(p) OVER (ORDER BY score)::BIGINT AS tp, sum(n) OVER (ORDER BY score)::BIGINT AS fp, sum(p) OVER () AS ps, sum(n) OVER () AS ns FROM per)
+"""
+
+
+@query(ROC + "SELECT round(score, 6) + 0.0 AS score, tp, fp, round(fp / ns, 6) AS fpr, round(tp / ps, 6) AS tpr FROM roc")
+def roc_points(t: Tables) -> DataFrame:
+    return project.roc_points(t.customer, "c_acctbal", F.col("c_mktsegment") == "BUILDING").drop("bin")
+
+
+@query(ROC + "SELECT round(sum(n * (tp - p / 2)) / (any_value(ps) * any_value(ns)), 6) AS auc FROM roc")
+def auc(t: Tables) -> DataFrame:
+    return project.auc(t.customer, "c_acctbal", F.col("c_mktsegment") == "BUILDING")
+
+
+@query(BASE + ", k AS (SELECT b.nid AS label, count(*) FILTER (label = 3) / (SELECT count(*) FROM bmus WHERE label = 3) AS se, 1 - count(*) FILTER (label <> 3) / (SELECT count(*) FROM bmus WHERE label <> 3) AS sp FROM bmus GROUP BY b.nid) SELECT label, round(se, 6) AS se, round(sp, 6) AS sp, round(sqrt((1 - sp) * (1 - sp) + (1 - se) * (1 - se)), 6) AS gamma FROM k")
+def cluster_sensitivity(t: Tables) -> DataFrame:
+    return project.sensitivity(t.bmus.withColumnRenamed("label", "kind"), F.col("kind") == 3)
+
+
+@query(WALK + "SELECT src, dst, n FROM moves")
+def bmu_transitions(t: Tables) -> DataFrame:
+    return project.transitions(t.walk, ["user_id"], ["ts", "event_id"])
+
+
+@query(WALK + ", s AS (SELECT nid, ((di + 6) % 4) - 2 AS a, ((dj + 6) % 4) - 2 AS b FROM states WHERE dst IS NOT NULL) SELECT nid, round(sum(a / sqrt(a * a + b * b)), 6) + 0.0 AS di, round(sum(b / sqrt(a * a + b * b)), 6) + 0.0 AS dj, count(*) AS moves FROM s WHERE a <> 0 OR b <> 0 GROUP BY nid")
+def flow_map(t: Tables) -> DataFrame:
+    return project.flow(t.walk, ["user_id"], ["ts", "event_id"], ROWS, COLS)
+
+
+@query(WALK + "SELECT src, dst, n, ceil(n * 6 / (SELECT max(n) FROM moves WHERE src <> dst))::INTEGER AS class FROM moves WHERE src <> dst")
+def flux_classes(t: Tables) -> DataFrame:
+    return project.flux_classes(project.transitions(t.walk, ["user_id"], ["ts", "event_id"]), 6)
+
+
+@query(SHORT + "SELECT r, c, round(s, 6) + 0.0 AS val FROM pairs")
+def scatter(t: Tables) -> DataFrame:
+    return linalg.scatter(t.short)
+
+
+@query(SHORT + f"SELECT r, c, {FIELD} FROM cov")
+def covariance(t: Tables) -> DataFrame:
+    return linalg.covariance(t.short)
+
+
+@query(SHORT + f"SELECT r, c, {FIELD} FROM corr")
+def correlation(t: Tables) -> DataFrame:
+    return linalg.correlation(linalg.covariance(t.short))
+
+
+@query(SHORT + "SELECT (r // 3)::INTEGER AS r, (c // 3)::INTEGER AS c, round(sum(val) / 3, 6) + 0.0 AS val FROM corr WHERE r % 3 = c % 3 GROUP BY 1, 2".replace("GROUP BY 1, 2", "GROUP BY r // 3, c // 3"))
+def block_trace(t: Tables) -> DataFrame:
+    return linalg.block_trace(linalg.correlation(linalg.covariance(t.short)))
+
+
+@query(SHORT + "SELECT (r // 3)::INTEGER AS r, (c // 3)::INTEGER AS c, round(avg(val), 6) + 0.0 AS val FROM corr GROUP BY r // 3, c // 3")
+def block_mean(t: Tables) -> DataFrame:
+    return linalg.block_mean(linalg.correlation(linalg.covariance(t.short)))
+
+
+@query(SHORT + f"SELECT r, c, {FIELD} FROM corr WHERE c < r")
+def lower_triangle(t: Tables) -> DataFrame:
+    return linalg.lower_triangle(linalg.correlation(linalg.covariance(t.short)))
+
+
+@query(SHORT + f"SELECT r, c, {FIELD} FROM corr WHERE c < r AND corr.val > 0.01 ORDER BY corr.val DESC, r, c")
+def strongest_pairs(t: Tables) -> DataFrame:
+    return linalg.strongest(linalg.correlation(linalg.covariance(t.short)), 0.01)
+
+
+@query(SHORT + "SELECT (r // 3)::INTEGER AS atom, (r % 3)::INTEGER AS axis, round(sqrt(val), 6) AS val FROM cov WHERE r = c")
+def rms_fluctuation(t: Tables) -> DataFrame:
+    return linalg.rms(linalg.covariance(t.short))
+
+
+PAIRS = ", gaps AS (SELECT x.id, x.a, y.a AS b, list_distance(x.p, y.p) AS d FROM points x JOIN points y ON x.id = y.id AND x.a <> y.a)"
+
+
+@query(SHORT + PAIRS + " SELECT id, a, b, round(d, 6) AS d FROM gaps WHERE a < b")
+def pairwise_distance(t: Tables) -> DataFrame:
+    return linalg.pair_distances(linalg.atoms(t.short))
+
+
+@query(SHORT + PAIRS + ", m AS (SELECT id, a, 1 / d AS x, avg(1 / d) OVER (PARTITION BY id, a) AS mu FROM gaps), k AS (SELECT id, a, any_value(mu) AS mu, avg((x - mu) * (x - mu)) AS m2, avg((x - mu) ** 3) AS m3 FROM m GROUP BY id, a) SELECT id, a AS atom, round(mu, 6) AS mu, round(sqrt(m2), 6) AS nu, round(sign(m3) * cbrt(abs(m3)), 4) + 0.0 AS xi FROM k")
+def drid(t: Tables) -> DataFrame:
+    return linalg.drid(linalg.atoms(t.short)).withColumn("xi", F.round("xi", 4))
+
+
+@query(SHORT + PAIRS + " SELECT id, a, b, round(CASE WHEN d < 0.15 THEN 0.5 * (d - 0.15) * (d - 0.15) WHEN d <= 0.25 THEN 0.0 WHEN d <= 0.35 THEN 0.5 * (d - 0.25) * (d - 0.25) ELSE 0.5 * (0.35::DOUBLE - 0.25::DOUBLE) * (2 * d - 0.35::DOUBLE - 0.25::DOUBLE) END, 6) AS e FROM gaps WHERE a < b")
+def restraint_potential(t: Tables) -> DataFrame:
+    found = linalg.pair_distances(linalg.atoms(t.short))
+    return found.select("id", "a", "b", linalg.restraint_potential(F.col("d"), 0.15, 0.25, 0.35).alias("e"))
+
+
+@query()
+def kabsch_rmsd(t: Tables) -> DataFrame:
+    points = linalg.atoms(t.short)
+    return linalg.kabsch(points, points.where("id = 0").first().xyz)
+
+
+Q4 = "WITH p AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) "
+
+
+@query(Q4 + """SELECT id, round(v[1] * v[5] - v[2] * v[6] - v[3] * v[7] - v[4] * v[8], 6) + 0.0 AS w, round(v[1] * v[6] + v[2] * v[5] + v[3] * v[8] - v[4] * v[7], 6) + 0.0 AS x,
+round(v[1] * v[7] - v[2] * v[8] + v[3] * v[5] + v[4] * v[6], 6) + 0.0 AS y, round(v[1] * v[8] + v[2] * v[7] - v[3] * v[6] + v[4] * v[5], 6) + 0.0 AS z FROM p""")
+def quaternion_product(t: Tables) -> DataFrame:
+    q = geometry.quaternion_multiply(F.slice("v", 1, 4), F.slice("v", 5, 4))
+    return t.data.select("id", q.alias("q")).select("id", *(F.col("q")[k].alias(n) for k, n in enumerate("wxyz")))
+
+
+@query(Q4 + "SELECT id, round(acos(greatest(-1, least(1, list_cosine_similarity(v[1:3], v[4:6])))), 6) AS angle, round(v[2] * v[6] - v[3] * v[5], 6) + 0.0 AS x, round(v[3] * v[4] - v[1] * v[6], 6) + 0.0 AS y, round(v[1] * v[5] - v[2] * v[4], 6) + 0.0 AS z FROM p")
+def vector_angle_and_product(t: Tables) -> DataFrame:
+    a, b = F.slice("v", 1, 3), F.slice("v", 4, 3)
+    return t.data.select("id", geometry.angle(a, b).alias("angle"), geometry.cross(a, b).alias("c")).select("id", "angle", *(F.col("c")[k].alias(n) for k, n in enumerate("xyz")))
+
+
+@query(Q4 + "SELECT id, round(v[1], 6) + 0.0 AS x, round(v[2], 6) + 0.0 AS y, round(v[3], 6) + 0.0 AS z FROM p")
+def euler_round_trip(t: Tables) -> DataFrame:
+    v = F.col("v")
+    e = geometry.euler_from_matrix(F.col("m"))
+    return t.data.select("id", geometry.euler_matrix(v[0], v[1], v[2]).alias("m")).select("id", e.alias("e")).select("id", *(F.col("e")[k].alias(n) for k, n in enumerate("xyz")))
+
+
+@query(Q4 + "SELECT id, round(1 + v[1] * v[1], 6) AS s, round(v[4], 6) + 0.0 AS shear, round(v[7], 6) + 0.0 AS turn, round(v[10], 6) + 0.0 AS move FROM p")
+def decompose_round_trip(t: Tables) -> DataFrame:
+    v = F.col("v")
+    m = transforms.compose(F.transform(F.slice(v, 1, 3), lambda x: 1 + x * x), F.slice(v, 4, 3), F.slice(v, 7, 3), F.slice(v, 10, 3))
+    d = t.data.select("id", F.explode(F.array(m)).alias("m")).select("id", transforms.decompose(F.col("m")).alias("d"))
+    return d.select("id", *(F.col("d")[k].alias(n) for k, n in ((0, "s"), (3, "shear"), (6, "turn"), (9, "move"))))

@@ -12,8 +12,17 @@ def vec(*parts) -> Column:
     return F.array(*(p if isinstance(p, Column) else F.lit(float(p)) for p in parts))
 
 
+def let(*args):
+    """``let(a, b, ..., body)``: ``body`` over values that are computed once and named, so that nested formulas stay small."""
+    *values, body = args
+    if not values:
+        return body()
+    first, *rest = values
+    return F.transform(F.array(first), lambda x: let(*rest, lambda *more: body(x, *more)))[0]
+
+
 def cross(a: Column, b: Column) -> Column:
-    return vec(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    return let(a, b, lambda a, b: vec(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]))
 
 
 def angle(a: Column, b: Column, directed: bool = True) -> Column:
@@ -24,25 +33,24 @@ def angle(a: Column, b: Column, directed: bool = True) -> Column:
 
 
 def quaternion_about(theta: Column, axis: Column) -> Column:
-    s = F.sin(theta / 2) / norm(axis)
-    return vec(F.cos(theta / 2), axis[0] * s, axis[1] * s, axis[2] * s)
+    return let(F.sin(theta / 2) / norm(axis), axis, lambda s, u: vec(F.cos(theta / 2), u[0] * s, u[1] * s, u[2] * s))
 
 
 def quaternion_multiply(a: Column, b: Column) -> Column:
-    return vec(
+    return let(a, b, lambda a, b: vec(
         a[0] * b[0] - a[1] * b[1] - a[2] * b[2] - a[3] * b[3],
         a[0] * b[1] + a[1] * b[0] + a[2] * b[3] - a[3] * b[2],
         a[0] * b[2] - a[1] * b[3] + a[2] * b[0] + a[3] * b[1],
         a[0] * b[3] + a[1] * b[2] - a[2] * b[1] + a[3] * b[0],
-    )
+    ))
 
 
 def quaternion_conjugate(q: Column) -> Column:
-    return vec(q[0], -q[1], -q[2], -q[3])
+    return let(q, lambda q: vec(q[0], -q[1], -q[2], -q[3]))
 
 
 def quaternion_inverse(q: Column) -> Column:
-    return F.transform(quaternion_conjugate(q), lambda x: x / dot(q, q))
+    return let(q, dot(q, q), lambda q, n: F.transform(quaternion_conjugate(q), lambda x: x / n))
 
 
 def quaternion_slerp(a: Column, b: Column, t: Column | float) -> Column:
@@ -57,15 +65,18 @@ def quaternion_slerp(a: Column, b: Column, t: Column | float) -> Column:
 
 
 def quaternion_matrix(q: Column) -> Column:
-    n = dot(q, q)
-    w, x, y, z = (q[k] for k in range(4))
-    s = 2.0 / n
-    return vec(
-        1 - s * (y * y + z * z), s * (x * y - z * w), s * (x * z + y * w), 0,
-        s * (x * y + z * w), 1 - s * (x * x + z * z), s * (y * z - x * w), 0,
-        s * (x * z - y * w), s * (y * z + x * w), 1 - s * (x * x + y * y), 0,
-        0, 0, 0, 1,
-    )
+    def matrix(q: Column) -> Column:
+        n = dot(q, q)
+        w, x, y, z = (q[k] for k in range(4))
+        s = 2.0 / n
+        return vec(
+            1 - s * (y * y + z * z), s * (x * y - z * w), s * (x * z + y * w), 0,
+            s * (x * y + z * w), 1 - s * (x * x + z * z), s * (y * z - x * w), 0,
+            s * (x * z - y * w), s * (y * z + x * w), 1 - s * (x * x + y * y), 0,
+            0, 0, 0, 1,
+        )
+
+    return let(q, matrix)
 
 
 def identity() -> Column:
@@ -93,15 +104,15 @@ def reflection(point: Column, normal: Column) -> Column:
 
 
 def multiply(a: Column, b: Column) -> Column:
-    return vec(*(sum((a[4 * r + k] * b[4 * k + c] for k in range(1, 4)), a[4 * r] * b[c]) for r in range(4) for c in range(4)))
+    return let(a, b, lambda a, b: vec(*(sum((a[4 * r + k] * b[4 * k + c] for k in range(1, 4)), a[4 * r] * b[c]) for r in range(4) for c in range(4))))
 
 
 def transpose(m: Column) -> Column:
-    return vec(*(m[4 * c + r] for r in range(4) for c in range(4)))
+    return let(m, lambda m: vec(*(m[4 * c + r] for r in range(4) for c in range(4))))
 
 
 def apply(m: Column, p: Column) -> Column:
-    return vec(*(m[4 * r] * p[0] + m[4 * r + 1] * p[1] + m[4 * r + 2] * p[2] + m[4 * r + 3] for r in range(3)))
+    return let(m, p, lambda m, p: vec(*(m[4 * r] * p[0] + m[4 * r + 1] * p[1] + m[4 * r + 2] * p[2] + m[4 * r + 3] for r in range(3))))
 
 
 def euler_matrix(x: Column, y: Column, z: Column) -> Column:

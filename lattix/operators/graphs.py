@@ -6,9 +6,12 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattix.operators.grid import FOUR, neighbours
+from lattix.plans.tables import written
+
 
 def symmetrized(edges: DataFrame) -> DataFrame:
     """Both directions of each edge, the smaller weight where they differ."""
@@ -48,16 +51,17 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, component)``: the smallest node reachable, edges taken as undirected.
 
     Labels take the minimum of their neighbours' and jump to their label's label, so chains shrink by half a round;
-    rounds are cut by a reliable checkpoint where one is set.
+    every round is written to the shared folder.
     """
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    edges = written(edges.select("src", "dst"), "edges")
+    both = edges.union(edges.select("dst", "src")).distinct()
     labels = vertices(edges).withColumn("component", F.col("node"))
     while True:
         far = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("component").alias("low"))
         stepped = labels.join(far, labels.node == far.src, "left").select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
         up = stepped.select(F.col("node").alias("at"), F.col("component").alias("higher"))
         jumped = stepped.join(up, stepped.component == up["at"]).select("node", "old", F.least("component", "higher").alias("component"))
-        jumped = jumped.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else jumped.cache()
+        jumped = written(jumped, "labels")
         done = jumped.where("component <> old").isEmpty()
         labels = jumped.select("node", "component")
         if done:
@@ -67,12 +71,13 @@ def components(edges: DataFrame) -> DataFrame:
 def shortest_lengths(edges: DataFrame, source: int, most: int = 1000) -> DataFrame:
     """``(node, dist)`` from ``source`` by relaxation: each round extends only the paths that got shorter."""
     spark = edges.sparkSession
+    edges = written(edges, "edges")
     best = spark.createDataFrame([(source, 0.0)], "node int, dist double")
     fresh = best
     for _ in range(most):
         reached = fresh.join(edges, fresh.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
         joined = best.join(reached, "node", "full").select("node", "dist", F.least("dist", "new").alias("least"))
-        joined = joined.checkpoint() if spark.sparkContext.getCheckpointDir() else joined.cache()
+        joined = written(joined, "reached")
         fresh = joined.where("dist is null or least < dist").select("node", F.col("least").alias("dist"))
         best = joined.select("node", F.col("least").alias("dist"))
         if fresh.isEmpty():
@@ -82,16 +87,13 @@ def shortest_lengths(edges: DataFrame, source: int, most: int = 1000) -> DataFra
 
 def threshold_clusters(field: DataFrame, rows: int, cols: int, share: float) -> DataFrame:
     """``(nid, label)``: 4-connected toric groups of the cells at or below ``share`` of the largest value, labelled from 1 by mean value."""
-    from lattix.operators.grid import FOUR, neighbours
-
+    field = written(field, "field")
     low = field.where(F.col("val") <= share * field.agg(F.max("val")).scalar())
     low = low.select("nid", "i", "j", "val")
     pairs = neighbours(low, rows, cols, True, FOUR)
     pairs = pairs.join(low.select(F.col("nid").alias("other")), "other", "left_semi")
     links = pairs.select(F.col("nid").alias("src"), F.col("other").alias("dst")).unionByName(low.select(F.col("nid").alias("src"), F.col("nid").alias("dst")))
     groups = components(links).join(low.select(F.col("nid").alias("node"), "val"), "node")
-    from pyspark.sql import Window
-
     ranked = groups.groupBy("component").agg(F.avg("val").alias("mean")).select("component", F.row_number().over(Window.orderBy("mean", "component")).alias("label"))
     return groups.join(ranked, "component").select(F.col("node").alias("nid"), "label")
 

@@ -3,24 +3,43 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattix.functions.vectors import distance
 
 
-def product_sums(data: DataFrame) -> DataFrame:
-    """``(r, c, n, sr, sc, src)``: sums over rows of each pair of dimensions, in one pass and one aggregation."""
-    cell = F.flatten(F.transform("v", lambda x, r: F.transform("v", lambda y, c: F.struct(r.alias("r"), c.alias("c"), x.alias("x"), y.alias("y")))))
-    return data.select(F.explode(cell).alias("e")).groupBy("e.r", "e.c").agg(F.count("*").alias("n"), F.sum("e.x").alias("sr"), F.sum("e.y").alias("sc"), F.sum(F.col("e.x") * F.col("e.y")).alias("src"))
+def _products(centre: list[float] | None):
+    def work(batches):
+        n, sums, squares = 0, None, None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
+                x = x if centre is None else x - np.array(centre)
+                n, sums, squares = n + len(x), x.sum(0) + (0 if sums is None else sums), x.T @ x + (0 if squares is None else squares)
+        if n:
+            r, c = np.divmod(np.arange(squares.size), len(sums))
+            cols = [r.astype(np.int32), c.astype(np.int32), np.full(len(r), n), sums[r], sums[c], squares.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["r", "c", "n", "sr", "sc", "src"])
+
+    return work
+
+
+def product_sums(data: DataFrame, centre: list[float] | None = None) -> DataFrame:
+    """``(r, c, n, sr, sc, src)``: sums over rows of each pair of dimensions, about ``centre`` if given.
+
+    Each partition gives one Gram matrix, so d x d rows for each are shuffled, whatever the number of inputs.
+    """
+    part = data.select("v").mapInArrow(_products(centre), "r int, c int, n long, sr double, sc double, src double")
+    return part.groupBy("r", "c").agg(*(F.sum(k).alias(k) for k in ("n", "sr", "sc", "src")))
 
 
 def scatter(data: DataFrame) -> DataFrame:
     """The scatter matrix about the mean, two passes for accuracy."""
     means = data.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m"))
-    mean = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("m")).scalar()
-    centred = data.withColumn("m", mean).select(F.zip_with("v", "m", lambda x, y: x - y).alias("v"))
-    return product_sums(centred).select("r", "c", F.col("src").alias("val"))
+    mean = [r.m for r in means.orderBy("d").collect()]
+    return product_sums(data, mean).select("r", "c", F.col("src").alias("val"))
 
 
 def covariance(data: DataFrame) -> DataFrame:
@@ -102,8 +121,6 @@ def restraint_potential(r, r0: float, r1: float, r2: float, k: float = 1.0):
 
 def kabsch(points: DataFrame, reference: list[list[float]]) -> DataFrame:
     """``(id, rmsd)`` after the best rotation onto ``reference``."""
-    import pyarrow as pa
-
     ref = np.array(reference, float)
     ref = ref - ref.mean(0)
 

@@ -7,21 +7,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattix.functions.kernels import gaussian, planar_squared, toric_squared
-from lattix.operators.bmu import assign
+
+
+def _sums(w: np.ndarray):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, hits = np.zeros_like(w), np.zeros(len(w), np.int64)
+        step = max(1, (1 << 22) // w.size)
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
+            for a in range(0, len(x), step):
+                some = x[a : a + step]
+                best = ((some[:, None, :] - w[None]) ** 2).sum(2).argmin(1)
+                np.add.at(sums, best, some)
+                hits += np.bincount(best, minlength=len(w))
+        if (live := np.flatnonzero(hits)).size:
+            yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array(hits[live]), pa.array(sums[live].tolist(), pa.list_(pa.float64()))], ["nid", "n", "x"])
+
+    return work
 
 
 def batch_step(data: DataFrame, codebook: DataFrame, rows: int, cols: int, radius: float, toric: bool = True) -> DataFrame:
     """One batch update: each neuron becomes the kernel-weighted mean of all inputs.
 
-    Inputs are first summed by their best-matching unit (combined before the shuffle), then the few sums are spread over
-    the neighbourhood, so the cost of the kernel depends on the map alone.
+    Each partition sums its inputs by their best-matching unit, those sums are shuffled (a map's size for each
+    partition) and spread over the neighbourhood, so the kernel's cost depends on the map alone.
     """
-    bmus = assign(data.select("id", "v").withColumn("x", F.col("v")), codebook)
-    sums = bmus.select("nid", F.posexplode("x").alias("dim", "x")).groupBy("nid", "dim").agg(F.sum("x").alias("sx"), F.count("*").alias("n"))
+    sums = data.select("v").mapInArrow(_sums(np.array([r.w for r in codebook.orderBy("nid").collect()])), "nid int, n long, x array<double>")
+    sums = sums.select("nid", "n", F.posexplode("x").alias("dim", "x")).groupBy("nid", "dim").agg(F.sum("x").alias("sx"), F.sum("n").alias("n"))
     at = codebook.select("nid", "i", "j")
     a = at.select(F.col("nid").alias("to"), F.col("i").alias("ti"), F.col("j").alias("tj"))
     pairs = at.withColumn("all", a.agg(F.collect_list(F.struct("to", "ti", "tj")).alias("a")).scalar()).select("nid", "i", "j", F.inline("all"))
