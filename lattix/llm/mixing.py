@@ -68,7 +68,7 @@ def mix(docs: DataFrame, seed: int = 0, cut_last: bool = True, text: str = "text
     target; else it is read if over half of it is due. Running sums are made within hash blocks of some thousand rows,
     then over blocks, so that a source with most rows is spread out.
 
-    Null texts and texts without a word have size 0 and are never visited, but returned. Null sources are a source,
+    Null texts and texts without a word have size 0 and are never visited, but returned; so is a source of size 0. Null sources are a source,
     the last. Rows of equal id are ordered by size; equal ones are interchangeable. Reruns agree. Other columns are
     ignored, whatever their names. An empty table gives an empty result.
     """
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, seed: int = 0, cut_last: bool = True, text: str = "text
     rest = lambda e: due - e * F.col("source_size") - before  # noqa: E731  words still due when this visit begins
     size = F.col("size")
     words = (lambda e: F.greatest(F.lit(0).cast("long"), F.least(size, rest(e)))) if cut_last else (lambda e: F.when(2 * rest(e) >= size, size).otherwise(F.lit(0).cast("long")))
-    share = lambda e: F.least((e * F.col("source_size") + before) / F.col("target"), F.lit(1.0))
+    share = lambda e: F.least((e * F.col("source_size") + before) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(1.0))
     total = F.col("target")
     visits = F.filter(F.array(*(F.struct(F.lit(e).alias("epoch"), words(e).alias("words"), position(share(e), F.col("class")).alias("position")) for e in range(MOST_EPOCHS))), lambda v: v["words"] > 0)
     done = rows.withColumn("visits", visits)
