@@ -106,12 +106,13 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     linked = turns.join(parents, ["conv_id", "turn"], "left")
     linked = linked.withColumn("parent", F.coalesce("quoted", F.when(F.col("before").isNotNull(), F.struct("conv_id", F.col("before").alias("turn")))))
     up = stash(linked.select("conv_id", "turn", "n_quotes", "parent", F.coalesce("parent", place).alias("root"), F.col("parent").isNotNull().cast("int").alias("depth")), "links")
-    while True:  # each round doubles the steps that a pointer spans
-        above = up.where("depth > 0").select(place.alias("at"), F.col("root").alias("higher"), F.col("depth").alias("more"))
-        joined = up.join(above, up.root == above["at"], "left")
-        if joined.where("higher is not null").isEmpty():
-            break
-        up = stash(joined.select("conv_id", "turn", "n_quotes", "parent", F.coalesce("higher", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "links")
+    known, still = up.where("depth = 0").withColumn("open", F.lit(False)), up.where("depth > 0").withColumn("open", F.lit(True))
+    while not still.isEmpty():  # each round doubles the steps that a pointer spans; messages whose root is found leave the rounds
+        above = known.unionByName(still).where("depth > 0").select(place.alias("at"), F.col("root").alias("higher"), F.col("depth").alias("more"), F.col("open").alias("on"))
+        joined = still.join(above, still.root == above["at"], "left")
+        moved = stash(joined.select("conv_id", "turn", "n_quotes", "parent", F.coalesce("higher", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("on", F.lit(False)).alias("open")), "links")
+        known, still = known.unionByName(moved.where("not open")), moved.where("open")
+    up = known.drop("open")
     done = rows.select("conv_id", "turn", "role", "own").join(up, ["conv_id", "turn"])
     done = done.select("conv_id", "turn", "role", F.col("root.conv_id").alias("thread_conv"), F.col("root.turn").alias("thread_turn"), F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"), "depth", "n_quotes", F.col("own").alias("text"))
     null = F.lit(None).cast("long")
