@@ -20,8 +20,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.keep_one(docs)
+    """One document of each group of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return simhash.keep_one_similar(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import product
 
 import numpy as np
@@ -17,6 +18,12 @@ from lattix.llm.shared import stash
 TILE = 1024
 #: Shingles whose bits are counted at once, so that a very long text needs no more memory.
 CHUNK = 1 << 15
+#: Min-hash bands and the values in each: texts of Jaccard similarity 0.8 share a band but for 2 in 10,000.
+BANDS = 16
+BAND_ROWS = 4
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Texts of a band's value that are all compared with one another; more are dealt to groups of so many, and meet one text besides.
+BUCKET = 16
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -24,18 +31,29 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
     A-Z are lower-cased; a text of fewer words is one shingle; a bit is set if over half of the XXH64 (seed 42) have it.
     """
+    return _fingerprint(_hashes(text, shingle))
+
+
+def _hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
+    """The XXH64 (seed 42) of each word shingle, repeats kept, in chunks."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return
     joined, k = b" ".join(words), min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1].tolist()
     ends = ends[k - 1 :].tolist()
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), CHUNK):
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], "<u8")
+        yield np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], "<u8")
+
+
+def _fingerprint(chunks: Iterable[np.ndarray]) -> int:
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in chunks:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+        n += len(hashes)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = 3) -> DataFrame:
@@ -142,3 +160,96 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     """
     kept = near_duplicates(docs, radius, shingle).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def _bands(shingles: np.ndarray) -> list[int]:
+    """A value for each band: a hash of ``BAND_ROWS`` minima of the shingles' hashes."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), CHUNK // 8):
+        least = np.minimum(least, (shingles[at : at + CHUNK // 8][None, :] * _FACTORS).min(1))
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(doc_id, fp, digest, bands)``; equal digests (128 bits) are equal sets of shingles."""
+
+    @F.arrow_udf("fp long, digest binary, bands array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        fps, digests, bands = [], [], []
+        for t in texts:
+            chunks = list(_hashes(t.as_py(), shingle))
+            shingles = np.unique(np.concatenate(chunks)) if chunks else np.empty(0, np.uint64)
+            fps.append(_fingerprint(chunks))
+            digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+            bands.append(np.array(_bands(shingles), np.uint64).view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["fp", "digest", "bands"])
+
+    return docs.select("doc_id", of(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.*")
+
+
+def _shingles(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(node, shingles)``: the sorted distinct hashes as little-endian bytes."""
+
+    @F.arrow_udf("binary")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(np.concatenate([np.empty(0, "<u8"), *_hashes(t.as_py(), shingle)])).tobytes() for t in texts], pa.binary())
+
+    return docs.select("node", of(F.col("text").cast("binary")).alias("shingles"))
+
+
+def _similar(similarity: float):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                one, two = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                small, large = sorted((len(one), len(two)))
+                shared = len(np.intersect1d(one, two, True)) if small >= similarity * large else 0
+                keep.append(shared > 0 and shared >= similarity * (small + large - shared))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return work
+
+
+def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, pairs)``: ``nodes(node)``, the smallest id of each set of word shingles, and ``pairs(a, b)`` of nodes whose sets have a Jaccard similarity of ``similarity`` or more.
+
+    Candidates share a min-hash band or are linked by fingerprints within 3 bits; each is then compared exactly, so no
+    other pair is returned. A fingerprint radius alone doesn't do: at 0.8 fingerprints differ by about 10 of 64 bits, so
+    tiles would meet nearly all others. A band's value that many sets have makes no square of pairs: each set meets
+    some ``BUCKET`` others and the set that shares most bands.
+    """
+    marked = stash(_sketched(docs, shingle), "sketches")
+    nodes = stash(marked.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
+    kept = nodes.where("node is not null").withColumnRenamed("digest", "d")
+    sets = stash(marked.join(kept, (marked.doc_id == kept.node) & (marked.digest == kept.d)).select("node", "fp", "bands").dropDuplicates(["node"]), "sets")
+    exploded = sets.select("node", F.explode("bands").alias("band"))
+    many = exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stash(exploded.join(many, "band").withColumn("part", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BUCKET))), "bands")
+    one, two = shared.select("band", "part", F.col("node").alias("a")), shared.select("band", "part", F.col("node").alias("b"))
+    inside = one.join(two, ["band", "part"]).where("a < b").select("a", "b")
+    large = shared.where(F.col("n") > BUCKET)
+    weights = large.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = large.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("hub")).select("band", F.col("hub.node").alias("hub"))
+    stars = large.join(hubs, "band").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).where("a < b")
+    groups = sets.groupBy("fp").agg(F.min("node").alias("least"))
+    equal = sets.join(groups, "fp").select(F.col("least").alias("a"), F.col("node").alias("b")).where("a < b")
+    ends = groups.select(F.col("fp").alias("a"), F.col("least").alias("x")), groups.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+    near = link_fingerprints(groups).join(ends[0], "a").join(ends[1], "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b")
+    pairs = stash(inside.unionByName(stars).unionByName(equal).unionByName(near).distinct(), "pairs")
+    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(used, "node", "left_semi").dropDuplicates(["node"])
+    shingles = stash(_shingles(texts, shingle), "shingles")
+    both = pairs.join(shingles.withColumnRenamed("shingles", "x"), F.col("a") == F.col("node")).drop("node").join(shingles.withColumnRenamed("shingles", "y"), F.col("b") == F.col("node"))
+    return nodes.select("node"), both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+
+
+def keep_one_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each group linked by ``similar_pairs`` or equal sets of shingles.
+
+    Null ids and repeated rows are treated as in ``keep_one``.
+    """
+    nodes, pairs = similar_pairs(docs, similarity, shingle)
+    gone = components(pairs).where("node <> root").select("node")
+    kept = nodes.join(gone, "node", "left_anti").select(F.col("node").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
