@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lattix.llm import linededup, mixing, packing, quality, simhash
 from lattix.llm.shared import stash
@@ -30,9 +29,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their sequences."""
-    pieces = packing.pieces(docs)
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    """Pieces of at most 2048 tokens with their ids and their sequences, numbered in training order."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [("quality rules", rules), ("line dedup", lines), ("simhash near-dedup", duplicates), ("mixing", mixture), ("packing", sequences)]

@@ -6,7 +6,8 @@ import random
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattix.llm.shared import stash
@@ -23,6 +24,8 @@ GENERATIONS = 6
 WELL_FILLED = 0.97
 #: Such rounds at most; each has a few hundredths of the pieces of the one before.
 ROUNDS = 4
+#: The column of ``pieces`` that says where each stands.
+PLACE = "__place"
 
 
 def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
@@ -144,51 +147,79 @@ def _solve(blocks: DataFrame, n: int, capacity: int) -> DataFrame:
     return state.groupBy("block").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"))
 
 
+def _ranked(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``rank`` from 0 in ``order``: rows are range-sorted and written, then numbered by file and row, so no task has them all."""
+    rows = stash(df.orderBy(*order), "ranked").select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    counts = rows.groupBy(F.col("__file").alias("__name")).agg(F.count("*").alias("__n"))
+    before = counts.select("__name", (F.sum("__n").over(Window.orderBy("__name")) - F.col("__n")).alias("__before"))
+    return rows.join(before, F.col("__file") == F.col("__name")).withColumn("rank", F.col("__before") + F.col("__row")).drop("__file", "__row", "__name", "__n", "__before")
+
+
 def pack(pieces: DataFrame, size: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: each piece in a sequence of ``capacity`` at most, without gaps.
 
-    Pieces are dealt to blocks by a hash of their place in the written table, some two thousand each. A block's islands hold
-    populations of packings of the same pieces; between epochs each receives its neighbour's elite. Sequences under
-    ``WELL_FILLED`` are opened and their pieces packed again in fewer blocks, until one block has them. Sizes are from
-    1 to ``capacity``, else the job fails. Repeated rows are packed one by one; an empty table gives an empty result.
+    Pieces are dealt to blocks by contiguous ranges of their order, some two thousand each: that of ``PLACE`` if they
+    have it, else that of the rows. A block's islands hold populations of packings of the same pieces; between epochs
+    each receives its neighbour's elite. Sequences under ``WELL_FILLED`` are opened and their pieces, in order, packed
+    again in fewer blocks, until one block has them. A sequence has its pieces in order; sequences are numbered from 0
+    by the mean rank of theirs. Only ranks and sizes take part; other columns are joined at the end. Sizes are from 1
+    to ``capacity``, else the job fails. Repeated rows are packed one by one; an empty table gives an empty result.
     """
-    names, done = pieces.columns, None
+    names = [c for c in pieces.columns if c != PLACE]
     fits = F.assert_true(pieces[size].between(1, capacity), F.lit("a piece has no fitting size")).isNull()
-    pool = stash(pieces.where(fits).select(F.struct(*(pieces[c] for c in names)).alias("row")), "pieces")
+    rows = F.struct(*(pieces[c] for c in names)).alias("row")
+    place = F.col(PLACE) if PLACE in pieces.columns else F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"), F.lit(0).alias("piece"))
+    table = stash(pieces.where(fits).select(rows, place.alias("place")), "pieces")
+    ranked = stash(_ranked(table.select("place", F.col(f"row.{size}").cast("int").alias("size")), ["place"]), "pool")
+    pool, done = ranked.select("rank", "size"), None
     for step in range(ROUNDS):
         count = pool.count()
         if not count and step:
             break
         n = max(1, -(-count // BLOCK))
         last = n == 1 or step == ROUNDS - 1
-        dealt = pool.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(step)), F.lit(n)))
-        blocks = stash(dealt.groupBy("block").agg(F.collect_list("row").alias("rows")), "blocks")
-        solved = _solve(blocks.select("block", F.transform("rows", lambda r: r[size].cast("int")).alias("sizes")), n, capacity)
-        placed = blocks.join(solved, "block").select("block", F.explode(F.arrays_zip("rows", "elite")).alias("x")).select("block", F.col("x.rows").alias("row"), F.col("x.elite").alias("bin"))
-        filled = F.expr(f"sum(row.`{size}`) over (partition by block, bin)")
-        run = F.expr(f"sum(row.`{size}`) over (partition by block, bin order by row.`{size}` desc, xxhash64(row) rows between unbounded preceding and current row)")
-        placed = stash(placed.repartition("block").withColumns({"filled": filled, "offset": run - F.col(f"row.{size}")}), "placed")
+        numbered = pool.withColumn("at", F.col("rank")) if not step else _ranked(pool.withColumnRenamed("rank", "first"), ["first"]).select(F.col("first").alias("rank"), "size", F.col("rank").alias("at"))
+        dealt = numbered.withColumn("block", F.expr(f"at div {max(1, -(-count // n))}"))
+        blocks = stash(dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("rank", "size"))).alias("rows")), "blocks")
+        solved = _solve(blocks.select("block", F.col("rows.size").alias("sizes")), n, capacity)
+        placed = blocks.join(solved, "block").select("block", F.explode(F.arrays_zip("rows", "elite")).alias("x")).select("block", "x.rows.rank", "x.rows.size", F.col("x.elite").alias("bin"))
+        filled = F.expr("sum(size) over (partition by block, bin)")
+        run = F.expr("sum(size) over (partition by block, bin order by rank rows between unbounded preceding and current row)")
+        placed = stash(placed.repartition("block").withColumns({"filled": filled, "offset": run - F.col("size")}), "placed")
         well = F.lit(True) if last else F.col("filled") >= WELL_FILLED * capacity
-        kept = placed.where(well).select("row", (F.lit(step) * F.lit(1 << 59) + F.col("block") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
+        kept = placed.where(well).select("rank", F.lit(step).alias("step"), "block", "bin", "offset")
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
-        pool = stash(placed.where(~well).select("row"), "pieces")
-    return done.select(*(F.col("row").getField(c).alias(c) for c in names), "sequence_id", "offset")
+        pool = stash(placed.where(~well).select("rank", "size"), "pool")
+    key = ["step", "block", "bin"]
+    order = _ranked(done.groupBy(*key).agg(F.avg("rank").alias("mean")), ["mean", *key]).select(*key, F.col("rank").alias("sequence_id"))
+    found = ranked.select("rank", "place").join(done.join(order, key), "rank").select("place", "sequence_id", F.col("offset").cast("long").alias("offset"))
+    return table.join(found, "place").select(*(F.col("row").getField(c).alias(c) for c in names), "sequence_id", "offset")
+
+
+def _place(docs: DataFrame) -> Column:
+    """Where a row stands in the files that ``docs`` is read from; other tables are taken in the order of their rows."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+        return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:
+        return F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))
 
 
 def pieces(docs: DataFrame, path: str | None = None, end: int = 0, capacity: int = CAPACITY, keep: list[str] | None = None) -> DataFrame:
-    """``(doc_id, piece, start, length, ids, *keep)``: each document's ids, then ``end``, cut where longer than ``capacity``.
+    """``(doc_id, piece, start, length, ids, *keep)`` and ``PLACE``: each document's ids, then ``end``, cut where longer than ``capacity``.
 
-    ``ids`` are little-endian uint32 bytes. Null and empty texts are the end id alone.
+    ``ids`` are little-endian uint32 bytes. Null and empty texts are the end id alone. ``PLACE`` orders the pieces as
+    the documents are: by file and row if they are read from files, else by row.
     """
     keep = keep or []
-    encoded = with_ids(docs.select("doc_id", "text", *keep), path, end).drop("text")
+    encoded = with_ids(docs.select("doc_id", "text", _place(docs).alias(PLACE), *keep), path, end).drop("text")
     total = F.expr("octet_length(ids) div 4")
     cut = encoded.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(octet_length(ids) div 4 - 1) div {capacity}").cast("long"))).alias("piece"))
     start = F.col("piece") * capacity
     length = F.least(F.lit(capacity).cast("long"), total.cast("long") - start)
-    return cut.select("doc_id", F.col("piece").cast("int").alias("piece"), start.alias("start"), length.alias("length"), F.substring("ids", (start * 4 + 1).cast("int"), (length * 4).cast("int")).alias("ids"), *keep)
+    return cut.select("doc_id", F.col("piece").cast("int").alias("piece"), start.alias("start"), length.alias("length"), F.substring("ids", (start * 4 + 1).cast("int"), (length * 4).cast("int")).alias("ids"), *keep, F.struct(f"{PLACE}.file", f"{PLACE}.at", F.col("piece").cast("int").alias("piece")).alias(PLACE))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, end: int = 0, capacity: int = CAPACITY) -> DataFrame:

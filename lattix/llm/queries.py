@@ -39,8 +39,8 @@ def op5_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pieces(_table(spark, sf_dir, "documents"))
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
