@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattix.llm.license_texts import TEXTS
 from lattix.llm.shared import stash
 
 # Short notices and texts of public licences, by identifier.
@@ -31,6 +32,7 @@ KNOWN = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    *TEXTS,
 ]
 # Spellings that licences use for one another, as (whole word, word it stands for).
 EQUIVALENT = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("per cent", "percent"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("acknowledgement", "acknowledgment"), ("authorised", "authorized"), ("copyright owner", "copyright holder"), ("https", "http")]
