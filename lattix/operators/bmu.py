@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattix.functions.vectors import distance
+from lattix.plans.tables import written
 
 #: Neurons that are laid beside every vector at once; larger codebooks are met in blocks.
 BLOCK = 4096
@@ -34,9 +35,12 @@ def candidates(data: DataFrame, codebook: DataFrame, measure: Callable[[Column,
 def assign(data: DataFrame, codebook: DataFrame, measure: Callable[[Column, Column], Column] = distance) -> DataFrame:
     """``data`` less ``v``, with ``nid, i, j, qe`` of the nearest neuron (ties to the smallest nid)."""
     keep = [c for c in data.columns if c != "v"]
-    best = candidates(data, codebook, measure).select(*keep, F.array_min("near").alias("b"))
-    if codebook.count() > BLOCK:
-        best = best.groupBy(*keep).agg(F.min("b").alias("b"))
+    many = codebook.count() > BLOCK
+    if many:  # rows are told apart by a written key, so that repeated ones stay
+        data = written(data.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    best = candidates(data, codebook, measure).select(*keep, *(["__row"] if many else []), F.array_min("near").alias("b"))
+    if many:
+        best = best.groupBy(*keep, "__row").agg(F.min("b").alias("b"))
     return best.select(*keep, "b.nid", "b.i", "b.j", F.col("b.d").alias("qe"))
 
 

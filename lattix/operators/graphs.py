@@ -68,13 +68,21 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def shortest_lengths(edges: DataFrame, source: int, most: int = 1000) -> DataFrame:
-    """``(node, dist)`` from ``source`` by relaxation: each round extends only the paths that got shorter."""
+#: Rounds between two looks for a negative cycle.
+CYCLE_CHECK = 16
+
+
+def shortest_lengths(edges: DataFrame, source: int) -> DataFrame:
+    """``(node, dist)`` from ``source`` by relaxation: each round extends only the paths that got shorter, until none is.
+
+    A negative cycle within reach fails: without one no path gets shorter after as many rounds as there are nodes.
+    """
     spark = edges.sparkSession
     edges = written(edges, "edges")
     best = spark.createDataFrame([(source, 0.0)], "node int, dist double")
     fresh = best
-    for _ in range(most):
+    rounds = 0
+    while True:
         reached = fresh.join(edges, fresh.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
         joined = best.join(reached, "node", "full").select("node", "dist", F.least("dist", "new").alias("least"))
         joined = written(joined, "reached")
@@ -82,7 +90,9 @@ def shortest_lengths(edges: DataFrame, source: int, most: int = 1000) -> DataFra
         best = joined.select("node", F.col("least").alias("dist"))
         if fresh.isEmpty():
             return best
-    return best
+        rounds += 1
+        if rounds % CYCLE_CHECK == 0 and rounds > best.count():
+            raise ValueError("the edges hold a negative cycle")
 
 
 def threshold_clusters(field: DataFrame, rows: int, cols: int, share: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattix.operators.bmu import nearest
-from lattix.operators.graphs import components, vertices
+from lattix.operators.graphs import CYCLE_CHECK, components, vertices
 from lattix.plans.tables import written
 
 
@@ -43,24 +43,28 @@ def route_lengths(routes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("route", F.when(F.col("steps") == F.col("known"), F.col("length")).alias("length"))
 
 
-def paths(edges: DataFrame, sources: DataFrame, most: int = 1000) -> DataFrame:
+def paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``(source, node, dist, path)``: a shortest path from each of ``sources(node)`` to all it reaches.
 
     All sources advance together, a step each round, and only paths that got shorter are extended; among equal lengths
-    the path with fewer steps stays, then the smaller one. Weights are not negative. Each round is written.
+    the path with fewer steps stays, then the smaller one. Rounds end when no
+    path got shorter; a negative cycle within reach fails. Each round is written.
     """
     edges = written(edges.select("src", "dst", "w"), "edges")
     best = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"), F.array("node").alias("path"))
     fresh = best
-    for _ in range(most):
+    rounds = 0
+    while True:
         longer = fresh.join(edges, fresh.node == edges.src).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.concat("path", F.array("dst")).alias("path"))
         both = best.withColumn("new", F.lit(False)).unionByName(longer.withColumn("new", F.lit(True)))
         least = both.groupBy("source", "node").agg(F.min(F.struct("dist", "new", "path")).alias("m")).select("source", "node", "m.*")
         least = written(least, "paths")
         best, fresh = least.drop("new"), least.where("new").drop("new")
         if fresh.isEmpty():
-            break
-    return best
+            return best
+        rounds += 1
+        if rounds % CYCLE_CHECK == 0 and rounds > best.select("node").distinct().count():
+            raise ValueError("the edges hold a negative cycle")
 
 
 def longest_path(found: DataFrame, ends: DataFrame) -> DataFrame:
