@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,10 +17,15 @@ from lattix.llm.tokens import with_ids
 CAPACITY = 2048
 #: Pieces that a group of islands packs together, on average.
 BLOCK = 2048
-ISLANDS = 2
-EPOCHS = 2
-POPULATION = 4
-GENERATIONS = 6
+ISLANDS = 3
+EPOCHS = 3
+POPULATION = 6
+GENERATIONS = 16
+#: Chance that a well-filled bin of the better parent is injected; emptiest bins that are opened besides.
+INJECTED = 0.05
+OPENED = 2
+#: Bins of more documents exchange single ones only; more displaced ones than this are not tried in pairs.
+PAIRED_BIN, PAIRED_LOOSE = 8, 64
 #: Sequences that are filled less are opened and packed again with those of other blocks.
 WELL_FILLED = 0.97
 #: Such rounds at most; each has a few hundredths of the pieces of the one before.
@@ -59,49 +65,103 @@ def fitness(sizes: list[int], bins: list[list[int]], capacity: int) -> tuple[int
     return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
 
 
+def exchange(sizes: list[int], bins: list[list[int]], loose: list[int], capacity: int, rng: random.Random) -> list[int]:
+    """Displaced documents, one or two, take the place of one or two smaller ones of a bin where that fills it further.
+
+    ``bins`` change in place; returns what is displaced now, smaller in sum by all that the bins gained.
+    """
+    held = sorted((sizes[i], i) for i in loose)
+    order = list(range(len(bins)))
+    rng.shuffle(order)
+    for k in order:
+        b = bins[k]
+        room = capacity - sum([sizes[i] for i in b])
+        if not room or not held:
+            continue
+        outs = [(sizes[i], (i,)) for i in b]
+        if len(b) <= PAIRED_BIN:
+            outs += [(sizes[x] + sizes[y], (x, y)) for n, x in enumerate(b) for y in b[:n]]
+        gain, out, into = 0, (), ()
+        for size, candidate in outs:
+            at = bisect_right(held, (size + room, len(sizes))) - 1
+            if at >= 0 and held[at][0] - size > gain:
+                gain, out, into = held[at][0] - size, candidate, (at,)
+            low, high = 0, len(held) - 1 if len(held) <= PAIRED_LOOSE else 0
+            while low < high and gain < room:
+                more = held[low][0] + held[high][0] - size
+                if more > room:
+                    high -= 1
+                    continue
+                if more > gain:
+                    gain, out, into = more, candidate, (low, high)
+                low += 1
+            if gain == room:
+                break
+        if gain:
+            bins[k] = [i for i in b if i not in out] + [held[x][1] for x in into]
+            for x in reversed(into):
+                del held[x]
+            for i in out:
+                insort(held, (sizes[i], i))
+    return [i for _, i in held]
+
+
 def cross(sizes: list[int], base: list[list[int]], donor: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Inject whole well-filled bins of ``donor`` into ``base``: bins with a duplicate go, what they held besides is best-fitted."""
-    ranked = sorted(donor, key=lambda b: -sum(sizes[i] for i in b))
-    injected = [b for b in ranked[: max(1, len(ranked) // 2)] if rng.random() < 0.5] or ranked[:1]
+    """Inject whole well-filled bins of ``donor`` into ``base``: bins with a duplicate go, and so do the emptiest (mutation).
+
+    What they held besides is displaced: it first replaces smaller documents of bins that it fills further, and what
+    is left is best-fitted in descending order.
+    """
+    fill = lambda b: sum([sizes[i] for i in b])
+    ranked = sorted(donor, key=fill, reverse=True)
+    injected = [b for b in ranked[: max(1, len(ranked) // 2)] if rng.random() < INJECTED] or ranked[:1]
     taken = {i for b in injected for i in b}
     whole, loose = [], []
     for b in base:
         if taken.isdisjoint(b):
-            whole.append(b[:])
+            whole.append(b)
         else:
             loose.extend(i for i in b if i not in taken)
-    worst = min(whole, key=lambda b: sum(sizes[i] for i in b), default=None)
-    if worst is not None:  # mutation: the emptiest bin is opened, too
-        whole.remove(worst)
-        loose.extend(worst)
-    rng.shuffle(loose)
+    whole.sort(key=fill)
+    for b in whole[:OPENED]:
+        loose.extend(b)
+    whole = [b[:] for b in whole[OPENED:]]
+    loose = exchange(sizes, whole, loose, capacity, rng)
     loose.sort(key=lambda i: -sizes[i])
     return best_fit(sizes, loose, whole + [b[:] for b in injected], capacity)
 
 
+def least_bins(sizes: list[int], capacity: int = CAPACITY) -> int:
+    """So many bins are needed for certain."""
+    return -(-sum(sizes) // capacity)
+
+
 def evolve(sizes: list[int], elites: list[list[list[int]]], seed: int, capacity: int = CAPACITY, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """The best packing of items ``0..n-1`` that an island finds, from ``elites`` and best-fit packings in noisy descending order."""
+    """The best packing of items ``0..n-1`` that an island finds, from ``elites`` and best-fit packings in noisy descending order.
+
+    Two parents are drawn, the better one is the donor; the child takes the place of the worst if it is better than
+    that and its fitness is new. Ends early where the bins reach ``least_bins``.
+    """
     rng = random.Random(seed)
     full = [[i] for i, s in enumerate(sizes) if s >= capacity]
     rest = [i for i, s in enumerate(sizes) if s < capacity]
-    least = -(-sum(sizes[i] for i in rest) // capacity)
+    least = least_bins([sizes[i] for i in rest], capacity)
     people = [[b for b in e if sizes[b[0]] < capacity] for e in elites]
-    noise = 0.0
-    while len(people) < population:
+    noise = 0.0 if not elites else 0.02 * len(people)
+    while len(people) < population and not (people and len(people[-1]) <= least):
         people.append(best_fit(sizes, sorted(rest, key=lambda i: -sizes[i] * (1 + noise * rng.random())), [], capacity))
         noise += 0.02
-        if len(people[-1]) <= least:
-            break
-    score = lambda p: fitness(sizes, p, capacity)
-    people.sort(key=score, reverse=True)
+    scores = [fitness(sizes, p, capacity) for p in people]
     for _ in range(generations):
-        if len(people[0]) <= least:
+        if -max(scores)[0] <= least or len(people) < 2:
             break
-        a, b = rng.sample(people, 2)
-        people.append(cross(sizes, a, b, capacity, rng))
-        people.sort(key=score, reverse=True)
-        people.pop()
-    return full + people[0]
+        a, b = rng.sample(range(len(people)), 2)
+        base, donor = (a, b) if scores[a] < scores[b] else (b, a)
+        child = cross(sizes, people[base if rng.random() < 0.5 else donor], people[donor], capacity, rng)
+        score, worst = fitness(sizes, child, capacity), min(range(len(people)), key=scores.__getitem__)
+        if score > scores[worst] and score not in scores:
+            people[worst], scores[worst] = child, score
+    return full + people[max(range(len(people)), key=scores.__getitem__)]
 
 
 def _labels(n: int, bins: list[list[int]]) -> list[int]:
@@ -125,26 +185,37 @@ def _epoch(capacity: int, epoch: int):
             for i in range(batch.num_rows):
                 block, island, sizes, *elites = (batch.column(k)[i].as_py() for k in range(batch.num_columns))
                 bins = evolve(sizes, [_bins(e) for e in elites if e is not None], hash((block, island, epoch)), capacity)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([island], pa.int32()), pa.array([sizes], pa.list_(pa.int32())), pa.array([_labels(len(sizes), bins)], pa.list_(pa.int32())), pa.array([len(bins)], pa.int32())], ["block", "island", "sizes", "elite", "bins"])
+                solved = len(bins) <= least_bins(sizes, capacity)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([island], pa.int32()), pa.array([sizes], pa.list_(pa.int32())), pa.array([_labels(len(sizes), bins)], pa.list_(pa.int32())), pa.array([len(bins)], pa.int32()), pa.array([solved])], ["block", "island", "sizes", "elite", "bins", "solved"])
 
     return work
 
 
-_STATE = "block long, island int, sizes array<int>, elite array<int>, bins int"
+_STATE = "block long, island int, sizes array<int>, elite array<int>, bins int, solved boolean"
 
 
 def _solve(blocks: DataFrame, n: int, capacity: int) -> DataFrame:
     """``n`` ``blocks(block, sizes)`` -> ``(block, elite)``: for each item its bin, from the best island.
 
-    The partitions are counted by work, not by bytes: few islands a task, though their rows are small.
+    Blocks in which an island needs no more bins than the sum of sizes does leave the epochs. The partitions are
+    counted by work, not by bytes: few islands a task, though their rows are small.
     """
     tasks = max(1, -(-n * ISLANDS // 4))
-    start = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "sizes").repartition(tasks, "block", "island")
-    state = stash(start.mapInArrow(_epoch(capacity, 0), _STATE), "islands")
-    for epoch in range(1, EPOCHS):
-        migrants = state.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elite").alias("migrant"))
-        state = stash(state.join(migrants, ["block", "island"]).repartition(tasks, "block", "island").select("block", "island", "sizes", "elite", "migrant").mapInArrow(_epoch(capacity, epoch), _STATE), "islands")
-    return state.groupBy("block").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"))
+    islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
+    first = stash(blocks.select("block", F.lit(0).alias("island"), "sizes").repartition(max(1, -(-n // 4)), "block").mapInArrow(_epoch(capacity, 0), _STATE), "islands")
+    over = first.where("not solved")
+    start = over.select("block", islands, "sizes", "elite").select("block", "island", "sizes", F.when(F.col("island") == 0, F.col("elite")).alias("elite"))
+    done, state = first.select("block", "elite", "bins", "island"), None
+    for epoch in range(1, EPOCHS + 1):
+        if state is None:
+            asked = start
+        else:
+            open_ = state.groupBy("block").agg(F.max("solved").alias("any")).where("not any").select("block")
+            migrants = state.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elite").alias("migrant"))
+            asked = state.join(open_, "block", "left_semi").join(migrants, ["block", "island"]).select("block", "island", "sizes", "elite", "migrant")
+        state = stash(asked.repartition(tasks, "block", "island").mapInArrow(_epoch(capacity, epoch), _STATE), "islands")
+        done = done.unionByName(state.select("block", "elite", "bins", "island"))
+    return done.groupBy("block").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"))
 
 
 def _ranked(df: DataFrame, order: list[str]) -> DataFrame:
@@ -169,8 +240,9 @@ def pack(pieces: DataFrame, size: str = "length", capacity: int = CAPACITY) -> D
     fits = F.assert_true(pieces[size].between(1, capacity), F.lit("a piece has no fitting size")).isNull()
     rows = F.struct(*(pieces[c] for c in names)).alias("row")
     place = F.col(PLACE) if PLACE in pieces.columns else F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"), F.lit(0).alias("piece"))
-    table = stash(pieces.where(fits).select(rows, place.alias("place")), "pieces")
-    ranked = stash(_ranked(table.select("place", F.col(f"row.{size}").cast("int").alias("size")), ["place"]), "pool")
+    # Written with a number of its own, so that the pieces meet their places over one long.
+    table = stash(pieces.where(fits).select(rows, place.alias("place"), F.monotonically_increasing_id().alias("key")), "pieces", "zstd")
+    ranked = stash(_ranked(table.select("place", "key", F.col(f"row.{size}").cast("int").alias("size")), ["place.file", "place.at", "place.piece"]).drop("place"), "pool")
     pool, done = ranked.select("rank", "size"), None
     for step in range(ROUNDS):
         count = pool.count()
@@ -194,8 +266,8 @@ def pack(pieces: DataFrame, size: str = "length", capacity: int = CAPACITY) -> D
         pool = stash(placed.where(~well).select("rank", "size"), "pool")
     key = ["step", "block", "bin"]
     order = _ranked(done.groupBy(*key).agg(F.avg("rank").alias("mean")), ["mean", *key]).select(*key, F.col("rank").alias("sequence_id"))
-    found = ranked.select("rank", "place").join(done.join(order, key), "rank").select("place", "sequence_id", F.col("offset").cast("long").alias("offset"))
-    return table.join(found, "place").select(*(F.col("row").getField(c).alias(c) for c in names), "sequence_id", "offset")
+    found = ranked.select("rank", "key").join(done.join(order, key), "rank").select("key", "sequence_id", F.col("offset").cast("long").alias("offset"))
+    return table.join(found, "key").select(*(F.col("row").getField(c).alias(c) for c in names), "sequence_id", "offset")
 
 
 def _place(docs: DataFrame) -> Column:

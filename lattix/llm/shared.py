@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,21 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of text that one Arrow batch to or from a Python worker holds, about; rows of a batch are Spark's own setting.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lattix-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    """The folder that the cluster names for checkpoints; there is no other that all machines surely share."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, after bounding the session's Arrow batches in bytes where nobody has: ten thousand long texts don't fit a worker."""
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH, "1b") == "1b":
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return docs
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
+def stash(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Cuts the lineage: what reads the result does not depend on executors that made it, and it is computed once.
     Spark knows its size on disk, so it broadcasts it in a join only below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     path = f"{shared_dir(df.sparkSession)}/lattix-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)

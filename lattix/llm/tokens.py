@@ -11,8 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's memo; beyond it the older half is forgotten.
-MEMO = 700_000
+from lattix.llm.shared import bounded
+
+#: Bytes that a worker's memo may hold, as estimated; beyond half of it the older half is forgotten.
+MEMO_BYTES = 96 << 20
+#: Bytes of an entry besides its word and ids.
+ENTRY_BYTES = 220
+#: Characters that are split into words at once: longer texts are cut at blanks, so neither they nor their words pile up.
+CHUNK = 1 << 18
+#: Groups of words whose encodings are held at once.
+GROUPS = 64
 #: Words that are encoded in one call, as one text.
 JOINED = 64
 #: Latin-1 white space that str.split parts at and the tokenizer may not, and the white space that both part at.
@@ -35,7 +43,7 @@ class WordEncoder:
     all others are encoded singly.
     """
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, memo: int = MEMO_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,14 +57,28 @@ class WordEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.memo = memo
+        self.held = 0
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        out, group, held = [], [], 0
+        for text in texts:
+            if len(text := text or "") > CHUNK:
+                out += self._encode(group)
+                out.append(b"".join(self._encode([part])[0] for part in _cut(text)))
+                group, held = [], 0
+                continue
+            group.append(text)
+            held += len(text)
+            if held >= CHUNK:
+                out += self._encode(group)
+                group, held = [], 0
+        return out + self._encode(group)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if self.held > self.memo // 2:
+            self.old, self.young, self.held = self.young, {}, 0
         split, young, old = [], self.young, self.old
-        if len(young) > self.memo // 2:
-            self.old, self.young = young, {}
-            young, old = self.young, self.old
         for text in texts:
-            text = text or ""
             try:
                 raw = text.encode("latin-1")
                 common = len(raw.translate(None, RARE)) == len(raw)
@@ -67,7 +89,7 @@ class WordEncoder:
         new = []
         for w in {w for words in split for w in words if w not in young}:
             if w in old:
-                young[w] = old[w]
+                self._keep(w, old[w])
             else:
                 new.append(w)
         if new:
@@ -75,6 +97,10 @@ class WordEncoder:
         get = young.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.young[word] = ids
+        self.held += ENTRY_BYTES + len(word) + len(ids)
+
     def _learn(self, words: list[str]) -> None:
         young, old = self.young, self.old
         plain, odd, later = [], [], []
@@ -90,26 +116,40 @@ class WordEncoder:
             for part, group in ((core, plain), (tail, odd)):
                 if part not in young and part not in known:
                     if part in old:
-                        young[part] = old[part]
+                        self._keep(part, old[part])
                     else:
                         known.add(part)
                         group.append(part)
         encode = self.tokenizer.encode_batch_fast
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, found in zip(groups, encode([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(group):
-                odd.extend(group)
-                continue
-            raw, a = ids.tobytes(), 0
-            for w, b in zip(group, (cuts * 4).tolist()):
-                young[w] = raw[a:b]
-                a = b
-        for w, found in zip(odd, encode(odd, add_special_tokens=False)):
-            young[w] = np.array(found.ids, "<u4").tobytes()
+        for at in range(0, len(plain), JOINED * GROUPS):
+            slice_ = plain[at : at + JOINED * GROUPS]
+            groups = [slice_[i : i + JOINED] for i in range(0, len(slice_), JOINED)]
+            for group, found in zip(groups, encode([" ".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(found.ids, "<u4")
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) != len(group):
+                    odd.extend(group)
+                    continue
+                raw, a = ids.tobytes(), 0
+                for w, b in zip(group, (cuts * 4).tolist()):
+                    self._keep(w, raw[a:b])
+                    a = b
+        for at in range(0, len(odd), JOINED * GROUPS):
+            slice_ = odd[at : at + JOINED * GROUPS]
+            for w, found in zip(slice_, encode(slice_, add_special_tokens=False)):
+                self._keep(w, np.array(found.ids, "<u4").tobytes())
         for w, core, tail in later:
-            young[w] = young[core] + young[tail]
+            self._keep(w, young[core] + young[tail])
+
+
+def _cut(text: str) -> Iterator[str]:
+    """A long text in parts that end before a blank: ids of words never reach across one."""
+    at = 0
+    while at < len(text):
+        found = BLANK.search(text, at + CHUNK)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -146,4 +186,4 @@ def with_ids(docs: DataFrame, path: str | None = None, end: int | None = None, t
         e = encoder(path)
         return pa.array([x + tail for group in batched(texts) for x in e.encode_many(group)], pa.binary())
 
-    return docs.withColumn(out, of(F.col(text)))
+    return bounded(docs).withColumn(out, of(F.col(text)))

@@ -132,6 +132,32 @@ def brute_stats(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(marked)
 
 
+def exact_quantile(values, q):
+    """Of weighted values: the first whose cumulative weight reaches the share ``q``."""
+    values, total, below = sorted(values), sum(w for _, w in values), 0.0
+    for v, w in values:
+        below += w
+        if below >= q * total * (1 - 1e-12):
+            return v
+
+
+def brute_fences(rows):
+    """Fences from exact values: rows (lang, source, metric values by name)."""
+    def blend(own, above):
+        total = sum(w for _, w in above)
+        return own + [(v, quality.PRIOR * w / total) for v, w in above]
+
+    fences = {}
+    for name, (q, slack, side) in quality.RULES.items():
+        whole = [(m[name], 1.0) for _, _, m in rows]
+        for lang, source in {r[:2] for r in rows}:
+            tongue = blend([(m[name], 1.0) for a, _, m in rows if a == lang], whole)
+            own = blend([(m[name], 1.0) for a, b, m in rows if (a, b) == (lang, source)], tongue)
+            middle, high, low = (exact_quantile(own, x) for x in (0.5, q, 1 - q))
+            fences[lang, source, name] = low - max(slack * (middle - low), 2 * quality.ERROR * middle), middle, high + max(slack * (high - middle), 2 * quality.ERROR * middle)
+    return fences
+
+
 def test_quality(spark, sf, docs, edge):
     texts = {r.doc_id: r.text for r in docs.collect()}
     rows = queries.op4_quality(spark, sf).collect()
@@ -146,6 +172,47 @@ def test_quality(spark, sf, docs, edge):
     kept = {r.doc_id for r in rows if r.kept}
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == kept
     assert quality.keep_good(edge).columns == edge.columns
+    assert quality.keep_good(edge.limit(0)).count() == 0
+
+
+def test_quality_edges_and_long_text(edge):
+    for (_, text, *_), got in zip(EDGE, quality.measure_many([r[1] for r in EDGE]).tolist()):
+        assert tuple(got[:5]) == brute_stats(text)
+    long = "\n".join(f"w{k % 400_000} x{k % 7}" for k in range(500_000))
+    assert tuple(quality.measure_many([long])[0][:5]) == brute_stats(long)
+
+
+def test_quality_fences_adapt_and_agree_with_exact_quantiles(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(1500):
+        lang, source = ("en", "de")[k % 2], ("prose", "code", "rare")[0 if k % 3 == 0 else 1 if k % 50 else 2]
+        words = ["w" * int(x) for x in rng.integers(*((2, 8) if source == "prose" else (3, 14)), int(rng.integers(20, 120)))]
+        words += ["%"] * int(rng.poisson(12 if source == "code" else 0.2)) + ["$$$"] * (60 if k % 31 == 0 else 0)
+        rng.shuffle(words)
+        lines = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)] + ["same line"] * int(k % 40 == 0) * 3
+        rows.append((k, "\n".join(lines), lang, source))
+    found = {r.doc_id: r for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    metrics = {}
+    for k, r in found.items():
+        n = max(r.n_words, 1)
+        metrics[k] = {"symbol_ratio": r.n_symbols / n, "dup_line_ratio": r.n_dup_lines / max(r.n_lines, 1), "repeat_ratio": r.n_repeat_words / n, "word_length": r.word_chars / n}
+    fences = brute_fences([(lang, source, metrics[k]) for k, _, lang, source in rows if not found[k].base_failed])
+    assert fences["en", "code", "symbol_ratio"][2] > 3 * fences["en", "prose", "symbol_ratio"][2] and fences["de", "code", "word_length"][2] > fences["de", "prose", "word_length"][2] + 1
+    sure = 0
+    for k, _, lang, source in rows:
+        r, m = found[k], metrics[k]
+        margins = []  # how far inside each fence, in shares of the values a sketch may err by
+        for name, count, base in (("symbol_ratio", r.n_symbols, r.n_words), ("dup_line_ratio", r.n_dup_lines, r.n_lines), ("repeat_ratio", r.n_repeat_words, r.n_words)):
+            high = fences[lang, source, name][2]
+            margins.append((high * base - count + quality.DOUBT * math.sqrt(count)) / max(base * (high + m[name]), 1e-9))
+        low, middle, high = fences[lang, source, "word_length"]
+        doubt = quality.DOUBT * middle / 2 / math.sqrt(r.n_words)
+        margins += [(high + doubt - m["word_length"]) / high, (m["word_length"] + doubt - low) / high]
+        if min(abs(x) for x in margins) > 8 * quality.ERROR:
+            sure += 1
+            assert r.kept == (not r.base_failed and min(margins) > 0), (k, margins)
+    assert sure > 1200 and 20 < sum(not r.kept for r in found.values()) < 400
 
 
 def test_sketch_quantiles_merge(spark):
@@ -235,6 +302,21 @@ def test_genetic_operators():
     assert sorted(i for b in child for i in b) == list(range(200)) and all(sum(sizes[i] for i in b) <= 2048 for b in child)
 
 
+def test_genetic_search_gains_over_best_fit(spark):
+    import random
+
+    rng, sizes = random.Random(1), []
+    for _ in range(60):  # each three fill a sequence, so 60 sequences hold them all
+        a = rng.randrange(780, 1000)
+        b = rng.randrange(513, (2048 - a) // 2)
+        sizes += [a, b, 2048 - a - b]
+    rng.shuffle(sizes)
+    plain = packing.best_fit(sizes, sorted(range(180), key=lambda i: -sizes[i]), [], 2048)
+    rows = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length int")).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(180))
+    assert len({r.sequence_id for r in rows}) <= 62 < len(plain) - 5
+
+
 def test_token_files(spark, sf, docs, edge, ids, tmp_path):
     rows = {r.doc_id: r for r in queries.op8_tokenfiles(spark, sf).collect()}
     at = 0
@@ -259,13 +341,39 @@ def test_search_edges(spark):
 
 def test_tree_finds_what_a_scan_finds():
     rng = np.random.default_rng(0)
-    rows = rng.integers(-50, 50, (3000, 8))
-    tree = mtree.MTree(np.arange(3000), rows, page=32, fan=6)
-    for q in range(0, 3000, 300):
-        scores = rows @ rows[q]
-        want = sorted((-s, i) for i, s in enumerate(scores.tolist()) if i != q)[:10]
-        found = tree.search(q, rows[q], 10)
-        assert list(zip((-found[1]).tolist(), found[0].tolist())) == want
+    spread, centres = rng.integers(-50, 50, (3000, 8)), rng.integers(-50, 50, (30, 16))
+    for rows, most in ((spread, 1.0), (centres[rng.integers(0, 30, 3000)] + rng.integers(-3, 4, (3000, 16)), 0.3), (spread * 10**8, 1.0)):
+        tree = mtree.MTree.build([[i] for i in range(3000)], rows, page=32)
+        asked = np.arange(0, 3000, 300)
+        value, entry = tree.search(rows[asked], 10)
+        assert tree.scored <= most * 3000 * len(asked)
+        for q, v, e in zip(asked, value, entry):
+            want = sorted((-s, i) for i, s in enumerate((rows @ rows[q]).tolist()))[:10]
+            assert list(zip((-v).tolist(), tree.least[e].tolist())) == want
+
+
+def scan(rows, k, every=20):
+    kept = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    out = []
+    for q in {i for i, _ in kept if i % every == 0}:
+        for w in [v for i, v in kept if i == q]:
+            found = sorted((-sum(a * b for a, b in zip(w, v)), i) for i, v in kept if i != q and len(v) == len(w))[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    return sorted(out)
+
+
+def test_search_of_clusters_and_copies_as_a_scan(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 6))
+    vectors = (centres[rng.integers(0, 12, 700)] + rng.normal(size=(700, 6)) / 50).tolist()
+    rows = [(i, vectors[i]) for i in range(700)] + [(700 + i, vectors[40]) for i in range(300)]  # a third are one vector
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, label string")
+    assert sorted(map(tuple, mtree.nearest(df, k=20).collect())) == scan(rows, 20)
+    vectors = mtree.scaled(df)
+    assert mtree.share_scored(vectors, vectors.where("id % 20 = 0"), 5, tree=60) < 0.5
+    assert mtree.nearest(df.limit(0)).count() == 0
+    few = rows[:5]
+    assert sorted(map(tuple, mtree.nearest(spark.createDataFrame(few, "vec_id long, embedding array<double>"), k=20).collect())) == scan(few, 20)
 
 
 def test_licenses(spark):
