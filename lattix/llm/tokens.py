@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 from lattix.llm.shared import bounded
 
 #: Bytes that a worker's memo may hold, as estimated; beyond half of it the older half is forgotten.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 160 << 20
 #: Bytes of an entry besides its word and ids.
-ENTRY_BYTES = 220
+ENTRY_BYTES = 230
 #: Characters that are split into words at once: longer texts are cut at blanks, so neither they nor their words pile up.
 CHUNK = 1 << 18
 #: Groups of words whose encodings are held at once.
@@ -39,7 +40,7 @@ class WordEncoder:
 
     For tokenizer files whose pre-tokenizer parts text at white space and never joins across it, whose tokens end words
     with a suffix, and that lower-case: then a text's ids are its words' ids one after another. Words of letters are
-    encoded many at a time and told apart by the suffix; a trailing run of full stops and commas is a word of its own;
+    encoded many at a time and told apart by the suffix; a trailing run of ASCII punctuation is a word of its own;
     all others are encoded singly.
     """
 
@@ -86,60 +87,42 @@ class WordEncoder:
                 common = False
             # Lower-cased as the tokenizer does; other scripts and rare white space are left to it.
             split.append(text.lower().split() if common else BLANK.split(text))
-        new = []
-        for w in {w for words in split for w in words if w not in young}:
-            if w in old:
-                self._keep(w, old[w])
-            else:
-                new.append(w)
-        if new:
-            self._learn(new)
+        new = set().union(*split).difference(young)
+        young.update([(w, old[w]) for w in new if w in old])
+        self._learn(new)
         get = young.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def _keep(self, word: str, ids: bytes) -> None:
-        self.young[word] = ids
-        self.held += ENTRY_BYTES + len(word) + len(ids)
-
-    def _learn(self, words: list[str]) -> None:
-        young, old = self.young, self.old
-        plain, odd, later = [], [], []
+    def _learn(self, words: set[str]) -> None:
+        young, plain, odd, later = self.young, [], [], []
         for w in words:
+            if w in young:
+                continue
             if w.isalpha():
                 plain.append(w)
-            elif (core := w.rstrip(".,")).isalpha() and core.lower().isalpha():
+            elif (core := w.rstrip(punctuation)).isalpha() and core.lower().isalpha():
                 later.append((w, core, w[len(core) :]))
             else:
                 odd.append(w)
-        known = set(plain)
-        for _, core, tail in later:
-            for part, group in ((core, plain), (tail, odd)):
-                if part not in young and part not in known:
-                    if part in old:
-                        self._keep(part, old[part])
-                    else:
-                        known.add(part)
-                        group.append(part)
+        for group, at in ((plain, 1), (odd, 2)):
+            group += {x for part in later if (x := part[at]) not in young and x not in words}
         encode = self.tokenizer.encode_batch_fast
         for at in range(0, len(plain), JOINED * GROUPS):
-            slice_ = plain[at : at + JOINED * GROUPS]
-            groups = [slice_[i : i + JOINED] for i in range(0, len(slice_), JOINED)]
+            groups = [plain[i : i + JOINED] for i in range(at, min(at + JOINED * GROUPS, len(plain)), JOINED)]
             for group, found in zip(groups, encode([" ".join(g) for g in groups], add_special_tokens=False)):
                 ids = np.array(found.ids, "<u4")
                 cuts = np.flatnonzero(self.ends[ids]) + 1
                 if len(cuts) != len(group):
                     odd.extend(group)
                     continue
-                raw, a = ids.tobytes(), 0
-                for w, b in zip(group, (cuts * 4).tolist()):
-                    self._keep(w, raw[a:b])
-                    a = b
+                raw, cuts = ids.tobytes(), [0, *(cuts * 4).tolist()]
+                young.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
         for at in range(0, len(odd), JOINED * GROUPS):
             slice_ = odd[at : at + JOINED * GROUPS]
-            for w, found in zip(slice_, encode(slice_, add_special_tokens=False)):
-                self._keep(w, np.array(found.ids, "<u4").tobytes())
+            young.update((w, np.array(found.ids, "<u4").tobytes()) for w, found in zip(slice_, encode(slice_, add_special_tokens=False)))
         for w, core, tail in later:
-            self._keep(w, young[core] + young[tail])
+            young[w] = young[core] + young[tail]
+        self.held += sum(map(len, words)) * 2 + len(words) * ENTRY_BYTES
 
 
 def _cut(text: str) -> Iterator[str]:
