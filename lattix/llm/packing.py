@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattix.llm.shared import stash
+from lattix.llm.shared import ranked, stash
 from lattix.llm.tokens import with_ids
 
 CAPACITY = 2048
@@ -218,14 +218,6 @@ def _solve(blocks: DataFrame, n: int, capacity: int) -> DataFrame:
     return done.groupBy("block").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"))
 
 
-def _ranked(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``rank`` from 0 in ``order``: rows are range-sorted and written, then numbered by file and row, so no task has them all."""
-    rows = stash(df.orderBy(*order), "ranked").select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    counts = rows.groupBy(F.col("__file").alias("__name")).agg(F.count("*").alias("__n"))
-    before = counts.select("__name", (F.sum("__n").over(Window.orderBy("__name")) - F.col("__n")).alias("__before"))
-    return rows.join(before, F.col("__file") == F.col("__name")).withColumn("rank", F.col("__before") + F.col("__row")).drop("__file", "__row", "__name", "__n", "__before")
-
-
 def pack(pieces: DataFrame, size: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: each piece in a sequence of ``capacity`` at most, without gaps.
 
@@ -242,15 +234,15 @@ def pack(pieces: DataFrame, size: str = "length", capacity: int = CAPACITY) -> D
     place = F.col(PLACE) if PLACE in pieces.columns else F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"), F.lit(0).alias("piece"))
     # Written with a number of its own, so that the pieces meet their places over one long.
     table = stash(pieces.where(fits).select(rows, place.alias("place"), F.monotonically_increasing_id().alias("key")), "pieces", "zstd")
-    ranked = stash(_ranked(table.select("place", "key", F.col(f"row.{size}").cast("int").alias("size")), ["place.file", "place.at", "place.piece"]).drop("place"), "pool")
-    pool, done = ranked.select("rank", "size"), None
+    places = stash(ranked(table.select("place", "key", F.col(f"row.{size}").cast("int").alias("size")), ["place.file", "place.at", "place.piece"]).drop("place"), "pool")
+    pool, done = places.select("rank", "size"), None
     for step in range(ROUNDS):
         count = pool.count()
         if not count and step:
             break
         n = max(1, -(-count // BLOCK))
         last = n == 1 or step == ROUNDS - 1
-        numbered = pool.withColumn("at", F.col("rank")) if not step else _ranked(pool.withColumnRenamed("rank", "first"), ["first"]).select(F.col("first").alias("rank"), "size", F.col("rank").alias("at"))
+        numbered = pool.withColumn("at", F.col("rank")) if not step else ranked(pool.withColumnRenamed("rank", "first"), ["first"]).select(F.col("first").alias("rank"), "size", F.col("rank").alias("at"))
         dealt = numbered.withColumn("block", F.expr(f"at div {max(1, -(-count // n))}"))
         blocks = stash(dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("rank", "size"))).alias("rows")), "blocks")
         solved = _solve(blocks.select("block", F.col("rows.size").alias("sizes")), n, capacity)
@@ -265,8 +257,8 @@ def pack(pieces: DataFrame, size: str = "length", capacity: int = CAPACITY) -> D
             break
         pool = stash(placed.where(~well).select("rank", "size"), "pool")
     key = ["step", "block", "bin"]
-    order = _ranked(done.groupBy(*key).agg(F.avg("rank").alias("mean")), ["mean", *key]).select(*key, F.col("rank").alias("sequence_id"))
-    found = ranked.select("rank", "key").join(done.join(order, key), "rank").select("key", "sequence_id", F.col("offset").cast("long").alias("offset"))
+    order = ranked(done.groupBy(*key).agg(F.avg("rank").alias("mean")), ["mean", *key]).select(*key, F.col("rank").alias("sequence_id"))
+    found = places.select("rank", "key").join(done.join(order, key), "rank").select("key", "sequence_id", F.col("offset").cast("long").alias("offset"))
     return table.join(found, "key").select(*(F.col("row").getField(c).alias(c) for c in names), "sequence_id", "offset")
 
 

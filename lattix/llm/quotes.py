@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.shared import stash
+from lattix.llm.shared import bounded, ranked, stash
 
 MARKS = re.compile(r"[ \t]*((?:>[ \t]*)+)(.*)", re.S)
 ATTRIBUTION = re.compile(r"(?i)\s*(on\b.*\bwrote|.*\bschrieb|le\b.*\ba écrit|.*\bescribió)\s*:\s*")
-PARSED = "own string, passages array<struct<level:int,hash:long>>, own_hashes array<long>"
+#: Tags that open and close a quote, and lines after which all is one.
+TAG = re.compile(r"(?i)\[(/?)quote\b[^\]\n]*\]")
+BELOW = re.compile(r"(?i)\s*-{2,}\s*(original message|forwarded message|ursprüngliche nachricht|message d'origine|mensaje original)\s*-{2,}\s*")
+PARSED = "own string, n_quotes int, passages array<struct<level:int,n:int,words:int,hash:long>>, own_hashes array<long>"
 
 
 def normal(passage: str) -> str:
@@ -25,24 +28,24 @@ def digest(passage: str) -> int:
     return int.from_bytes(hashlib.blake2b(passage.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def parse(text: str | None) -> tuple[str | None, list[tuple[int, str]]]:
-    """The text without quotes, and its quoted passages in order with their levels (1: one mark).
+def parse(text: str | None) -> tuple[str | None, list[tuple[int, list[str]]]]:
+    """The text without quotes, and its quoted passages in order: their levels (1: one mark) and normalised lines.
 
-    A passage is a run of lines of one level; a blank quoted line parts passages. A line before a quote that only
-    says who wrote it belongs to the quote.
+    Levels add up over ``>`` marks, ``[quote]`` tags and the lines after which all is quoted. A passage is a run of
+    lines of one level; a blank quoted line parts passages. A line before a quote that only says who wrote it belongs
+    to the quote.
     """
     if text is None:
         return None, []
-    own, passages, level_now, run = [], [], 0, []
+    own, passages, level_now, run, tags, below = [], [], 0, [], 0, 0
 
     def close():
-        if run and (whole := normal("\n".join(run))):
-            passages.append((level_now, whole))
+        if lines := [x for line in run if (x := normal(line))]:
+            passages.append((level_now, lines))
         run.clear()
 
-    for line in text.split("\n"):
-        found = MARKS.fullmatch(line)
-        level, body = (found[1].count(">"), found[2]) if found else (0, line)
+    def feed(level, body):
+        nonlocal level_now
         if level != level_now or (level and not body.strip()):
             close()
         if level and not level_now:
@@ -52,71 +55,139 @@ def parse(text: str | None) -> tuple[str | None, list[tuple[int, str]]]:
                 own.pop()
         level_now = level
         (run if level else own).append(body)
+
+    for line in text.split("\n"):
+        found = MARKS.fullmatch(line)
+        marks, body = (found[1].count(">"), found[2]) if found else (0, line)
+        if BELOW.fullmatch(body):
+            below += 1
+            continue
+        at, tagged = 0, False
+        for tag in TAG.finditer(body):
+            if body[at : tag.start()].strip():
+                feed(marks + tags + below, body[at : tag.start()])
+            tags, at, tagged = max(0, tags + (-1 if tag[1] else 1)), tag.end(), True
+        if not tagged or body[at:].strip():
+            feed(marks + tags + below, body[at:])
     close()
     return "\n".join(own).strip("\n"), passages
 
 
+def windows(lines: list[str]) -> list[tuple[int, int, int]]:
+    """``(first, length, hash)`` of all runs of 1, 2, 4, ... of the lines: a run's hash is that of its halves'."""
+    now, size, out = [digest(x) for x in lines], 1, []
+    while now:
+        out += [(i, size, h) for i, h in enumerate(now)]
+        now = [digest(f"{a} {b}") for a, b in zip(now, now[size:])]
+        size *= 2
+    return out
+
+
+def passage_hashes(lines: list[str]) -> list[tuple[int, int]]:
+    """``(words, hash)`` by which a quoted passage is known: its runs of lines, and the whole of it however it is wrapped."""
+    sizes = [len(x.split()) for x in lines]
+    whole = " ".join(lines)
+    return [(sum(sizes), digest(whole)), *((sum(sizes[i : i + n]), h) for i, n, h in windows(lines))]
+
+
+def own_hashes(own: str | None) -> set[int]:
+    """Hashes by which an author's own text is known: the whole, its paragraphs and its runs of lines that have a word."""
+    if not own:
+        return set()
+    parts = [normal(own), *(normal(p) for p in re.split(r"\n[ \t]*\n", own))]
+    lines = [x for line in own.split("\n") if (x := normal(line))]
+    return {digest(p) for p in parts if p} | {h for *_, h in windows(lines)}
+
+
 def _parsed(messages: DataFrame) -> DataFrame:
     @F.arrow_udf(PARSED)
     def of(texts: pa.Array) -> pa.Array:
-        owns, quoted, hashes = [], [], []
+        owns, counts, quoted, hashes = [], [], [], []
         for t in texts:
             own, passages = parse(t.as_py())
-            paragraphs = [] if own is None else [normal(p) for p in re.split(r"\n[ \t]*\n", own)]
-            lines = [] if own is None else [normal(p) for p in own.split("\n")]
             owns.append(own)
-            quoted.append([{"level": level, "hash": digest(p)} for level, p in passages])
-            hashes.append(sorted({digest(p) for p in [*paragraphs, *lines, normal(own or "")] if p}))
-        kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())]))
-        return pa.StructArray.from_arrays([pa.array(owns, pa.string()), pa.array(quoted, kind), pa.array(hashes, pa.list_(pa.int64()))], ["own", "passages", "own_hashes"])
+            counts.append(len(passages))
+            quoted.append([{"level": level, "n": n, "words": words, "hash": h} for n, (level, lines) in enumerate(passages) for words, h in passage_hashes(lines)])
+            hashes.append(sorted(own_hashes(own)))
+        kind = pa.list_(pa.struct([("level", pa.int32()), ("n", pa.int32()), ("words", pa.int32()), ("hash", pa.int64())]))
+        return pa.StructArray.from_arrays([pa.array(owns, pa.string()), pa.array(counts, pa.int32()), pa.array(quoted, kind), pa.array(hashes, pa.list_(pa.int64()))], ["own", "n_quotes", "passages", "own_hashes"])
 
-    return messages.withColumn("p", of(F.col("text"))).select("conv_id", "turn", "role", "p.own", "p.passages", "p.own_hashes")
+    return bounded(messages).withColumn("p", of(F.col("text"))).select("conv_id", "turn", "role", F.xxhash64("text").alias("th"), "p.own", "p.n_quotes", "p.passages", "p.own_hashes")
 
 
-def link_quotes(messages: DataFrame) -> DataFrame:
-    """One row per message: ``(conv_id, turn, role, thread_conv, thread_turn, parent_conv, parent_turn, depth, n_quotes, text)``.
+def _originals(rows: DataFrame) -> DataFrame:
+    """``(rank, quoted)``: for each message with quotes that are found, the place of the message it quotes.
 
-    Passages are whole messages, paragraphs or lines of the author's own text, normalised in case and white space. A
-    message's parent is the original of its first passage of the lowest quote level that has one: the first message of
-    its own conversation with that passage, else the first of all conversations in order of (conv_id, turn), before the
-    message itself in either case. Without such a passage it replies to the turn before it in its conversation.
-    Parents come before their replies, so links form trees: ``thread_*`` names the root, ``depth`` the steps to it, and
-    ``text`` is without quotes. Each hash keeps one original for each conversation and one for all, so a passage that
-    thousands share makes no pairs.
-
-    Rows that repeat (conv_id, turn) are one message: the one of least (role, text) stays. Rows with a null conv_id or
-    turn link to nothing and nothing to them: they are roots of depth 0. Null texts stay null; empty ones have no
-    passages. Other columns are ignored. An empty table gives an empty result.
+    A passage's hash keeps one original for each conversation and two for all, so a passage that thousands share makes
+    no pairs.
     """
-    whole = _parsed(messages.select("conv_id", "turn", "role", "text"))
-    loose = whole.where("conv_id is null or turn is null")
-    rows = whole.where("conv_id is not null and turn is not null")
-    rows = stash(rows.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "own", "passages", "own_hashes")).alias("m")).select("conv_id", "turn", "m.*"), "messages")
-    place = F.struct("conv_id", "turn")
-    quoted = rows.select("conv_id", "turn", F.posexplode("passages").alias("n", "q")).select("conv_id", "turn", F.col("q.level").alias("level"), "n", F.col("q.hash").alias("hash"))
-    originals = rows.select("conv_id", "turn", F.explode("own_hashes").alias("hash")).join(quoted.select("hash").distinct(), "hash", "left_semi")
-    own = originals.groupBy("conv_id", "hash").agg(F.min("turn").alias("own_turn"))
-    every = originals.groupBy("hash").agg(F.min(place).alias("first"))
-    found = quoted.join(own, ["conv_id", "hash"], "left").join(every, "hash", "left")
-    inside = F.when(F.col("own_turn") < F.col("turn"), F.struct("conv_id", F.col("own_turn").alias("turn")))
-    outside = F.when(F.col("first") < place, F.col("first"))
+    quoted = rows.select("rank", "conv_id", F.explode("passages").alias("q")).select("rank", "conv_id", "q.*")
+    place = F.struct("rank", "conv_id", "turn")
+    held = rows.select("rank", "conv_id", "turn", F.explode("own_hashes").alias("hash")).join(quoted.select("hash").distinct(), "hash", "left_semi")
+    own = stash(held.groupBy("conv_id", "hash").agg(F.min(place).alias("own")), "own")
+    first = stash(own.groupBy("hash").agg(F.min("own").alias("first")), "first")
+    others = own.join(first, "hash").where(F.col("conv_id") != F.col("first.conv_id")).groupBy("hash").agg(F.min("own").alias("second"))
+    both = first.join(others, "hash", "left")
+    found = quoted.join(own, ["conv_id", "hash"], "left").join(both, "hash", "left")
+    inside = F.when(F.col("own.rank") < F.col("rank"), F.col("own"))
+    outside = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
     found = found.withColumn("parent", F.coalesce(inside, outside)).where("parent is not null")
-    parents = found.groupBy("conv_id", "turn").agg(F.min_by("parent", F.struct("level", "n")).alias("quoted"))
-    turns = rows.select("conv_id", "turn", F.size("passages").alias("n_quotes"), F.expr("lag(turn) over (partition by conv_id order by turn)").alias("before"))
-    linked = turns.join(parents, ["conv_id", "turn"], "left")
-    linked = linked.withColumn("parent", F.coalesce("quoted", F.when(F.col("before").isNotNull(), F.struct("conv_id", F.col("before").alias("turn")))))
-    up = stash(linked.select("conv_id", "turn", "n_quotes", "parent", F.coalesce("parent", place).alias("root"), F.col("parent").isNotNull().cast("int").alias("depth")), "links")
-    known, still = up.where("depth = 0").withColumn("open", F.lit(False)), up.where("depth > 0").withColumn("open", F.lit(True))
-    while not still.isEmpty():  # each round doubles the steps that a pointer spans; messages whose root is found leave the rounds
-        above = known.unionByName(still).where("depth > 0").select(place.alias("at"), F.col("root").alias("higher"), F.col("depth").alias("more"), F.col("open").alias("on"))
-        joined = still.join(above, still.root == above["at"], "left")
-        moved = stash(joined.select("conv_id", "turn", "n_quotes", "parent", F.coalesce("higher", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("on", F.lit(False)).alias("open")), "links")
+    return found.groupBy("rank").agg(F.min_by("parent", F.struct("level", -F.col("words"), "n", "parent.rank")).alias("quoted"))
+
+
+def _before(rows: DataFrame) -> DataFrame:
+    """``(rank, before)``: the first message of the turn before, found by rank, so that no conversation meets in one task."""
+    slim = rows.select("rank", "conv_id", "turn")
+    firsts = slim.groupBy("conv_id", "turn").agg(F.min("rank").alias("first"))
+    at = stash(slim.join(firsts, ["conv_id", "turn"]), "turns")
+    last = at.select(F.col("rank").alias("l_rank"), F.col("conv_id").alias("l_conv"), F.struct(F.col("first").alias("rank"), "conv_id", "turn").alias("before"))
+    return at.join(last, (F.col("first") - 1 == F.col("l_rank")) & (F.col("conv_id") == F.col("l_conv"))).select("rank", "before")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """``links(rank, place, parent, before)`` with ``root`` and ``depth``; where links run in a circle, some are replaced by ``before``."""
+    parent = F.col("parent")
+    up = stash(links.withColumns({"root": F.coalesce(parent, F.col("place")), "depth": parent.isNotNull().cast("int")}), "links")
+    known, still, left = up.where("depth = 0").withColumn("open", F.lit(False)), up.where("depth > 0").withColumn("open", F.lit(True)), None
+    while now := still.count():
+        if now == left:  # no root was found in a round: the rest runs in circles
+            later = F.col("parent.rank") > F.col("rank")
+            cut = known.drop("open", "root", "depth").unionByName(still.drop("open", "root", "depth").withColumn("parent", F.when(later, F.col("before")).otherwise(parent)))
+            return _roots(cut)
+        left = now
+        # Each round doubles the steps that a pointer spans; messages whose root is found leave the rounds.
+        above = known.unionByName(still).where("depth > 0").select(F.col("rank").alias("at"), F.col("root").alias("higher"), F.col("depth").alias("more"), F.col("open").alias("on"))
+        joined = still.join(above, F.col("root.rank") == F.col("at"), "left")
+        moved = stash(joined.select("rank", "place", "parent", "before", F.coalesce("higher", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("on", F.lit(False)).alias("open")), "links")
         known, still = known.unionByName(moved.where("not open")), moved.where("open")
-    up = known.drop("open")
-    done = rows.select("conv_id", "turn", "role", "own").join(up, ["conv_id", "turn"])
-    done = done.select("conv_id", "turn", "role", F.col("root.conv_id").alias("thread_conv"), F.col("root.turn").alias("thread_turn"), F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"), "depth", "n_quotes", F.col("own").alias("text"))
+    return known.drop("open")
+
+
+def link_quotes(messages: DataFrame) -> DataFrame:
+    """One row per message: ``(conv_id, turn, role, thread_conv, thread_turn, parent_conv, parent_turn, depth, n_quotes, text)``.
+
+    A quoted passage is known by its whole and by its runs of 1, 2, 4, ... lines, normalised in case and white space; an
+    original by its whole, its paragraphs and such runs of its author's own lines. A message's parent is the original
+    of what it quotes at the lowest level that is found anywhere, there of the run with most words, then the first: the
+    first message of its own conversation before itself that has the run, else the first of another conversation, in
+    order of (conv_id, turn), earlier or later. Without a quote that is found it replies to the first message of the
+    turn before it in its conversation. ``thread_*`` names the root, ``depth`` the steps to it, ``text`` is without
+    quotes. Where parents run in a circle, or into one, links to later (conv_id, turn) give way to the turn before.
+
+    Rows equal in conv_id, turn, role and text are one message; others of one (conv_id, turn) are messages of their
+    own, ordered by role and a hash of the text. Rows with a null conv_id or turn link to nothing and nothing to them:
+    they are roots of depth 0. Null texts stay null; empty ones have no passages. Other columns are ignored. An empty
+    table gives an empty result.
+    """
+    whole = stash(_parsed(messages.select("conv_id", "turn", "role", "text").distinct()), "parsed")
     null = F.lit(None).cast("long")
-    return done.unionByName(loose.select("conv_id", "turn", "role", F.col("conv_id").alias("thread_conv"), F.col("turn").alias("thread_turn"), null.alias("parent_conv"), null.alias("parent_turn"), F.lit(0).alias("depth"), F.size("passages").alias("n_quotes"), F.col("own").alias("text")))
+    loose = whole.where("conv_id is null or turn is null").select("conv_id", "turn", "role", F.col("conv_id").alias("thread_conv"), F.col("turn").alias("thread_turn"), null.alias("parent_conv"), null.alias("parent_turn"), F.lit(0).alias("depth"), "n_quotes", F.col("own").alias("text"))
+    rows = ranked(whole.where("conv_id is not null and turn is not null"), ["conv_id", "turn", "role", "th"])
+    place = F.struct("rank", "conv_id", "turn")
+    links = rows.select("rank", place.alias("place")).join(_originals(rows), "rank", "left").join(_before(rows), "rank", "left")
+    up = _roots(links.select("rank", "place", F.coalesce("quoted", "before").alias("parent"), "before"))
+    done = rows.select("rank", "conv_id", "turn", "role", "own", "n_quotes").join(up, "rank")
+    return done.select("conv_id", "turn", "role", F.col("root.conv_id").alias("thread_conv"), F.col("root.turn").alias("thread_turn"), F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"), "depth", "n_quotes", F.col("own").alias("text")).unionByName(loose)
 
 
 def reply_order(linked: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattix.llm.components import components
-from lattix.llm.shared import stash
+from lattix.llm.shared import bounded, stash
 
 #: Fingerprints in a tile, on average at most.
 TILE = 1024
@@ -22,8 +22,11 @@ CHUNK = 1 << 15
 BANDS = 16
 BAND_ROWS = 4
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-#: Texts of a band's value that are all compared with one another; more are dealt to groups of so many, and meet one text besides.
+#: Texts of a band's value that are all compared with one another at once; more are dealt to groups of so many and meet
+#: one text besides, and what that leaves apart is compared in tiles.
 BUCKET = 16
+#: Sets in such a tile and bytes of their shingles, on average at most; minima of 64 that sets of 0.8 share but for 2 in 10,000.
+TILE_SETS, TILE_BYTES, AGREE = 256, 8 << 20, 40
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -63,7 +66,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", shingle:
     def of(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64))
 
-    return docs.withColumn(out, of(F.col(text).cast("binary")))
+    return bounded(docs).withColumn(out, of(F.col(text).cast("binary")))
 
 
 def _linked(radius: int):
@@ -125,12 +128,15 @@ def link_fingerprints(fps: DataFrame, radius: int = 3, fp: str = "fp", tile: int
     counts = [F.bit_count(F.shiftrightunsigned(fp, 16 * q).bitwiseAND(F.lit(0xFFFF))) for q in range(4)]
     cells = fps.where(F.col(fp).isNotNull()).select(F.col(fp).alias("fp")).distinct().select("fp", sum((c * (32**q) for q, c in enumerate(counts)), F.lit(0)).cast("int").alias("cell"))
     # At most 17 ** 4 cells of a few bytes each: broadcasting them is bounded.
-    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    parts = stash(cells.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts")), "cells")
     tiles = cells.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     tiles = stash(tiles.groupBy("cell", "part").agg(F.collect_list("fp").alias("fps")), "tiles")
     steps = [sum(d * 32**q for q, d in enumerate(s)) for s in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, s)) <= radius and s >= (0, 0, 0, 0)]
     near = tiles.select(F.explode(F.array(*(F.col("cell") + s for s in steps))).alias("other"), F.col("cell").alias("own"), F.col("part").alias("own_part"), F.col("fps").alias("own_fps"))
-    pairs = near.join(tiles, near.other == tiles.cell).where("own <> cell or own_part <= part")
+    # Joined by cell and part, so that the middle cells, which hold most tiles, are spread out.
+    known = parts.withColumnRenamed("cell", "p_cell")
+    near = near.join(F.broadcast(known), near.other == known.p_cell).withColumn("other_part", F.explode(F.sequence(F.when(F.col("own") == F.col("other"), F.col("own_part")).otherwise(F.lit(0)), F.col("parts") - 1))).drop("p_cell", "parts")
+    pairs = near.join(tiles, (near.other == tiles.cell) & (near.other_part == tiles.part))
     pairs = pairs.select("own_fps", "fps", F.expr("own = cell and own_part = part").alias("same"))
     return pairs.mapInArrow(_linked(radius), "a long, b long")
 
@@ -162,29 +168,31 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
-def _bands(shingles: np.ndarray) -> list[int]:
-    """A value for each band: a hash of ``BAND_ROWS`` minima of the shingles' hashes."""
+def _bands(shingles: np.ndarray) -> tuple[list[int], bytes]:
+    """A value for each band: a hash of ``BAND_ROWS`` minima of the shingles' hashes; and the last byte of each minimum."""
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), CHUNK // 8):
         least = np.minimum(least, (shingles[at : at + CHUNK // 8][None, :] * _FACTORS).min(1))
-    return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))], least.astype(np.uint8).tobytes()
 
 
 def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, fp, digest, bands)``; equal digests (128 bits) are equal sets of shingles."""
+    """``(doc_id, fp, digest, bands, minima)``; equal digests (128 bits) are equal sets of shingles."""
 
-    @F.arrow_udf("fp long, digest binary, bands array<long>")
+    @F.arrow_udf("fp long, digest binary, bands array<long>, minima binary")
     def of(texts: pa.Array) -> pa.Array:
-        fps, digests, bands = [], [], []
+        fps, digests, bands, minima = [], [], [], []
         for t in texts:
             chunks = list(_hashes(t.as_py(), shingle))
             shingles = np.unique(np.concatenate(chunks)) if chunks else np.empty(0, np.uint64)
             fps.append(_fingerprint(chunks))
             digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-            bands.append(np.array(_bands(shingles), np.uint64).view(np.int64))
-        return pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["fp", "digest", "bands"])
+            values, last = _bands(shingles)
+            bands.append(np.array(values, np.uint64).view(np.int64))
+            minima.append(last)
+        return pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(minima, pa.binary())], ["fp", "digest", "bands", "minima"])
 
-    return docs.select("doc_id", of(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.*")
+    return bounded(docs).select("doc_id", of(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.*")
 
 
 def _shingles(docs: DataFrame, shingle: int) -> DataFrame:
@@ -211,18 +219,77 @@ def _similar(similarity: float):
     return work
 
 
+def _apart(similarity: float):
+    """Links between the sets of two tiles that are not connected yet; of two roots the first found is enough."""
+
+    def side(rows: pa.StructArray):
+        shingles = [np.frombuffer(x.as_py(), "<u8") for x in rows.field("shingles")]
+        minima = np.frombuffer(b"".join(rows.field("minima").to_pylist()), np.uint8).reshape(len(rows), -1)
+        bands = rows.field("bands").flatten().to_numpy().reshape(len(rows), -1)
+        return rows.field("node").to_numpy(), rows.field("root").to_numpy(), minima, bands, shingles, np.array([len(x) for x in shingles])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                band = batch.column("band")[i].as_py()
+                (a, ra, ma, ba, sa, na), (b, rb, mb, bb, sb, nb) = side(batch.column("one")[i].values), side(batch.column("two")[i].values)
+                near = ra[:, None] != rb[None, :]
+                near &= np.minimum(na[:, None], nb[None, :]) >= similarity * np.maximum(na[:, None], nb[None, :])
+                # A pair is met in the first band that it shares only.
+                near &= (ba[:, None, :] == bb[None, :, :]).argmax(2) == np.flatnonzero(ba[0] == band)[0]
+                near &= (ma[:, None, :] == mb[None, :, :]).sum(2) >= AGREE
+                left, right, done = [], [], set()
+                for x, y in zip(*np.nonzero(near)):
+                    if (key := (min(ra[x], rb[y]), max(ra[x], rb[y]))) in done:
+                        continue
+                    shared = len(np.intersect1d(sa[x], sb[y], True))
+                    if shared and shared >= similarity * (na[x] + nb[y] - shared):
+                        done.add(key)
+                        left.append(min(a[x], b[y]))
+                        right.append(max(a[x], b[y]))
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return work
+
+
+def _remaining(large: DataFrame, sets: DataFrame, shingles: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame | None:
+    """Links among the sets of ``large(band, node)`` that ``pairs`` do not connect: none if all sets of each band are one component.
+
+    Sets outside of a band's largest component meet all others of the band, in tiles that are joined by (band, part),
+    so that a band with many sets is spread out.
+    """
+    placed = large.select("band", "node").join(components(pairs), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    placed = stash(placed, "placed")
+    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
+    sizes = stash(sizes, "open")
+    if sizes.isEmpty():
+        return None
+    members = placed.join(sizes.drop("roots"), "band").join(sets.select("node", "bands", "minima"), "node").join(shingles, "node")
+    members = stash(members, "members")
+    parts = members.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum(F.octet_length("shingles")) / TILE_BYTES)).cast("int").alias("parts"))
+    dealt = members.join(stash(parts, "parts"), "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = F.collect_list(F.struct("node", "root", "minima", "bands", "shingles"))
+    tiles = stash(dealt.groupBy("band", "part").agg(rows.alias("rows"), F.max("parts").alias("parts"), F.bool_or(F.col("root") != F.col("main")).alias("some")), "settiles")
+    one = tiles.select("band", "part", F.col("rows").alias("one"), F.col("some").alias("some_one"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"))
+    two = tiles.select(F.col("band").alias("o_band"), F.col("part").alias("o_part"), F.col("rows").alias("two"), "some")
+    both = one.join(two, (F.col("band") == F.col("o_band")) & (F.col("other") == F.col("o_part"))).where("some or some_one")
+    return both.select("band", "one", "two").mapInArrow(_apart(similarity), "a long, b long")
+
+
 def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
     """``(nodes, pairs)``: ``nodes(node)``, the smallest id of each set of word shingles, and ``pairs(a, b)`` of nodes whose sets have a Jaccard similarity of ``similarity`` or more.
 
     Candidates share a min-hash band or are linked by fingerprints within 3 bits; each is then compared exactly, so no
     other pair is returned. A fingerprint radius alone doesn't do: at 0.8 fingerprints differ by about 10 of 64 bits, so
     tiles would meet nearly all others. A band's value that many sets have makes no square of pairs: each set meets
-    some ``BUCKET`` others and the set that shares most bands.
+    some ``BUCKET`` others and the set that shares most bands; of what is still apart then, a pair is returned for each
+    two components that some pair of the value connects (``_remaining``). So of a value's sets not all pairs are
+    returned, but all that are connected by pairs are connected by those returned.
     """
     marked = stash(_sketched(docs, shingle), "sketches")
     nodes = stash(marked.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     kept = nodes.where("node is not null").withColumnRenamed("digest", "d")
-    sets = stash(marked.join(kept, (marked.doc_id == kept.node) & (marked.digest == kept.d)).select("node", "fp", "bands").dropDuplicates(["node"]), "sets")
+    sets = stash(marked.join(kept, (marked.doc_id == kept.node) & (marked.digest == kept.d)).select("node", "fp", "bands", "minima").dropDuplicates(["node"]), "sets")
     exploded = sets.select("node", F.explode("bands").alias("band"))
     many = exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = stash(exploded.join(many, "band").withColumn("part", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BUCKET))), "bands")
@@ -241,7 +308,9 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) ->
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(used, "node", "left_semi").dropDuplicates(["node"])
     shingles = stash(_shingles(texts, shingle), "shingles")
     both = pairs.join(shingles.withColumnRenamed("shingles", "x"), F.col("a") == F.col("node")).drop("node").join(shingles.withColumnRenamed("shingles", "y"), F.col("b") == F.col("node"))
-    return nodes.select("node"), both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+    linked = stash(both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "linked")
+    more = _remaining(large, sets, shingles, linked, similarity)
+    return nodes.select("node"), linked if more is None else linked.unionByName(more)
 
 
 def keep_one_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

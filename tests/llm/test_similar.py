@@ -61,3 +61,27 @@ def test_a_large_group_makes_no_square_of_pairs(spark):
     assert [r.doc_id for r in simhash.keep_one_similar(docs).collect()] == [0]
     assert simhash.keep_one_similar(docs.limit(0)).count() == 0
     assert simhash.similar_pairs(docs)[1].count() < 100 * len(texts)
+
+
+def test_sets_of_one_band_that_no_hub_connects_are_all_found(spark, monkeypatch):
+    """Forty families share a start that gives many the same band values; each family's copies are alike, families are not."""
+    rng = np.random.default_rng(6)
+    start, rows = [f"s{x}" for x in range(200)], []
+    for f in range(40):
+        own = [f"f{f}x{x}" for x in rng.integers(0, 10_000, 120)]
+        for _ in range(6):
+            near = list(own)
+            near[int(rng.integers(0, 120))] = f"c{rng.integers(1 << 30)}"
+            rows.append(" ".join(start + near))
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    monkeypatch.setattr(simhash, "BUCKET", 3)
+    monkeypatch.setattr(simhash, "TILE_SETS", 20)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets, kept = [shingles(t) for t in rows], []
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    kept = sorted(set(group))
+    assert sorted(r.doc_id for r in simhash.keep_one_similar(docs).collect()) == kept
