@@ -40,17 +40,25 @@ EQUIVALENT = [("licence", "license"), ("licences", "licenses"), ("licenced", "li
 COPYRIGHT_LINE = r"^[\x20\x09-\x0D*#/;-]*(copyright|\(c\)|©|copr\.)[\x20\x09-\x0D]+(\(c\)|©|[0-9]{4}|by[\x20\x09-\x0D]).*$|^[\x20\x09-\x0D]*all rights reserved\.?[\x20\x09-\x0D]*$"
 
 
-def canonical_line(line: Column) -> Column:
-    """A line in lower case, without punctuation, spellings unified, words parted by one blank; empty for copyright lines.
+def lowered(text: Column) -> Column:
+    """A-Z in lower case; letters outside of ASCII are kept as they are, so that every engine agrees."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-    Letters outside a-z are kept as they are (only A-Z are lower-cased, so that every engine agrees).
+
+def canonical(low: Column) -> Column:
+    """Lower-case text without punctuation, spellings unified, words parted by one blank.
+
+    Words have blanks of their own on both sides while spellings are replaced, so that one that follows itself, or
+    shares a blank with the next, is replaced each time.
     """
-    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    text = F.when(low.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(low)
-    text = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, PUNCTUATION, " ")), F.lit(" "))
+    text = F.concat(F.lit(" "), F.replace(F.trim(F.regexp_replace(low, PUNCTUATION, " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
     for old, new in EQUIVALENT:
-        text = F.replace(text, F.lit(f" {old.replace('-', ' ')} "), F.lit(f" {new} "))
-    return F.trim(text)
+        text = F.replace(text, F.lit(spaced(old)), F.lit(spaced(new)))
+    return F.replace(F.trim(text), F.lit("  "), F.lit(" "))
+
+
+def spaced(words: str) -> str:
+    return f" {'  '.join(words.replace('-', ' ').split())} "
 
 
 #: What parts words: white space and ASCII punctuation, typographic quotes and dashes.
@@ -60,13 +68,16 @@ PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F ‐-―‘-‟•…]+"
 def with_digests(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``digest`` (SHA-256 of the whole canonical text; null where it is empty) and ``line_digests`` of its lines.
 
-    Lines are canonicalised one by one and joined by a blank, so line breaks don't matter to the whole.
+    Lines that only state a copyright are dropped first. The whole is made of the others joined, so it is the same
+    wherever its lines are broken, within a hyphenated word or a spelling of two words as well; the lines are made
+    canonical one by one besides.
     """
-    # A second expression on the computed array would run the canonical form twice: one row is made for each text first.
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), canonical_line), lambda x: x != "")
-    whole = docs.withColumn("__lines", F.explode(F.array(lines)))
-    digest = F.when(F.size("__lines") > 0, F.sha2(F.array_join("__lines", " "), 256))
-    return whole.withColumns({"digest": digest, "line_digests": F.transform("__lines", lambda x: F.sha2(x, 256))}).drop("__lines")
+    # A second expression on a computed value would compute it again: one row is made for each text first.
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lowered), lambda x: ~x.rlike(COPYRIGHT_LINE))
+    split = docs.withColumn("__lines", F.explode(F.array(lines)))
+    whole = split.withColumn("__whole", F.explode(F.array(canonical(F.array_join("__lines", "\n")))))
+    single = F.filter(F.transform("__lines", canonical), lambda x: x != "")
+    return whole.withColumns({"digest": F.when(F.col("__whole") != "", F.sha2("__whole", 256)), "line_digests": F.transform(single, lambda x: F.sha2(x, 256))}).drop("__lines", "__whole")
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:

@@ -71,25 +71,25 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _canonical_sql() -> str:
-    low = f"CASE WHEN regexp_matches({_LOW}, {_quoted(licenses.COPYRIGHT_LINE)}) THEN '' ELSE {_LOW} END"
-    text = f"' ' || trim(regexp_replace({low}, {_quoted(licenses.PUNCTUATION)}, ' ', 'g')) || ' '"
+def _canonical_sql(low: str) -> str:
+    text = f"' ' || replace(trim(regexp_replace({low}, {_quoted(licenses.PUNCTUATION)}, ' ', 'g')), ' ', '  ') || ' '"
     for old, new in licenses.EQUIVALENT:
-        text = f"replace({text}, ' {old.replace('-', ' ')} ', ' {new} ')"
-    return f"trim({text})"
+        text = f"replace({text}, {_quoted(licenses.spaced(old))}, {_quoted(licenses.spaced(new))})"
+    return f"replace(trim({text}), '  ', ' ')"
 
 
 def _op7_sql() -> str:
     known = ", ".join(f"({i}, {_quoted(k)}, {_quoted(t)})" for i, (k, t) in enumerate(licenses.KNOWN))
-    lines = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: " + _canonical_sql() + "), lambda y: y <> '')"
+    lines = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_LOW}), lambda y: NOT regexp_matches(y, {_quoted(licenses.COPYRIGHT_LINE)}))"
+    whole = _canonical_sql("array_to_string(ls, chr(10))")
     return f"""
 WITH known AS (SELECT * FROM (VALUES {known}) AS k(n, license, text)),
-forms AS (SELECT n, license, {lines} AS ls FROM known),
-digests AS (SELECT sha256(array_to_string(ls, ' ')) AS k_digest, arg_min(license, n) AS license FROM forms WHERE len(ls) > 0 GROUP BY 1),
-found AS (SELECT doc_id, {lines} AS ls FROM documents),
-numbered AS (SELECT row_number() OVER () AS r, doc_id, ls, CASE WHEN len(ls) > 0 THEN sha256(array_to_string(ls, ' ')) END AS digest FROM found),
-notices AS (SELECT r, string_agg(license, ',' ORDER BY license) AS notices FROM (SELECT DISTINCT r, d.license FROM (SELECT r, sha256(unnest(ls)) AS line FROM numbered) x JOIN digests d ON x.line = d.k_digest) GROUP BY r)
-SELECT doc_id, digest, license, notices FROM numbered LEFT JOIN digests ON digest = k_digest LEFT JOIN notices USING (r)"""
+forms AS (SELECT n, license, {whole} AS w FROM (SELECT n, license, {lines} AS ls FROM known)),
+digests AS (SELECT sha256(w) AS k_digest, arg_min(license, n) AS license FROM forms WHERE w <> '' GROUP BY 1),
+found AS (SELECT row_number() OVER () AS r, doc_id, {lines} AS ls FROM documents),
+numbered AS (SELECT r, doc_id, ls, {whole} AS w FROM found),
+notices AS (SELECT r, string_agg(license, ',' ORDER BY license) AS notices FROM (SELECT DISTINCT r, d.license FROM (SELECT r, sha256(unnest(list_transform(ls, lambda x: {_canonical_sql('x')}))) AS line FROM numbered) x JOIN digests d ON x.line = d.k_digest) GROUP BY r)
+SELECT doc_id, CASE WHEN w <> '' THEN sha256(w) END AS digest, license, notices FROM numbered LEFT JOIN digests ON w <> '' AND sha256(w) = k_digest LEFT JOIN notices USING (r)"""
 
 
 def _op2_sql() -> str:

@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_left
+from collections.abc import Generator, Iterator
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</\s*([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?", re.S)
+from lattix.llm.shared import bounded
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[^\s/>=]=?[^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+UNQUOTED = re.compile(r"[^\s>]*")
+GAP = re.compile(r"[\s/]*")
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist select textarea".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p blockquote h1 h2 h3 h4 h5 h6 ul ol dl pre table figure".split())
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption dd dt li legend summary".split()) | {"p"}
@@ -30,79 +38,211 @@ IMPLIED = {
     "thead": ({"tbody", "thead", "tfoot", "caption", "tr"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "caption", "tr"}, {"table"}),
     "body": ({"head"}, {"body"}),
+    "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
 }
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-DEPTH = 200
+# Types of input whose value is seen, and the most that a cell may span.
+SHOWN = frozenset("text search email url tel number date time month week submit button reset".split()) | {""}
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Levels by which text moves in; what is nested deeper stands below the last.
+INDENTS = 40
+PROPERTY = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+NOTE = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 
 
 class Node:
-    __slots__ = ("tag", "kids", "hidden", "start")
-
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1):
-        self.tag, self.kids, self.hidden, self.start = tag, [], hidden, start
+    __slots__ = ("tag", "kids", "attrs")
 
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
+        self.tag, self.kids, self.attrs = tag, [], attrs or {}
 
-def build(html: str) -> Node:
-    """The tree of a page: tags that HTML lets authors leave out are implied, stray end tags are ignored."""
-    root = Node("html")
-    stack, at, end = [root], 0, len(html)
 
-    def close(names, fences=frozenset()):
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return True
-            if stack[i].tag in fences:
-                return False
-        return False
+def scan(html: str) -> Iterator[tuple]:
+    """``(text,)``, ``(name, attributes, closed, end)`` and ``(None, name)`` for text, start and end tags, each character read once.
 
+    As a browser does: a tag or comment that never ends hides the rest, and ``<`` before anything but a name is text.
+    ``scan.send(position)`` goes on elsewhere, after text that holds no tags.
+    """
+    at, end = 0, len(html)
     while at < end:
-        found = TOKEN.search(html, at)
-        text = html[at : found.start() if found else end]
-        if text:
-            stack[-1].kids.append(unescape(text) if "&" in text else text)
-        if not found:
-            break
-        at = found.end()
-        if found[1]:
-            name = found[1].lower()
-            if name not in VOID:
-                close({name}, () if name in ("table", "body", "html", "div") else {"table", "td", "th"} - {name})
+        start = html.find("<", at)
+        if start < 0:
+            yield (html[at:],)
+            return
+        kind = html[start + 1 : start + 2]
+        if not (kind in ("!", "?", "/") or kind.isascii() and kind.isalpha()) or html.startswith("</>", start):
+            following = html.find("<", start + 1)
+            following = end if following < 0 else following
+            yield (html[at:following],)
+            at = following
             continue
-        if not found[2]:
+        if start > at:
+            yield (html[at:start],)
+        if html.startswith("<!--", start):
+            at = html.find("-->", start + 4) + 3
+            if at < 3:
+                return
             continue
-        name, raw = found[2].lower(), found[3] or ""
+        name = NAME.match(html, start + (2 if kind == "/" else 1))
+        if kind in "!?/":
+            at = html.find(">", start) + 1
+            if name and kind == "/" and at:
+                yield None, name[0].lower()
+            if not at:
+                return
+            continue
+        at, attrs = name.end(), {}
+        while True:
+            gap = GAP.match(html, at)
+            at = gap.end()
+            if at >= end:
+                return
+            if html[at] == ">":
+                break
+            key = ATTRIBUTE.match(html, at) or re.compile("=").match(html, at)
+            at, value = key.end(), ""
+            if equals := EQUALS.match(html, at):
+                at = equals.end()
+                if html[at : at + 1] in ("'", '"'):
+                    shut = html.find(html[at], at + 1)
+                    if shut < 0:
+                        return
+                    value, at = html[at + 1 : shut], shut + 1
+                else:
+                    found = UNQUOTED.match(html, at)
+                    value, at = found[0], found.end()
+            attrs.setdefault(key[0].lower(), unescape(value) if "&" in value else value)
+        at += 1
+        at = (yield name[0].lower(), attrs, html[at - 2] == "/", at) or at
+
+
+def build(html: str) -> tuple[Node, list[str]]:
+    """The tree of a page and its style sheets: tags that HTML lets authors leave out are implied, stray end tags are ignored."""
+    root, styles = Node("html"), []
+    stack, places = [root], {"html": [0]}  # places: where elements of a name stand in the stack
+
+    def last(names) -> int:
+        return max([places[n][-1] for n in names if places.get(n)], default=-1)
+
+    def close(names, fences=()) -> bool:
+        at = last(names)
+        if at < 1 or at < last(fences):
+            return False
+        for node in stack[at:]:
+            places[node.tag].pop()
+        del stack[at:]
+        return True
+
+    tokens, resume = scan(html), None
+    while True:
+        try:
+            token = tokens.send(resume)
+        except StopIteration:
+            return root, styles
+        resume = None
+        if len(token) == 1:
+            stack[-1].kids.append(unescape(token[0]) if "&" in token[0] else token[0])
+            continue
+        if token[0] is None:
+            name = token[1]
+            if name == "br":
+                stack[-1].kids.append(Node("br"))
+            elif name not in VOID:
+                close({name}, () if name in ("table", "body", "html", "div") else {"table", "td", "th"} - {name})
+            continue
+        name, attrs, closed, after = token
         if name in CLOSES_P:
             close({"p"}, {"table", "td", "th", "button"})
         if name in IMPLIED:
             ends, fences = IMPLIED[name]
             while close(ends, fences):
                 pass
-        if name in ("html", "body") and any(n.tag == name for n in stack):
+        if name in ("html", "body") and places.get(name):
             continue
-        attrs = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(raw)} if "=" in raw or "hidden" in raw.lower() else {}
-        hidden = name in UNSEEN or "hidden" in attrs or bool(HIDDEN.search(attrs.get("style", ""))) or (name == "dialog" and "open" not in attrs)
-        first = attrs.get("start", "1")
-        node = Node(name, hidden, int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1)
-        if name == "img" and attrs.get("alt"):
-            node.kids.append(unescape(attrs["alt"]))
+        node = Node(name, attrs)
         stack[-1].kids.append(node)
         if name in RAW:
-            shut = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
-            node.kids.append(html[at : shut.start() if shut else end])
-            at = html.find(">", shut.start()) + 1 or end if shut else end
-        elif name not in VOID and not raw.rstrip().endswith("/") and len(stack) < DEPTH:
+            shut = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, after)
+            raw = html[after : shut.start() if shut else len(html)]
+            if name == "style":
+                styles.append(raw)
+            node.kids.append(unescape(raw) if name in ("textarea", "title") else raw)
+            resume = (html.find(">", shut.start()) + 1 or len(html)) if shut else len(html)
+        elif name not in VOID and not closed:
+            places.setdefault(name, []).append(len(stack))
             stack.append(node)
-    return root
+
+
+def rules(styles: list[str]) -> dict[str, list[tuple]]:
+    """What style sheets say of display and visibility, by the name, class or id that a selector ends with.
+
+    Only selectors of one element (``p.note#x``) are read; rules within ``@media`` count for ``screen`` and ``all``.
+    """
+    out, order = {}, 0
+    for css in styles:
+        css, at, depth, skipped = NOTE.sub(" ", css), 0, 0, 0
+        braces = list(re.finditer(r"[{}]", css))
+        for brace, following in zip(braces, [*braces[1:], None]):
+            head, at = css[at : brace.start()].strip(), brace.end()
+            if brace[0] == "}":
+                if skipped:
+                    skipped -= 1
+                elif depth:
+                    depth -= 1
+                continue
+            if skipped or (head.startswith("@") and not re.fullmatch(r"@media\s+(only\s+)?(screen|all)", head.rpartition(";")[2].strip(), re.I)):
+                skipped += 1
+                continue
+            if head.startswith("@"):
+                depth += 1
+                continue
+            depth += 1
+            found = PROPERTY.findall(css[at : following.start() if following else len(css)])
+            for selector in head.rpartition(";")[2].split(",") if found else ():
+                simple = SIMPLE.fullmatch(selector.strip())
+                if not simple or not selector.strip():
+                    continue
+                marks = re.findall(r"[.#][\w-]+", simple[2])
+                tag = (simple[1] or "*").lower()
+                weight = (sum(m[0] == "#" for m in marks), sum(m[0] == "." for m in marks), tag != "*")
+                for name, value, important in found:
+                    order += 1
+                    out.setdefault(marks[-1] if marks else tag, []).append((bool(important), weight, order, tag, frozenset(marks), name.lower(), value.lower()))
+    return out
+
+
+def styled(node: Node, sheet: dict[str, list[tuple]]) -> dict[str, str]:
+    """The display and visibility that style sheets and the element's own style give it."""
+    if not sheet and "style" not in node.attrs:
+        return {}
+    own = {f".{c}" for c in node.attrs.get("class", "").split()} | ({"#" + node.attrs["id"]} if node.attrs.get("id") else set())
+    best: dict[str, tuple] = {}
+    for key in (*own, node.tag, "*"):
+        for important, weight, order, tag, marks, name, value in sheet.get(key, ()):
+            if tag in ("*", node.tag) and marks <= own:
+                best[name] = max(best.get(name, ()), (important, weight, order, value))
+    for n, (name, value, important) in enumerate(PROPERTY.findall(node.attrs.get("style", ""))):
+        best[name.lower()] = max(best.get(name.lower(), ()), (bool(important), (9, 9, True), n, value.lower()))
+    return {k: v[3] for k, v in best.items()}
+
+
+def width(s: str) -> int:
+    """Cells of a line: wide characters take two, combining ones none."""
+    return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
 class Page:
-    """Lines under way: inline text runs on, blocks start a line, spaced blocks leave a blank line between."""
+    """Lines under way: inline text runs on, blocks start a line, spaced blocks leave a blank line between.
+
+    ``prefix`` stands before each line, ``head`` in its place before the next one (a list's mark).
+    """
 
     def __init__(self):
         self.lines: list[str] = []
         self.now: list[str] = []
         self.gap = False
+        self.prefix, self.head, self.level = "", None, 0
 
     def text(self, s: str, pre: bool):
         if pre:
@@ -112,118 +252,237 @@ class Page:
                 self.turn(True)
                 self.now.append(part)
         elif words := s.split():
-            tail = s[-1:].isspace()
-            self.now.append((" " if s[:1].isspace() else "") + " ".join(words) + (" " if tail else ""))
+            self.now.append((" " if s[:1].isspace() else "") + " ".join(words) + (" " if s[-1:].isspace() else ""))
         elif s:
             self.now.append(" ")
 
+    def put(self, line: str):
+        if self.gap and self.lines:
+            self.lines.append("")
+        self.gap = False
+        self.lines.append(((self.prefix if self.head is None else self.head) + line).rstrip() if line else "")
+        self.head = None
+
     def turn(self, pre: bool = False):
         line = "".join(self.now)
         line = line.rstrip() if pre else re.sub(" {2,}", " ", line).strip()
         if line or (pre and self.now):
-            if self.gap and self.lines:
-                self.lines.append("")
-            self.gap = False
-            self.lines.append(line)
+            self.put(line)
         self.now = []
 
+    def enter(self, mark: str, first: bool):
+        """Move in by a mark (``first``: that stands before the first line) and return what ``leave`` takes."""
+        kept = self.prefix, self.head
+        self.level += 1
+        if self.level <= INDENTS:
+            start = self.prefix if self.head is None else self.head
+            self.head = start + mark if first else None if self.head is None else self.head + mark
+            self.prefix += " " * len(mark)
+        return kept
+
+    def leave(self, kept):
+        used = self.head is None
+        self.level -= 1
+        self.prefix, self.head = kept[0], None if used else kept[1]
+
     def done(self) -> list[str]:
         self.turn()
         return self.lines
 
 
-def layout(node: Node, page: Page, pre: bool = False) -> None:
-    number = node.start
+def _run(work: Generator):
+    """Generators that yield others and get their results: recursion without a limit of depth."""
+    stack, result = [work], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(result))
+            result = None
+        except StopIteration as end:
+            stack.pop()
+            result = end.value
+    return result
+
+
+def _number(s: str | None, default: int) -> int:
+    return int(s) if s is not None and re.fullmatch(r"\s*-?\d{1,9}\s*", s) else default
+
+
+def _shown(node: Node, sheet, seen: bool) -> tuple[bool, bool]:
+    """Whether an element has boxes at all, and whether its own text is visible."""
+    style = styled(node, sheet)
+    gone = node.tag in UNSEEN or "hidden" in node.attrs or (node.tag == "dialog" and "open" not in node.attrs)
+    display = style.get("display", "none" if gone else "")
+    gone = display == "none" or node.tag in ("script", "style", "head", "title", "template")
+    visibility = style.get("visibility")
+    return not gone, seen if visibility in (None, "inherit") else visibility not in ("hidden", "collapse")
+
+
+def _plain(node: Node) -> str:
+    out, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        else:
+            stack.extend(reversed(n.kids))
+    return " ".join("".join(out).split())
+
+
+def _options(select: Node) -> list[Node]:
+    out, stack = [], list(reversed(select.kids))
+    while stack:
+        n = stack.pop()
+        if not isinstance(n, str):
+            out += [n] if n.tag == "option" else []
+            stack.extend(reversed(n.kids) if n.tag == "optgroup" else ())
+    return out
+
+
+def layout(node: Node, page: Page, sheet, seen: bool = True, pre: bool = False) -> Generator:
+    number = _number(node.attrs.get("start"), 1)
+    closed = node.tag == "details" and "open" not in node.attrs
     for kid in node.kids:
         if isinstance(kid, str):
-            page.text(kid, pre)
+            if seen and not closed:
+                page.text(kid, pre)
             continue
-        if kid.hidden:
+        if closed:  # only the first summary of closed details is seen
+            if kid.tag != "summary" or closed == "said":
+                continue
+            closed = "said"
+        shown, visible = _shown(kid, sheet, seen)
+        if not shown:
             continue
-        tag = kid.tag
+        tag, attrs = kid.tag, kid.attrs
         if tag == "br":
             page.turn(pre)
         elif tag == "img":
-            page.text(f" {kid.kids[0]} " if kid.kids else "", pre)
+            if visible and attrs.get("alt"):
+                page.text(f" {attrs['alt']} ", pre)
+        elif tag == "input":
+            if visible and attrs.get("value") and attrs.get("type", "").lower() in SHOWN:
+                page.text(f" {attrs['value']} ", pre)
+        elif tag == "textarea":
+            if visible:
+                page.text(" ", pre)
+                page.text("".join(kid.kids).removeprefix("\n"), True)
+                page.text(" ", pre)
+        elif tag == "select":
+            options = _options(kid)
+            if "multiple" not in attrs and _number(attrs.get("size"), 1) <= 1:
+                options = [o for o in options if "selected" in o.attrs][-1:] or options[:1]
+            if visible:
+                page.text(f" {' '.join(map(_plain, options))} ", pre)
         elif tag == "table":
             page.turn(pre)
             page.gap = True
-            block(page, table(kid))
+            for line in (yield table(kid, sheet, visible)):
+                page.put(line)
             page.gap = True
-        elif tag in ("ul", "ol", "menu", "dl", "blockquote") or tag == "li" or tag == "dd":
+        elif tag in ("ul", "ol", "menu", "dl", "blockquote", "li", "dd"):
             page.turn(pre)
-            inner = Page()
-            layout(kid, inner, pre)
-            lines = inner.done()
             page.gap = page.gap or (tag in SPACED and node.tag != "li")
+            mark = ""
             if tag == "li":
+                number = _number(attrs.get("value"), number)
                 mark = f"{number}. " if node.tag == "ol" else "- "
-                number += 1
-                lines = [(mark if i == 0 else " " * len(mark) * bool(x)) + x for i, x in enumerate(lines)] if lines else []
+                number += 1 if "reversed" not in node.attrs else -1
             elif tag in ("dd", "blockquote"):
-                lines = ["  " * bool(x) + x for x in lines]
-            block(page, lines)
+                mark = "  "
+            kept = page.enter(mark, tag == "li") if mark else None
+            yield layout(kid, page, sheet, visible, pre)
+            page.turn(pre)
+            if mark:
+                page.leave(kept)
             page.gap = page.gap or (tag in SPACED and node.tag != "li")
         elif tag in BLOCK:
             page.turn(pre)
             page.gap = page.gap or tag in SPACED
-            layout(kid, page, pre or tag == "pre")
+            yield layout(kid, page, sheet, visible, pre or tag == "pre")
             page.turn(pre or tag == "pre")
             page.gap = page.gap or tag in SPACED
-        else:
-            layout(kid, page, pre)
+        elif kid.kids:
+            yield layout(kid, page, sheet, visible, pre)
 
 
-def block(page: Page, lines: list[str]) -> None:
-    if lines and page.gap and page.lines:
-        page.lines.append("")
-    page.gap = page.gap and not lines
-    page.lines.extend(lines)
+def table(node: Node, sheet, seen: bool) -> Generator:
+    """Rows of cells, padded to their columns' widths; a cell may span columns and rows, and one of several lines makes its row as high."""
+    above, rows = [], []  # rows of (columns, rows, lines)
+    stack = [(kid, seen) for kid in reversed(node.kids)]
 
-
-def table(node: Node) -> list[str]:
-    """Rows of cells, padded to their columns' widths; a cell of several lines makes its row as high."""
-    above, rows = [], []
-
-    def walk(n: Node):
-        for kid in n.kids:
-            if isinstance(kid, str):
-                if kid.strip():
-                    above.append(" ".join(kid.split()))
-            elif kid.hidden:
-                continue
-            elif kid.tag == "tr":
-                rows.append([cell for c in kid.kids for cell in cells(c)])
-            elif kid.tag in ("td", "th"):
-                rows.append(cells(kid))
-            elif kid.tag in ("tbody", "thead", "tfoot"):
-                walk(kid)
-            else:
-                inner = Page()
-                layout(kid, inner)
-                above.extend(inner.done())
-
-    def cells(c) -> list[list[str]]:
-        if isinstance(c, str):
-            return [[" ".join(c.split())]] if c.strip() else []
-        if c.hidden:
-            return []
+    def cell(c, visible: bool) -> Generator:
         inner = Page()
-        layout(c, inner)
-        return [inner.done()]
-
-    walk(node)
-    rows = [r for r in rows if any(any(c) for c in r)]
-    widths: list[int] = []
-    for r in rows:
-        for i, c in enumerate(r):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], max(map(len, c), default=0))
+        yield layout(c, inner, sheet, visible)
+        return min(max(1, _number(c.attrs.get("colspan"), 1)), MOST_COLUMNS), min(max(0, _number(c.attrs.get("rowspan"), 1)), MOST_ROWS), inner.done()
+
+    while stack:
+        kid, visible = stack.pop()
+        if isinstance(kid, str):
+            if kid.strip() and visible:
+                above.append(" ".join(kid.split()))
+            continue
+        shown, visible = _shown(kid, sheet, visible)
+        if not shown:
+            continue
+        if kid.tag == "tr":
+            row = []
+            for c in kid.kids:
+                if isinstance(c, str):
+                    if c.strip() and visible:
+                        row.append((1, 1, [" ".join(c.split())]))
+                    continue
+                has, own = _shown(c, sheet, visible)
+                if has:
+                    row.append((yield cell(c, own)))
+            rows.append(row)
+        elif kid.tag in ("td", "th"):
+            rows.append([(yield cell(kid, visible))])
+        elif kid.tag in ("tbody", "thead", "tfoot"):
+            stack.extend((k, visible) for k in reversed(kid.kids))
+        else:
+            inner, only = Page(), Node("div")
+            only.kids = [kid]
+            yield layout(only, inner, sheet, visible)
+            above += inner.done()
+    placed, taken = [], {}  # taken: column -> rows that a cell from above still covers
+    for n, row in enumerate(rows):
+        here, at = [], 0
+        for columns, down, lines in row:
+            while taken.get(at):
+                at += 1
+            here.append((at, columns, lines))
+            for k in range(at, at + columns):
+                taken[k] = (down or len(rows) - n) if down != 1 else 1
+            at += columns
+        taken = {k: v - 1 for k, v in taken.items() if v > 1}
+        placed.append(here)
+    placed = [r for r in placed if any(any(lines) for *_, lines in r)]
+    widths: dict[int, int] = {}
+    for at, columns, lines in sorted((c for r in placed for c in r), key=lambda c: c[1]):
+        wide = max(map(width, lines), default=0)
+        if columns == 1:
+            widths[at] = max(widths.get(at, 0), wide)
+        else:
+            inside = [widths[k] for k in range(at, at + columns) if widths.get(k)]
+            lacking = wide - sum(inside) - 2 * max(0, len(inside) - 1)
+            if lacking > 0:
+                last = max((k for k in range(at, at + columns) if widths.get(k)), default=at)
+                widths[last] = widths.get(last, 0) + lacking
+    starts, total = {}, 0
+    for k in sorted(widths):
+        starts[k] = total
+        total += widths[k] + 2 if widths[k] else 0
+    columns_used = sorted(starts)
     out = list(above)
-    for r in rows:
-        for k in range(max(map(len, r))):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(widths[i]) for i, c in enumerate(r)).rstrip())
+    for r in placed:
+        for k in range(max((len(lines) for *_, lines in r), default=0)):
+            line, filled = [], 0
+            for at, _, lines in r:
+                if k < len(lines) and lines[k]:
+                    start = starts[at] if at in starts else starts[columns_used[min(bisect_left(columns_used, at), len(columns_used) - 1)]]
+                    line.append(" " * (start - filled) + lines[k])
+                    filled = max(start, filled) + width(lines[k])
+            out.append("".join(line).rstrip())
     return out
 
 
@@ -231,21 +490,21 @@ def render(html: str | None) -> str | None:
     """All visible text of a page; null for null, empty for a page without any."""
     if html is None:
         return None
+    tree, styles = build(html)
     page = Page()
-    layout(build(html), page)
+    _run(layout(tree, page, rules(styles)))
     return "\n".join(page.done())
 
 
 def rendered(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the visible text of ``html`` in ``out`` (an existing column of that name is replaced).
 
-    Row by row, without a shuffle. Null pages stay null, empty ones are empty; tags nested deeper than ``DEPTH`` are laid out as if closed
-    at once, their text is kept. Repeated rows give repeated rows; other columns pass. An empty table gives an empty
-    result.
+    Row by row, without a shuffle. Null pages stay null, empty ones are empty; pages of any length and depth are read
+    once from start to end. Repeated rows give repeated rows; other columns pass. An empty table gives an empty result.
     """
 
     @F.arrow_udf("string")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array([render(t.as_py()) for t in texts], pa.string())
 
-    return pages.withColumn(out, of(F.col(html)))
+    return bounded(pages).withColumn(out, of(F.col(html)))

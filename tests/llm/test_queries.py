@@ -1,5 +1,6 @@
 """The queries on small tables against plain Python, and those that SQL can express against SQL."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -383,6 +384,41 @@ def test_licenses(spark):
     assert got[1][0] == "MIT" and got[2] == (None, "MIT") and got[3] == got[4] == got[5] == (None, None)
 
 
+def brute_canonical(text):
+    """Word by word: copyright lines go, then runs of words are replaced left to right for each spelling."""
+    lines = [x for x in low(text or "").split("\n") if not re.search(licenses.COPYRIGHT_LINE, x)]
+    words = [w for w in re.split(licenses.PUNCTUATION, "\n".join(lines)) if w]
+    for old, new in licenses.EQUIVALENT:
+        old, out, i = old.replace("-", " ").split(), [], 0
+        while i < len(words):
+            if words[i : i + len(old)] == old:
+                out, i = out + new.split(), i + len(old)
+            else:
+                out, i = [*out, words[i]], i + 1
+        words = out
+    return " ".join(words)
+
+
+def test_licenses_as_brute_force(spark):
+    wrapped = licenses.MIT.replace("sublicense", "sub-\nlicence").replace("COPYRIGHT HOLDERS", "copyright\nHOLDERS").replace("AUTHORS", "\n\tAUTHORS")
+    apache = next(t for k, t in licenses.KNOWN if k == "Apache-2.0" and len(t) > 5000)
+    rows = [(1, wrapped, "x"), (1, wrapped, "x"), (2, f"Copyright 2001-2020 A\n(c) 2020 B\n{licenses.MIT}\nAll rights reserved.", None), (3, "the licence licence copyright\nowner copyright owner owner", "y"), (4, None, None), (5, "", ""), (6, " \n\t. ", None), (7, apache.replace("  ", "\n"), "z"), (None, "Released under the MIT license", "q"), (8, LONG, None), (9, f"{licenses.ISC}\nmore", None), (10, "a\nlicensed under the MIT licence\nReleased under the MIT License.\nb", None)]
+    known = {}
+    for k, t in licenses.KNOWN:
+        known.setdefault(brute_canonical(t), k)
+    want = []
+    for d, t, _ in rows:
+        whole = brute_canonical(t)
+        found = sorted({known[x] for line in (t or "").split("\n") if (x := brute_canonical(line)) in known and x})
+        want.append((d, known.get(whole) if whole else None, ",".join(found) or None, hashlib.sha256(whole.encode()).hexdigest() if whole else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    got = [(r.doc_id, r.license, r.notices, r.digest) for r in licenses.scan(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    by = {r[0]: r for r in got}
+    assert by[1][1] == by[2][1] == "MIT" and by[7][1] == "Apache-2.0" and by[9][1] is None and by[10][2] == "MIT"
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "First thought.\n\nSecond thought."), (1, 1, "user", "A reply."), (2, 0, "user", "> second   THOUGHT.\nI agree."), (2, 1, "user", "On Monday X wrote:\n> I agree.\n>> Second thought.\nSo do I."), (3, 0, "user", None), (None, 0, "user", "> A reply.")]
     got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -479,3 +515,66 @@ def test_render(spark, sf):
     assert render.render(None) is None and render.render("") == ""
     assert "deep" in render.render("<div>" * 5000 + "deep")
     assert queries.op5_render(spark, sf).where("text is null").count() == 0
+
+
+def test_render_reads_any_page_once():
+    import time
+
+    assert render.render("<div>" * 250 + "<p style='display: none'>SECRET</p>shown") == "shown"
+    assert render.render("<ul><li>" * 3000 + "x").endswith("x") and render.render("<table><tr><td>" * 2000 + "t") == "t"
+    for page in ("<" + "a" * 1_000_000, "<a x='" * 100_000, "<p><button>" + "<div>" * 50_000, "<style>" + "a{" * 100_000, "<!-- " * 100_000):
+        began = time.process_time()
+        render.render(page)
+        assert time.process_time() - began < 5
+
+
+def test_render_visibility_and_forms():
+    style = "<style>/* x{} */ .h{visibility:hidden} #n, p.q{display:none} @media print{b{display:none}} i{display:none!important}</style>"
+    assert render.render(style + "<div class=h>no <span style='visibility:visible'>yes</span></div><p id=n>no<p class='q r'>no<p class=r><b>bold</b> <i style='display:inline'>no</i>") == "yes\n\nbold"
+    assert render.render("<details>no<summary>sum</summary><summary>no</summary>no</details><details open><summary>s</summary>body</details>") == "sum\ns\nbody"
+    assert render.render("<select><option>one<option selected>two</select><textarea>a &lt; b</textarea><input value=v><input type=hidden value=no><dialog>no</dialog>") == "two a < b v"
+    assert render.render("a < b <b>c</b <i>d</i>") == "a < b cd"
+
+
+def test_render_spans_and_wide_cells():
+    page = "<table><tr><td colspan=2>wide title here<td>z<tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>中文<td>x<td>y</table>"
+    assert render.render(page) == "wide title here  z\na     b          c\n      d          e\n中文  x          y"
+    assert render.render("<ol start=3><li>x<ul><li>y<li>z</ul><li value=9>w</ol>") == "3. x\n   - y\n   - z\n9. w"
+
+
+def brute_words(html):
+    """The visible words of a plain page: what is left without hidden elements, comments and tags."""
+    from html import unescape
+
+    html = re.sub(r"(?is)<!--.*?-->|<(script|style|head|title|noscript|template)\b.*?</\1\s*>", " ", html)
+    return re.sub(r"[\s]+", " ", unescape(re.sub(r"<[^>]*>", " ", html))).split()
+
+
+def test_rendered_words_of_pages_as_brute_force(spark, sf):
+    hidden = re.compile(r"(?i)\bhidden\b|display\s*:|visibility|<select|<input|<textarea|<img|<ol")
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = [r for r in queries.op5_render(spark, sf).collect() if not hidden.search(pages[r.page_id])]
+    assert len(rows) > 50
+    for r in rows:
+        got = [w for line in r.text.split("\n") for w in line.removeprefix("- ").split()]
+        assert "".join(got) == "".join(brute_words(pages[r.page_id]))
+
+
+def test_render_edges(spark):
+    rows = [(1, "u", "<p>a", "t"), (1, "u", "<p>a", "t"), (2, None, None, None), (None, "u", "", "t"), (3, "u", "<p>" + "long text " * 100_000, "t")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = {(r.page_id, r.url): r.text for r in render.rendered(df).collect()}
+    assert got[1, "u"] == "a" and got[2, None] is None and got[None, "u"] == "" and len(got[3, "u"]) == 999_999
+    assert render.rendered(df).count() == 5 and render.rendered(df).columns == df.columns and render.rendered(df.limit(0)).count() == 0
+
+
+def test_token_files_of_few_or_long_documents(spark, ids, tmp_path):
+    for name, texts in (("one", ["a single document of a few words"]), ("long", [LONG, LONG[:90_000]]), ("none", [None, ""])):
+        to, rows = f"file://{tmp_path}/{name}", list(enumerate(texts))
+        tokenfiles.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), to)
+        assert bool(tokenfiles.load_dictionary(spark, to)) == (name != "none")
+        got = {r.doc_id: (r.start, bytes(r.ids)) for r in tokenfiles.read_tokens(spark, to).collect()}
+        at = 0
+        for d, t in rows:
+            assert got[d] == (at, ids(t, 2).tobytes())
+            at += len(ids(t, 2))
