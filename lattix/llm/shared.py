@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,10 +19,14 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; there is no other that all machines surely share."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named
-    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    """The folder that the cluster names for checkpoints. A temporary one only where none is set and all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="lattix-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def bounded(docs: DataFrame) -> DataFrame:
