@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattix.functions import geometry, kernels, transforms, vectors
-from lattix.operators import bmu, clusters, codebook, graphs, grid, linalg, project, train
+from lattix.functions import euler, geometry, kernels, transforms, vectors
+from lattix.operators import bmu, clusters, codebook, graphs, grid, linalg, molecules, project, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +53,11 @@ class Tables:
         """The first 12 dimensions, four points of three."""
         return self.data.select("id", F.slice("v", 1, 12).alias("v"))
 
+    @property
+    def long(self) -> DataFrame:
+        """63 of the 64 dimensions, 21 points of three."""
+        return self.data.select("id", F.slice("v", 1, 63).alias("v"))
+
     @property
     def walk(self) -> DataFrame:
         """Events as states on the grid: by value along i, by hour along j."""
@@ -63,6 +68,11 @@ class Tables:
     def labels(self) -> DataFrame:
         return self.map.select("nid", F.col("i").alias("label"))
 
+    @property
+    def uneven(self) -> DataFrame:
+        """Clusters of 1, 3, 5 and 7 neurons, labelled from 0."""
+        return self.map.select("nid", F.when(F.col("nid") < 1, 0).when(F.col("nid") < 4, 1).when(F.col("nid") < 9, 2).otherwise(3).alias("label"))
+
 
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to ``DIGITS`` decimals, without a negative zero."""
@@ -91,13 +101,14 @@ gaps AS (SELECT x.nid AS a, y.nid AS b, sqrt(list_sum(list_transform(list_zip(x.
 u AS (SELECT t.nid, any_value(t.nid // 4)::INTEGER AS i, any_value(t.nid % 4)::INTEGER AS j, avg(d) AS val FROM toric t JOIN gaps g ON t.nid = g.a AND t.other = g.b GROUP BY t.nid),
 edges AS (SELECT nid AS src, other AS dst, d AS w FROM planar JOIN gaps ON nid = a AND other = b WHERE straight)
 """
-SHORT = """WITH short AS (SELECT vec_id AS id, list_transform(embedding[1:12], lambda x: x::DOUBLE) AS v FROM embeddings),
-cells AS (SELECT id, (k - 1)::INTEGER AS k, v[k] AS x FROM (SELECT id, v, unnest(range(1, 13)) AS k FROM short)),
+MATRIX = """WITH short AS (SELECT vec_id AS id, list_transform(embedding[1:{n}], lambda x: x::DOUBLE) AS v FROM embeddings),
+cells AS (SELECT id, (k - 1)::INTEGER AS k, v[k] AS x FROM (SELECT id, v, unnest(range(1, {n} + 1)) AS k FROM short)),
 pairs AS (SELECT a.k AS r, b.k AS c, count(*) AS n, sum(a.x * b.x) - sum(a.x) * sum(b.x) / count(*) AS s FROM cells a JOIN cells b USING (id) GROUP BY 1, 2),
 cov AS (SELECT r, c, s / n AS val FROM pairs),
 corr AS (SELECT cov.r, cov.c, cov.val / (sqrt(x.val) * sqrt(y.val)) AS val FROM cov JOIN cov x ON x.r = x.c AND x.r = cov.r JOIN cov y ON y.r = y.c AND y.c = cov.c),
-points AS (SELECT id, a::INTEGER AS a, v[3 * a + 1:3 * a + 3] AS p FROM (SELECT id, v, unnest(range(0, 4)) AS a FROM short))
+points AS (SELECT id, a::INTEGER AS a, v[3 * a + 1:3 * a + 3] AS p FROM (SELECT id, v, unnest(range(0, {n} // 3)) AS a FROM short))
 """
+SHORT, LONG, FULL = (MATRIX.replace("{n}", str(n)) for n in (12, 63, 64))
 WALK = """WITH walk AS (SELECT user_id, ts, event_id, least(floor(value / 125), 3)::INTEGER AS i, (extract(hour FROM ts) // 6)::INTEGER AS j FROM events),
 states AS (SELECT *, i * 4 + j AS nid, lead(i * 4 + j) OVER w AS dst, lead(i) OVER w - i AS di, lead(j) OVER w - j AS dj FROM walk WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 moves AS (SELECT nid AS src, dst, count(*) AS n FROM states WHERE dst IS NOT NULL GROUP BY 1, 2)
@@ -158,9 +169,18 @@ def region_per_input(t: Tables) -> DataFrame:
     return bmu.within_spread(t.data, t.map)
 
 
-@query(BASE + "SELECT nid, round(avg(h / whole), 6) AS p FROM (SELECT nid, exp(-d * d / 4) AS h, sum(exp(-d * d / 4)) OVER (PARTITION BY id) AS whole FROM far) GROUP BY nid")
+TORUS = "(least(abs({a}.i - {b}.i), 4 - abs({a}.i - {b}.i)) ** 2 + least(abs({a}.j - {b}.j), 4 - abs({a}.j - {b}.j)) ** 2)"
+EXPONENTS = BASE + ", best AS (SELECT id, b.nid AS nid, b.i AS i, b.j AS j FROM bmus), ex AS (SELECT best.id, any_value(best.nid) AS nid, -sum(exp(-" + TORUS.format(a="far", b="best") + " / 4.0) * d * d) / max(d * d) AS s FROM far JOIN best USING (id) GROUP BY best.id) "
+
+
+@query(EXPONENTS + "SELECT id, nid, round(exp(s), 6) AS p FROM ex")
 def bmu_probability(t: Tables) -> DataFrame:
-    return bmu.probability(t.data, t.map)
+    return bmu.probability(t.data, t.map, ROWS, COLS)
+
+
+@query(EXPONENTS + "SELECT nid, round(exp(avg(s)), 6) AS p FROM ex GROUP BY nid")
+def density_probability(t: Tables) -> DataFrame:
+    return bmu.density_probability(t.data, t.map, ROWS, COLS)
 
 
 @query(BASE + "SELECT nid, i, j, (SELECT count(*) FROM bmus WHERE b.nid = book.nid) AS val FROM book")
@@ -188,7 +208,7 @@ def active_map(t: Tables) -> DataFrame:
     return project.active_map(t.bmus, t.map, F.col("label") == 3)
 
 
-@query(BASE + "SELECT b.i AS label, count(*) AS n, list_sort(list(id)) AS ids FROM bmus WHERE b.i <> 0 GROUP BY b.i")
+@query(BASE + "SELECT b.i AS label, count(*) OVER (PARTITION BY b.i) AS n, id FROM bmus WHERE b.i <> 0")
 def cluster_members(t: Tables) -> DataFrame:
     return project.members(t.bmus.drop("label"), t.labels)
 
@@ -232,9 +252,32 @@ def descent_basin(t: Tables) -> DataFrame:
     return grid.basin(t.umatrix, ROWS, COLS)
 
 
-@query(BASE + "SELECT x.nid, round(sum((x.val - y.val) * a / sqrt(a * a + b * b)), 6) + 0.0 AS di, round(sum((x.val - y.val) * b / sqrt(a * a + b * b)), 6) + 0.0 AS dj FROM u x, steps, u y WHERE y.nid = ((x.i + a + 4) % 4) * 4 + (x.j + b + 4) % 4 GROUP BY x.nid")
+@query(BASE + "SELECT x.nid, round(sum(sign(x.val - y.val) * d * s.a / sqrt(s.a * s.a + s.b * s.b)), 6) + 0.0 AS di, round(sum(sign(x.val - y.val) * d * s.b / sqrt(s.a * s.a + s.b * s.b)), 6) + 0.0 AS dj FROM u x, steps s, u y, gaps g WHERE y.nid = ((x.i + s.a + 4) % 4) * 4 + (x.j + s.b + 4) % 4 AND g.a = x.nid AND g.b = y.nid GROUP BY x.nid")
 def vector_field(t: Tables) -> DataFrame:
-    return grid.gradient(t.umatrix, ROWS, COLS)
+    return grid.gradient(t.map, t.umatrix, ROWS, COLS)
+
+
+def _nd(shape: tuple[int, ...], toric: bool) -> str:
+    """Pairs of cells whose coordinates differ by one at most along each axis, around the edge on a torus."""
+    size, tests = 1, []
+    for n in reversed(shape):
+        gap = f"abs((a.id // {size}) % {n} - (b.id // {size}) % {n})"
+        tests.append(f"least({gap}, {n} - {gap}) <= 1" if toric else f"{gap} <= 1")
+        size *= n
+    return f"SELECT a.id::INTEGER AS nid, b.id::INTEGER AS other FROM (SELECT unnest(range({size})) AS id) a, (SELECT unnest(range({size})) AS id) b WHERE a.id <> b.id AND {' AND '.join(tests)}"
+
+
+def _register_nd() -> None:
+    for shape, toric in (((7,), True), ((3, 4, 5), True), ((3, 4, 5), False), ((2, 3, 3, 4), True)):
+        query(_nd(shape, toric), f"neighbours_{len(shape)}d" + ("" if toric else "_planar"))(lambda t, shape=shape, toric=toric: grid.neighbours_nd(t.spark, shape, toric))
+
+
+_register_nd()
+
+
+@query(BASE + f", near AS ({_nd((2, 2, 4), True)}) SELECT nid, round(avg(d), 6) AS val FROM near JOIN gaps ON nid = a AND other = b GROUP BY nid")
+def umatrix_3d(t: Tables) -> DataFrame:
+    return grid.umatrix_nd(t.map, (2, 2, 4))
 
 
 LEVELS = ", cuts AS (SELECT nid, greatest(1, ceil((val - low) / (high - low) * 10 - 1e-9))::INTEGER AS first FROM u, (SELECT min(val) AS low, max(val) AS high FROM u))"
@@ -260,9 +303,13 @@ def roll(t: Tables) -> DataFrame:
     return grid.rolled(t.umatrix, ROWS, COLS, 1, 2)
 
 
-@query(BASE + "SELECT (i // 2)::INTEGER AS i, (j // 2)::INTEGER AS j, round(avg(val), 6) AS val FROM u GROUP BY 1, 2")
+@query(BASE + """, tiles AS (SELECT i + 4 * a AS u, j + 4 * b AS v, i, j, 3 * a + b AS tile, CASE WHEN (i + 4 * a + 2 * (j + 4 * b)) % 5 = 0 THEN 0.0 ELSE val * (1 + 0.004::DOUBLE * (3 * a + b)) END AS val FROM u, (SELECT unnest([0, 1, 2]) AS a), (SELECT unnest([0, 1, 2]) AS b)),
+span AS (SELECT min(val) AS low, max(val) AS high FROM tiles WHERE tile = 5 AND val <> 0)
+SELECT i, j, round(coalesce(min(val) FILTER (val <> 0 AND val BETWEEN low AND high), 0.0), 6) AS val FROM tiles, span GROUP BY i, j""")
 def condense(t: Tables) -> DataFrame:
-    return grid.condensed(t.umatrix, COLS, 2)
+    tile = F.expr("u div 4 * 3 + v div 4")
+    uneven = F.when((F.col("u") + 2 * F.col("v")) % 5 == 0, 0.0).otherwise(F.col("val") * (1 + 0.004 * tile))
+    return grid.condensed(grid.tiled(t.umatrix, ROWS, COLS, 3).withColumn("val", uneven), ROWS, COLS)
 
 
 @query(BASE + ", cells AS (SELECT unnest(v) AS x, unnest(range(0, 64))::INTEGER AS dim FROM data) SELECT dim, round(min(x), 6) + 0.0 AS low, round(max(x), 6) + 0.0 AS high FROM cells GROUP BY dim")
@@ -369,9 +416,10 @@ def adjacency(t: Tables) -> DataFrame:
     return graphs.adjacency(t.edges)
 
 
-@query(BASE + f"SELECT src, dst, {EDGE} FROM edges")
+@query(BASE + ", other AS (SELECT src, dst, w * 1.5 AS w FROM edges WHERE (src + dst) % 3 = 0 UNION ALL SELECT src, dst + 100, w FROM edges WHERE src = 1), joint AS (SELECT * FROM other UNION ALL SELECT * FROM edges e WHERE w <= 1.35 AND NOT EXISTS (FROM other o WHERE o.src = e.src AND o.dst = e.dst)) SELECT src, dst, round(w, 6) AS w FROM joint")
 def merge_graphs(t: Tables) -> DataFrame:
-    return graphs.merged(graphs.pruned(t.edges, 1.35), t.edges)
+    heavier = t.edges.where((F.col("src") + F.col("dst")) % 3 == 0).withColumn("w", F.col("w") * 1.5)
+    return graphs.merged(graphs.pruned(t.edges, 1.35), heavier.unionByName(t.edges.where("src = 1").withColumn("dst", F.col("dst") + 100)))
 
 
 @query("WITH RECURSIVE " + BASE.removeprefix("WITH ") + ", reach(node, root) AS (SELECT DISTINCT src, src FROM edges WHERE w <= 1.35 UNION SELECT dst, root FROM reach JOIN edges ON src = node WHERE w <= 1.35) SELECT node, min(root) AS component FROM reach GROUP BY node")
@@ -384,7 +432,7 @@ def shortest_lengths(t: Tables) -> DataFrame:
     return graphs.shortest_lengths(t.edges, 0)
 
 
-@query("WITH RECURSIVE " + BASE.removeprefix("WITH ") + """, low AS (SELECT * FROM u WHERE val <= 0.99 * (SELECT max(val) FROM u)),
+@query("WITH RECURSIVE " + BASE.removeprefix("WITH ") + """, low AS (SELECT * FROM u WHERE val < 0.99 * (SELECT max(val) FROM u)),
 near AS (SELECT DISTINCT t.nid, t.other FROM toric t JOIN low a ON t.nid = a.nid JOIN low b ON t.other = b.nid WHERE a.i = b.i OR a.j = b.j),
 reach(node, root) AS (SELECT nid, nid FROM low UNION SELECT other, root FROM reach JOIN near ON nid = node),
 comp AS (SELECT node, min(root) AS c FROM reach GROUP BY node),
@@ -404,9 +452,22 @@ def cluster_distance(t: Tables) -> DataFrame:
     return clusters.cluster_distance(t.map, t.labels)
 
 
-@query(BASE + "SELECT 4::BIGINT AS clusters, round(4 * (SELECT avg(l) FROM (SELECT avg(d) AS l FROM gaps WHERE a < b AND a // 4 = b // 4 GROUP BY a // 4)) / (SELECT avg(m) FROM (SELECT avg(d) AS m FROM gaps WHERE a // 4 < b // 4 GROUP BY a // 4, b // 4)), 6) AS val")
+UNEVEN = BASE + ", lab AS (SELECT nid, CASE WHEN nid < 1 THEN 0 WHEN nid < 4 THEN 1 WHEN nid < 9 THEN 2 ELSE 3 END AS label FROM book), cells AS (SELECT x.label AS la, y.label AS lb, g.a, g.b, g.d FROM gaps g JOIN lab x ON g.a = x.nid JOIN lab y ON g.b = y.nid), loose AS (SELECT la AS label, sum(d) / greatest(1, count(DISTINCT a) * (count(DISTINCT a) - 1)) AS val FROM cells WHERE la = lb GROUP BY la) "
+
+
+@query(UNEVEN + "SELECT nid, label, round(val, 6) AS val FROM lab JOIN loose USING (label)")
+def looseness_map(t: Tables) -> DataFrame:
+    return clusters.looseness_map(t.map, t.uneven)
+
+
+@query(UNEVEN + ", square AS (SELECT la, lb, CASE WHEN la = lb THEN 0.0 ELSE avg(d) END AS val FROM cells WHERE la > 0 AND lb > 0 GROUP BY la, lb) SELECT 3::BIGINT AS clusters, round(3 * (SELECT avg(val) FROM lab JOIN loose USING (label)) / (SELECT avg(val) FROM square), 6) AS val")
 def cluster_separation(t: Tables) -> DataFrame:
-    return clusters.separation(t.map, t.labels)
+    return clusters.separation(t.map, t.uneven)
+
+
+@query(BASE + "SELECT i AS label, count(*) AS n, round(avg(val), 6) AS mean, round(median(val), 6) AS median, round(min(val), 6) AS low FROM u GROUP BY i")
+def cluster_stats(t: Tables) -> DataFrame:
+    return graphs.cluster_stats(t.umatrix, t.labels)
 
 
 @query()
@@ -493,68 +554,68 @@ def flux_classes(t: Tables) -> DataFrame:
     return project.flux_classes(project.transitions(t.walk, ["user_id"], ["ts", "event_id"]), 6)
 
 
-@query(SHORT + "SELECT r, c, round(s, 6) + 0.0 AS val FROM pairs")
+@query(FULL + "SELECT r, c, round(s, 6) + 0.0 AS val FROM pairs")
 def scatter(t: Tables) -> DataFrame:
-    return linalg.scatter(t.short)
+    return linalg.scatter(t.data)
 
 
-@query(SHORT + f"SELECT r, c, {FIELD} FROM cov")
+@query(FULL + f"SELECT r, c, {FIELD} FROM cov")
 def covariance(t: Tables) -> DataFrame:
-    return linalg.covariance(t.short)
+    return linalg.covariance(t.data)
 
 
-@query(SHORT + f"SELECT r, c, {FIELD} FROM corr")
+@query(FULL + f"SELECT r, c, {FIELD} FROM corr")
 def correlation(t: Tables) -> DataFrame:
-    return linalg.correlation(linalg.covariance(t.short))
+    return linalg.correlation(linalg.covariance(t.data))
 
 
-@query(SHORT + "SELECT (r // 3)::INTEGER AS r, (c // 3)::INTEGER AS c, round(sum(val) / 3, 6) + 0.0 AS val FROM corr WHERE r % 3 = c % 3 GROUP BY 1, 2".replace("GROUP BY 1, 2", "GROUP BY r // 3, c // 3"))
+@query(LONG + "SELECT (r // 3)::INTEGER AS r, (c // 3)::INTEGER AS c, round(sum(val) / 3, 6) + 0.0 AS val FROM corr WHERE r % 3 = c % 3 GROUP BY 1, 2".replace("GROUP BY 1, 2", "GROUP BY r // 3, c // 3"))
 def block_trace(t: Tables) -> DataFrame:
-    return linalg.block_trace(linalg.correlation(linalg.covariance(t.short)))
+    return linalg.block_trace(linalg.correlation(linalg.covariance(t.long)))
 
 
-@query(SHORT + "SELECT (r // 3)::INTEGER AS r, (c // 3)::INTEGER AS c, round(avg(val), 6) + 0.0 AS val FROM corr GROUP BY r // 3, c // 3")
+@query(LONG + "SELECT (r // 3)::INTEGER AS r, (c // 3)::INTEGER AS c, round(avg(val), 6) + 0.0 AS val FROM corr GROUP BY r // 3, c // 3")
 def block_mean(t: Tables) -> DataFrame:
-    return linalg.block_mean(linalg.correlation(linalg.covariance(t.short)))
+    return linalg.block_mean(linalg.correlation(linalg.covariance(t.long)))
 
 
-@query(SHORT + f"SELECT r, c, {FIELD} FROM corr WHERE c < r")
+@query(FULL + f"SELECT r, c, {FIELD} FROM corr WHERE c < r")
 def lower_triangle(t: Tables) -> DataFrame:
-    return linalg.lower_triangle(linalg.correlation(linalg.covariance(t.short)))
+    return linalg.lower_triangle(linalg.correlation(linalg.covariance(t.data)))
 
 
-@query(SHORT + f"SELECT r, c, {FIELD} FROM corr WHERE c < r AND corr.val > 0.01 ORDER BY corr.val DESC, r, c")
+@query(FULL + f"SELECT r, c, {FIELD} FROM corr WHERE c < r AND corr.val > 0.01 ORDER BY corr.val DESC, r, c")
 def strongest_pairs(t: Tables) -> DataFrame:
-    return linalg.strongest(linalg.correlation(linalg.covariance(t.short)), 0.01)
+    return linalg.strongest(linalg.correlation(linalg.covariance(t.data)), 0.01)
 
 
-@query(SHORT + "SELECT (r // 3)::INTEGER AS atom, (r % 3)::INTEGER AS axis, round(sqrt(val), 6) AS val FROM cov WHERE r = c")
+@query(LONG + "SELECT (r // 3)::INTEGER AS atom, (r % 3)::INTEGER AS axis, round(sqrt(val), 6) AS val FROM cov WHERE r = c")
 def rms_fluctuation(t: Tables) -> DataFrame:
-    return linalg.rms(linalg.covariance(t.short))
+    return linalg.rms(linalg.covariance(t.long))
 
 
 PAIRS = ", gaps AS (SELECT x.id, x.a, y.a AS b, list_distance(x.p, y.p) AS d FROM points x JOIN points y ON x.id = y.id AND x.a <> y.a)"
 
 
-@query(SHORT + PAIRS + " SELECT id, a, b, round(d, 6) AS d FROM gaps WHERE a < b")
+@query(LONG + PAIRS + " SELECT id, a, b, round(d, 6) AS d FROM gaps WHERE a < b")
 def pairwise_distance(t: Tables) -> DataFrame:
-    return linalg.pair_distances(linalg.atoms(t.short))
+    return linalg.pair_distances(linalg.atoms(t.long))
 
 
-@query(SHORT + PAIRS + ", m AS (SELECT id, a, 1 / d AS x, avg(1 / d) OVER (PARTITION BY id, a) AS mu FROM gaps), k AS (SELECT id, a, any_value(mu) AS mu, avg((x - mu) * (x - mu)) AS m2, avg((x - mu) ** 3) AS m3 FROM m GROUP BY id, a) SELECT id, a AS atom, round(mu, 6) AS mu, round(sqrt(m2), 6) AS nu, round(sign(m3) * cbrt(abs(m3)), 4) + 0.0 AS xi FROM k")
+@query(LONG + PAIRS + ", m AS (SELECT id, a, 1 / d AS x, avg(1 / d) OVER (PARTITION BY id, a) AS mu FROM gaps), k AS (SELECT id, a, any_value(mu) AS mu, avg((x - mu) * (x - mu)) AS m2, avg((x - mu) ** 3) AS m3 FROM m GROUP BY id, a) SELECT id, a AS atom, round(mu, 6) AS mu, round(sqrt(m2), 6) AS nu, round(sign(m3) * cbrt(abs(m3)), 4) + 0.0 AS xi FROM k")
 def drid(t: Tables) -> DataFrame:
-    return linalg.drid(linalg.atoms(t.short)).withColumn("xi", F.round("xi", 4))
+    return linalg.drid(linalg.atoms(t.long)).withColumn("xi", F.round("xi", 4))
 
 
-@query(SHORT + PAIRS + " SELECT id, a, b, round(CASE WHEN d < 0.15 THEN 0.5 * (d - 0.15) * (d - 0.15) WHEN d <= 0.25 THEN 0.0 WHEN d <= 0.35 THEN 0.5 * (d - 0.25) * (d - 0.25) ELSE 0.5 * (0.35::DOUBLE - 0.25::DOUBLE) * (2 * d - 0.35::DOUBLE - 0.25::DOUBLE) END, 6) AS e FROM gaps WHERE a < b")
+@query(LONG + PAIRS + " SELECT id, a, b, round(CASE WHEN d < 0.15 THEN 0.5 * (d - 0.15) * (d - 0.15) WHEN d <= 0.25 THEN 0.0 WHEN d <= 0.35 THEN 0.5 * (d - 0.25) * (d - 0.25) ELSE 0.5 * (0.35::DOUBLE - 0.25::DOUBLE) * (2 * d - 0.35::DOUBLE - 0.25::DOUBLE) END, 6) AS e FROM gaps WHERE a < b")
 def restraint_potential(t: Tables) -> DataFrame:
-    found = linalg.pair_distances(linalg.atoms(t.short))
+    found = linalg.pair_distances(linalg.atoms(t.long))
     return found.select("id", "a", "b", linalg.restraint_potential(F.col("d"), 0.15, 0.25, 0.35).alias("e"))
 
 
 @query()
 def kabsch_rmsd(t: Tables) -> DataFrame:
-    points = linalg.atoms(t.short)
+    points = linalg.atoms(t.long)
     return linalg.kabsch(points, points.where("id = 0").first().xyz)
 
 
@@ -587,3 +648,60 @@ def decompose_round_trip(t: Tables) -> DataFrame:
     m = transforms.compose(F.transform(F.slice(v, 1, 3), lambda x: 1 + x * x), F.slice(v, 4, 3), F.slice(v, 7, 3), F.slice(v, 10, 3))
     d = t.data.select("id", F.explode(F.array(m)).alias("m")).select("id", transforms.decompose(F.col("m")).alias("d"))
     return d.select("id", *(F.col("d")[k].alias(n) for k, n in ((0, "s"), (3, "shear"), (6, "turn"), (9, "move"))))
+
+
+@query()
+def pca_scores(t: Tables) -> DataFrame:
+    return molecules.pca_scores(t.data)
+
+
+@query(LONG + ", first AS (SELECT a, p AS q FROM points WHERE id = 0) SELECT id, round(sqrt(avg(list_distance(p, q) ** 2)), 6) AS rmsd FROM points JOIN first USING (a) GROUP BY id")
+def plain_rmsd(t: Tables) -> DataFrame:
+    points = linalg.atoms(t.long)
+    return molecules.rmsd(points, points.where("id = 0").first().xyz)
+
+
+@query(LONG + ", first AS (SELECT a, p AS q FROM points WHERE id = 0) SELECT id, a AS atom, round(list_distance(p, q), 6) AS d FROM points JOIN first USING (a)")
+def atom_distances(t: Tables) -> DataFrame:
+    points = linalg.atoms(t.long)
+    return molecules.atom_distances(points, points.where("id = 0").first().xyz)
+
+
+@query(BASE + """, flat AS (SELECT d.id, b.nid AS nid, unnest(v[1:63]) AS x, unnest(range(1, 64)) AS k FROM data d JOIN bmus USING (id)), means AS (SELECT nid, k, avg(x) AS m FROM flat GROUP BY 1, 2),
+away AS (SELECT f.nid, f.id, sqrt(sum((x - m) * (x - m)) / 21) AS r FROM flat f JOIN means USING (nid, k) GROUP BY 1, 2)
+SELECT nid, count(*) AS n, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS spread FROM away GROUP BY nid""")
+def rmsd_map(t: Tables) -> DataFrame:
+    return molecules.rmsd_map(linalg.atoms(t.long), t.bmus)
+
+
+def _turn_sql(axes: str) -> str:
+    """The nine entries of the product of three turns about axes, multiplied out as text."""
+
+    def one(axis: str, angle: str) -> list[list[str]]:
+        i, out = "xyz".index(axis), [["1.0" if r == c else "0.0" for c in range(3)] for r in range(3)]
+        j, k = (i + 1) % 3, (i + 2) % 3
+        out[j][j] = out[k][k] = f"cos({angle})"
+        out[j][k], out[k][j] = f"-sin({angle})", f"sin({angle})"
+        return out
+
+    def times(a, b):
+        return [["(" + " + ".join(f"({a[r][k]}) * ({b[k][c]})" for k in range(3)) + ")" for c in range(3)] for r in range(3)]
+
+    turns = [one(axis, f"v[{n + 1}]") for n, axis in enumerate(axes[1:])]
+    a, b, c = turns if axes[0] == "r" else turns[::-1]
+    m = times(times(a, b), c)
+    return f"SELECT id, '{axes}' AS axes, " + ", ".join(f"round({m[r][c]}, 6) + 0.0 AS m{r}{c}" for r in range(3) for c in range(3)) + " FROM p"
+
+
+@query("WITH p AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS v FROM embeddings) " + " UNION ALL ".join(map(_turn_sql, euler.ORDERS)))
+def euler_orders(t: Tables) -> DataFrame:
+    v = lambda k: F.col("v")[k] * 3
+    turned = t.data.select("id", F.explode(F.array(*(F.struct(F.lit(o).alias("axes"), euler.euler_matrix(v(0), v(1), v(2), o).alias("m")) for o in euler.ORDERS))).alias("e"))
+    return turned.select("id", "e.axes", *(F.col("e.m")[4 * r + c].alias(f"m{r}{c}") for r in range(3) for c in range(3)))
+
+
+@query()
+def euler_angles_of_orders(t: Tables) -> DataFrame:
+    v = lambda k: F.col("v")[k] * 3
+    turned = t.data.select("id", F.explode(F.array(*(F.struct(F.lit(o).alias("axes"), euler.euler_from_matrix(euler.euler_matrix(v(0), v(1), v(2), o), o).alias("e")) for o in euler.ORDERS))).alias("x"))
+    return turned.select("id", "x.axes", "x.e")

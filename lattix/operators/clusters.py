@@ -36,11 +36,20 @@ def cluster_distance(codebook: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).agg(F.avg("d").alias("val"))
 
 
+def looseness_map(codebook: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(nid, label, val)``: each cell with the looseness of its cluster."""
+    return labels.join(looseness(codebook, labels).select("label", "val"), "label").select("nid", "label", "val")
+
+
 def separation(codebook: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(clusters, val)``: clusters times their mean looseness over their mean distance; null for one cluster."""
-    loose = looseness(codebook, labels).agg(F.count("*").alias("m"), F.avg("val").alias("l"))
-    far = cluster_distance(codebook, labels).agg(F.avg("val")).scalar()
-    return loose.select(F.col("m").alias("clusters"), (F.col("m") * F.col("l") / far).alias("val"))
+    """``(clusters, val)``: clusters times the mean looseness over the mean distance; null for one cluster.
+
+    The looseness is averaged over cells, those of label 0 included; the distance over the square matrix of the
+    clusters from 1 on, its diagonal of zeros included.
+    """
+    loose = looseness_map(codebook, labels).agg(F.max("label").alias("m"), F.avg("val").alias("l"))
+    far = cluster_distance(codebook, labels.where("label > 0")).agg(2 * F.sum("val")).scalar()
+    return loose.select(F.col("m").cast("long").alias("clusters"), F.when(F.col("m") > 1, F.col("m") * F.col("l") / (far / (F.col("m") * F.col("m")))).alias("val"))
 
 
 def borders(codebook: DataFrame, rows: int, cols: int, steps) -> DataFrame:

@@ -44,7 +44,8 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b).groupBy("src", "dst").agg(F.min("w").alias("w"))
+    """The edges of both; where both have one, the second's weight stands."""
+    return a.join(b.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "w").unionByName(b.select("src", "dst", "w"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -96,9 +97,9 @@ def shortest_lengths(edges: DataFrame, source: int) -> DataFrame:
 
 
 def threshold_clusters(field: DataFrame, rows: int, cols: int, share: float) -> DataFrame:
-    """``(nid, label)``: 4-connected toric groups of the cells at or below ``share`` of the largest value, labelled from 1 by mean value."""
+    """``(nid, label)``: 4-connected toric groups of the cells below ``share`` of the largest value, labelled from 1 by mean value."""
     field = written(field, "field")
-    low = field.where(F.col("val") <= share * field.agg(F.max("val")).scalar())
+    low = field.where(F.col("val") < share * field.agg(F.max("val")).scalar())
     low = low.select("nid", "i", "j", "val")
     pairs = neighbours(low, rows, cols, True, FOUR)
     pairs = pairs.join(low.select(F.col("nid").alias("other")), "other", "left_semi")
@@ -108,6 +109,11 @@ def threshold_clusters(field: DataFrame, rows: int, cols: int, share: float) ->
     return groups.join(ranked, "component").select(F.col("node").alias("nid"), "label")
 
 
+def cluster_stats(field: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(label, n, mean, median, low)`` of the field's values in each cluster."""
+    return field.join(labels, "nid").groupBy("label").agg(F.count("*").alias("n"), F.avg("val").alias("mean"), F.median("val").alias("median"), F.min("val").alias("low"))
+
+
 def watershed(values: np.ndarray) -> np.ndarray:
     """Labels from 1 of the basins of a toric grid: cells are flooded in order of (value, cell), each to the basin of its lowest flooded neighbour."""
     rows, cols = values.shape

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattix.functions.vectors import distance
@@ -51,13 +54,40 @@ def basin(field: DataFrame, rows: int, cols: int, least: bool = True) -> DataFra
     return far.groupBy("nid").agg(F.min(F.struct(value.alias("v"), F.col("other"))).alias("m")).select("nid", F.col("m.other").alias("target"))
 
 
-def gradient(field: DataFrame, rows: int, cols: int) -> DataFrame:
-    """``(nid, di, dj)``: sum over neighbours of the unit step towards them times how much lower they are."""
-    stepped = field.select("nid", "i", "j", "val", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in EIGHT))).alias("s"))
+def gradient(codebook: DataFrame, field: DataFrame, rows: int, cols: int, signed: bool = True) -> DataFrame:
+    """``(nid, di, dj)``: sum over the eight toric neighbours of the unit step towards them times their codebook distance.
+
+    ``signed``: times the sign of how much lower the field is there, so that the sum points down.
+    """
+    own = field.join(codebook.select("nid", "w"), "nid")
+    stepped = own.select("nid", "i", "j", "val", "w", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in EIGHT))).alias("s"))
     other = (F.pmod(F.col("i") + F.col("s.a"), F.lit(rows)) * cols + F.pmod(F.col("j") + F.col("s.b"), F.lit(cols))).alias("other")
-    stepped = stepped.select("nid", "val", "s", other).join(field.select(F.col("nid").alias("other"), F.col("val").alias("far")), "other")
+    stepped = stepped.select("nid", "val", "w", "s", other).join(own.select(F.col("nid").alias("other"), F.col("val").alias("far"), F.col("w").alias("wo")), "other")
     length = F.sqrt(F.col("s.a") * F.col("s.a") + F.col("s.b") * F.col("s.b"))
-    return stepped.groupBy("nid").agg(*(F.sum((F.col("val") - F.col("far")) * F.col(f"s.{k}") / length).alias(f"d{n}") for k, n in (("a", "i"), ("b", "j"))))
+    pull = distance(F.col("w"), F.col("wo")) * (F.signum(F.col("val") - F.col("far")) if signed else F.lit(1.0))
+    return stepped.groupBy("nid").agg(*(F.sum(pull * F.col(f"s.{k}") / length).alias(f"d{n}") for k, n in (("a", "i"), ("b", "j"))))
+
+
+def neighbours_nd(spark: SparkSession, shape: tuple[int, ...], toric: bool = True) -> DataFrame:
+    """``(nid, other)`` of a grid of any number of dimensions, the last one running fastest: all cells one step away along any axes."""
+    steps = [s for s in product((-1, 0, 1), repeat=len(shape)) if any(s)]
+    cells = spark.range(math.prod(shape)).select(F.col("id").cast("int").alias("nid"))
+    far = cells.select("nid", F.explode(F.array(*(F.array(*map(F.lit, s)) for s in steps))).alias("s"))
+    other, inside, size = F.lit(0), F.lit(True), math.prod(shape)
+    for k, n in enumerate(shape):
+        size //= n
+        at = F.expr(f"nid div {size} % {n}") + F.col("s")[k]
+        inside = inside & at.between(0, n - 1)
+        other = other + F.pmod(at, F.lit(n)) * size
+    far = far if toric else far.where(inside)
+    return far.select("nid", other.cast("int").alias("other")).where("nid <> other").distinct()
+
+
+def umatrix_nd(codebook: DataFrame, shape: tuple[int, ...], toric: bool = True) -> DataFrame:
+    """``(nid, val)``: mean distance of a neuron to its neighbours on a grid of any number of dimensions."""
+    pairs = neighbours_nd(codebook.sparkSession, shape, toric)
+    a, b = codebook.select("nid", F.col("w").alias("wa")), codebook.select(F.col("nid").alias("other"), F.col("w").alias("wb"))
+    return pairs.join(a, "nid").join(b, "other").groupBy("nid").agg(F.avg(distance(F.col("wa"), F.col("wb"))).alias("val"))
 
 
 def slices(field: DataFrame, levels: int, band: bool = False) -> DataFrame:
@@ -82,10 +112,16 @@ def rolled(field: DataFrame, rows: int, cols: int, di: int, dj: int) -> DataFram
     return field.select((i * cols + j).alias("nid"), i.alias("i"), j.alias("j"), "val")
 
 
-def condensed(field: DataFrame, cols: int, by: int) -> DataFrame:
-    """Means of ``by`` x ``by`` blocks."""
-    i, j = F.floor(F.col("i") / by).cast("int"), F.floor(F.col("j") / by).cast("int")
-    return field.groupBy(i.alias("i"), j.alias("j")).agg(F.avg("val").alias("val"))
+def condensed(field: DataFrame, rows: int, cols: int) -> DataFrame:
+    """``(i, j, val)``: ``field(u, v, val)`` of 3 x 3 tiles of ``rows`` x ``cols`` folded into one by the least value.
+
+    0 stands for no value, and only values within the range of the tile at (1, 2) count; 0 where there is none.
+    """
+    tile = (F.expr(f"u div {rows}") * 3 + F.expr(f"v div {cols}")).alias("tile")
+    known = field.select((F.col("u") % rows).alias("i"), (F.col("v") % cols).alias("j"), tile, F.nullif("val", F.lit(0.0)).alias("val"))
+    span = known.where("tile = 5").agg(F.min("val").alias("low"), F.max("val").alias("high"))
+    inside = known.withColumns({k: span.select(k).scalar() for k in ("low", "high")})
+    return inside.groupBy("i", "j").agg(F.coalesce(F.min(F.when(F.col("val").between(F.col("low"), F.col("high")), F.col("val"))), F.lit(0.0)).alias("val"))
 
 
 def dense(values: DataFrame, cells: DataFrame, fill: Column | float | int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.functions.vectors import distance
+from lattix.functions.vectors import distance, total
 
 
 def _products(centre: list[float] | None):
@@ -15,6 +15,8 @@ def _products(centre: list[float] | None):
         n, sums, squares = 0, None, None
         for batch in batches:
             if batch.num_rows:
+                if batch.column(0).null_count or batch.column(0).flatten().null_count:
+                    raise ValueError("null vectors or elements; leave them out before")
                 x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
                 x = x if centre is None else x - np.array(centre)
                 n, sums, squares = n + len(x), x.sum(0) + (0 if sums is None else sums), x.T @ x + (0 if squares is None else squares)
@@ -107,11 +109,12 @@ def pair_distances(points: DataFrame) -> DataFrame:
 
 def drid(points: DataFrame) -> DataFrame:
     """``(id, atom, mu, nu, xi)``: moments of the inverse distances of each point to the others; the third root keeps its sign."""
-    inverse = F.transform("xyz", lambda p, a: F.transform(F.filter(F.transform("xyz", lambda q, b: F.struct(b.alias("b"), q.alias("q"))), lambda x: x["b"] != a), lambda x: 1 / distance(p, x["q"])))
-    rows = points.select("id", F.posexplode(inverse).alias("atom", "inv")).select("id", "atom", F.explode("inv").alias("x"))
-    mean = rows.groupBy("id", "atom").agg(F.avg("x").alias("mu"))
-    third = F.avg(F.pow(F.col("x") - F.col("mu"), 3))
-    return rows.join(mean, ["id", "atom"]).groupBy("id", "atom", "mu").agg(F.sqrt(F.avg((F.col("x") - F.col("mu")) * (F.col("x") - F.col("mu")))).alias("nu"), (F.signum(third) * F.cbrt(F.abs(third))).alias("xi"))
+    others = F.transform("xyz", lambda p, a: F.transform(F.filter(F.transform("xyz", lambda q, b: F.struct(b.alias("b"), q.alias("q"))), lambda x: x["b"] != a), lambda x: 1 / distance(p, x["q"])))
+    rows = points.select("id", F.posexplode(others).alias("atom", "inv"))
+    rows = rows.withColumn("mu", total(F.col("inv")) / F.size("inv"))
+    moment = lambda n: total(F.transform("inv", lambda x: F.pow(x - F.col("mu"), F.lit(float(n))))) / F.size("inv")
+    third = moment(3)
+    return rows.select("id", "atom", "mu", F.sqrt(moment(2)).alias("nu"), (F.signum(third) * F.cbrt(F.abs(third))).alias("xi"))
 
 
 def restraint_potential(r, r0: float, r1: float, r2: float, k: float = 1.0):

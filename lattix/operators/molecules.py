@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattix.functions.vectors import dot, norm, unit
+from lattix.functions.vectors import distance, dot, norm, squared_distance, total, unit
 from lattix.operators.linalg import moments
 
 #: Blocks of twelve numbers of a descriptor, in order.
@@ -127,3 +127,40 @@ def principal_components(data: DataFrame, k: int = 4) -> DataFrame:
     axes = axes * np.sign(axes[np.abs(axes).argmax(0), range(axes.shape[1])])
     rows = [(c, float(values[c]), float(values[c] / values.sum()), axes[:, c].tolist()) for c in range(min(k, len(values)))]
     return data.sparkSession.createDataFrame(rows, "component int, value double, share double, v array<double>")
+
+
+def pca_scores(data: DataFrame, k: int = 4) -> DataFrame:
+    """``(id, scores, residual)``: coordinates along the first ``k`` components, and the distance to what they rebuild.
+
+    The mean and the components, d numbers each, go with the plan; the scores are sums within the row.
+    """
+    _, mean, _ = moments(data)
+    axes = [r.v for r in principal_components(data, k).orderBy("component").collect()]
+    centred = F.zip_with("v", F.array(*map(F.lit, mean.tolist())), lambda x, m: x - m)
+    rows = data.select("id", centred.alias("c")).withColumn("scores", F.array(*(dot(F.col("c"), F.array(*map(F.lit, a))) for a in axes)))
+    rebuilt = F.transform(F.sequence(F.lit(1), F.size("c")), lambda d: dot(F.col("scores"), F.array(*(F.get(F.array(*map(F.lit, a)), d - 1) for a in axes))))
+    return rows.withColumn("rebuilt", rebuilt).select("id", "scores", distance(F.col("c"), F.col("rebuilt")).alias("residual"))
+
+
+def rmsd(points: DataFrame, reference: list[list[float]]) -> DataFrame:
+    """``(id, rmsd)`` to ``reference`` as the points stand, without a rotation."""
+    ref = F.array(*(F.array(*map(F.lit, map(float, p))) for p in reference))
+    return points.select("id", F.sqrt(total(F.zip_with("xyz", ref, squared_distance)) / len(reference)).alias("rmsd"))
+
+
+def atom_distances(points: DataFrame, reference: list[list[float]]) -> DataFrame:
+    """``(id, atom, d)``: how far each point is from its place in ``reference``."""
+    ref = F.array(*(F.array(*map(F.lit, map(float, p))) for p in reference))
+    return points.select("id", F.posexplode(F.zip_with("xyz", ref, distance)).alias("atom", "d"))
+
+
+def rmsd_map(frames: DataFrame, bmus: DataFrame) -> DataFrame:
+    """``(nid, n, mean, spread)``: for each neuron its frames' root mean square distance to their mean structure, and how that varies.
+
+    ``frames(id, xyz)``, ``bmus(id, nid)``. Means are sums by neuron, atom and axis, combined before the shuffle.
+    """
+    placed = frames.join(bmus.select("id", "nid"), "id")
+    flat = placed.select("nid", F.posexplode(F.flatten("xyz")).alias("k", "x")).groupBy("nid", "k").agg(F.avg("x").alias("m"))
+    means = flat.groupBy("nid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("mean"))
+    away = F.sqrt(squared_distance(F.flatten("xyz"), F.col("mean")) / F.size("xyz"))
+    return placed.join(means, "nid").select("nid", away.alias("r")).groupBy("nid").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("spread"))

@@ -34,8 +34,9 @@ def active_map(bmus: DataFrame, cells: DataFrame, active: Column) -> DataFrame:
 
 
 def members(bmus: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(label, n, ids)``: sorted ids of the inputs in each cluster of neurons, label 0 left out."""
-    return bmus.join(labels, "nid").where("label <> 0").groupBy("label").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
+    """``(label, n, id)``: the inputs of each cluster of neurons, a row each, with their number; label 0 is left out."""
+    found = bmus.join(labels, "nid").where("label <> 0").select("label", "id")
+    return found.join(found.groupBy("label").agg(F.count("*").alias("n")), "label").select("label", "n", "id")
 
 
 def best_pose(scores: DataFrame, group: str, score: str, *more: str) -> DataFrame:
@@ -73,12 +74,12 @@ def flux_classes(moves: DataFrame, classes: int) -> DataFrame:
 def roc_points(scored: DataFrame, score: str, active: Column, bins: int = 64) -> DataFrame:
     """``(score, tp, fp, fpr, tpr)``: cumulated counts after each distinct score in ascending order.
 
-    Counts of distinct scores are summed within ``bins`` ranges of the score, and the ranges' totals before them, so
-    that no task has all rows.
+    Counts of distinct scores are summed within ``bins`` ranges between approximate quantiles, and the ranges' totals
+    before them, so that no task has all rows, however the scores are spread.
     """
     per = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(active).alias("p"), F.count_if(~active).alias("n"))
-    low, high = per.agg(F.min("score")).scalar(), per.agg(F.max("score")).scalar()
-    per = per.withColumn("bin", F.floor((F.col("score") - low) / F.greatest(high - low, F.lit(1e-300)) * bins).cast("int"))
+    cuts = per.agg(F.percentile_approx("score", [k / bins for k in range(1, bins)]).alias("cuts")).scalar()
+    per = per.withColumn("cuts", cuts).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("score")))).drop("cuts")
     totals = per.groupBy("bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     w = Window.orderBy("bin")  # one row for each bin
     before = totals.select("bin", (F.sum("p").over(w) - F.col("p")).alias("bp"), (F.sum("n").over(w) - F.col("n")).alias("bn"), F.sum("p").over(Window.partitionBy()).alias("all_p"), F.sum("n").over(Window.partitionBy()).alias("all_n"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.functions.kernels import gaussian, planar_squared, toric_squared
+from lattix.operators.bmu import rows_of
 
 
 def _sums(w: np.ndarray):
@@ -19,7 +19,7 @@ def _sums(w: np.ndarray):
         sums, hits = np.zeros_like(w), np.zeros(len(w), np.int64)
         step = max(1, (1 << 22) // w.size)
         for batch in batches:
-            x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
+            x = rows_of(batch.column(0), w.shape[1])
             for a in range(0, len(x), step):
                 some = x[a : a + step]
                 best = ((some[:, None, :] - w[None]) ** 2).sum(2).argmin(1)
@@ -34,19 +34,26 @@ def _sums(w: np.ndarray):
 def batch_step(data: DataFrame, codebook: DataFrame, rows: int, cols: int, radius: float, toric: bool = True) -> DataFrame:
     """One batch update: each neuron becomes the kernel-weighted mean of all inputs.
 
-    Each partition sums its inputs by their best-matching unit, those sums are shuffled (a map's size for each
-    partition) and spread over the neighbourhood, so the kernel's cost depends on the map alone.
+    Each partition sums its inputs by their best-matching unit and those sums are shuffled (a map's size for each
+    partition). The sums of all, a map's size, are spread over the neighbourhood by products of kernel blocks with
+    them, so the kernel's cost depends on the map alone.
     """
-    sums = data.select("v").mapInArrow(_sums(np.array([r.w for r in codebook.orderBy("nid").collect()])), "nid int, n long, x array<double>")
+    cells = codebook.orderBy("nid").collect()
+    sums = data.select("v").mapInArrow(_sums(np.array([r.w for r in cells])), "nid int, n long, x array<double>")
     sums = sums.select("nid", "n", F.posexplode("x").alias("dim", "x")).groupBy("nid", "dim").agg(F.sum("x").alias("sx"), F.sum("n").alias("n"))
-    at = codebook.select("nid", "i", "j")
-    a = at.select(F.col("nid").alias("to"), F.col("i").alias("ti"), F.col("j").alias("tj"))
-    pairs = at.withColumn("all", a.agg(F.collect_list(F.struct("to", "ti", "tj")).alias("a")).scalar()).select("nid", "i", "j", F.inline("all"))
-    d2 = toric_squared(F.col("i"), F.col("j"), F.col("ti"), F.col("tj"), rows, cols) if toric else planar_squared(F.col("i"), F.col("j"), F.col("ti"), F.col("tj"))
-    weights = pairs.select("nid", "to", gaussian(d2, F.lit(radius)).alias("h"))
-    spread = sums.join(weights, "nid").groupBy("to", "dim").agg((F.sum(F.col("h") * F.col("sx")) / F.sum(F.col("h") * F.col("n"))).alias("x"))
-    new = spread.groupBy(F.col("to").alias("nid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("w"))
-    return at.join(new, "nid")
+    sums = sums.groupBy("nid").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "sx"))), lambda s: s["sx"]).alias("x")).collect()
+    at = np.array([(r.i, r.j) for r in cells], float)
+    hits, total = np.zeros(len(cells)), np.zeros((len(cells), len(cells[0].w)))
+    for r in sums:
+        hits[r.nid], total[r.nid] = r.n, r.x
+    new = np.empty_like(total)
+    for a in range(0, len(cells), 1024):
+        d = np.abs(at[a : a + 1024, None, :] - at[None])
+        if toric:
+            d = np.minimum(d, np.array([rows, cols]) - d)
+        h = np.exp(-(d**2).sum(2) / (4 * radius * radius))
+        new[a : a + 1024] = (h @ total) / (h @ hits)[:, None]
+    return data.sparkSession.createDataFrame([(r.nid, r.i, r.j, w) for r, w in zip(cells, new.tolist())], "nid int, i int, j int, w array<double>")
 
 
 def fixed(codebook: DataFrame) -> DataFrame:

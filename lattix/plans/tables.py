@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set and all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="lattix-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as Parquet in the folder of ``spark.checkpoint.dir`` (a temporary one only where none is set), read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lattix-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/map-{tag}-{uuid.uuid4().hex}"
+    """``df`` as Parquet in the shared folder, read again."""
+    path = f"{folder(df.sparkSession)}/map-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
