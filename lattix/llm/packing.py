@@ -26,6 +26,8 @@ INJECTED = 0.05
 OPENED = 2
 #: Bins of more documents exchange single ones only; more displaced ones than this are not tried in pairs.
 PAIRED_BIN, PAIRED_LOOSE = 8, 64
+#: A packing is settled if all its bins but the emptiest waste this share of their room at most: no other can save more.
+SETTLED = 0.001
 #: Sequences that are filled less are opened and packed again with those of other blocks.
 WELL_FILLED = 0.97
 #: Such rounds at most; each has a few hundredths of the pieces of the one before.
@@ -136,24 +138,31 @@ def least_bins(sizes: list[int], capacity: int = CAPACITY) -> int:
     return -(-sum(sizes) // capacity)
 
 
+def settled(sizes: list[int], bins: list[list[int]], capacity: int) -> bool:
+    """Whether no packing can be better by more than ``SETTLED``: by the number of bins, or by what all but the emptiest waste."""
+    waste = [capacity - sum([sizes[i] for i in b]) for b in bins]
+    return len(bins) <= least_bins(sizes, capacity) or sum(waste) - max(waste) <= SETTLED * capacity * len(bins)
+
+
 def evolve(sizes: list[int], elites: list[list[list[int]]], seed: int, capacity: int = CAPACITY, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
     """The best packing of items ``0..n-1`` that an island finds, from ``elites`` and best-fit packings in noisy descending order.
 
     Two parents are drawn, the better one is the donor; the child takes the place of the worst if it is better than
-    that and its fitness is new. Ends early where the bins reach ``least_bins``.
+    that and its fitness is new. Ends early where the best is ``settled``.
     """
     rng = random.Random(seed)
     full = [[i] for i, s in enumerate(sizes) if s >= capacity]
     rest = [i for i, s in enumerate(sizes) if s < capacity]
-    least = least_bins([sizes[i] for i in rest], capacity)
+    small = [s if s < capacity else 0 for s in sizes]
+    done = lambda p: not p or settled(small, p, capacity)
     people = [[b for b in e if sizes[b[0]] < capacity] for e in elites]
     noise = 0.0 if not elites else 0.02 * len(people)
-    while len(people) < population and not (people and len(people[-1]) <= least):
+    while len(people) < population and not (people and done(people[-1])):
         people.append(best_fit(sizes, sorted(rest, key=lambda i: -sizes[i] * (1 + noise * rng.random())), [], capacity))
         noise += 0.02
     scores = [fitness(sizes, p, capacity) for p in people]
     for _ in range(generations):
-        if -max(scores)[0] <= least or len(people) < 2:
+        if len(people) < 2 or done(people[max(range(len(people)), key=scores.__getitem__)]):
             break
         a, b = rng.sample(range(len(people)), 2)
         base, donor = (a, b) if scores[a] < scores[b] else (b, a)
@@ -185,7 +194,7 @@ def _epoch(capacity: int, epoch: int):
             for i in range(batch.num_rows):
                 block, island, sizes, *elites = (batch.column(k)[i].as_py() for k in range(batch.num_columns))
                 bins = evolve(sizes, [_bins(e) for e in elites if e is not None], hash((block, island, epoch)), capacity)
-                solved = len(bins) <= least_bins(sizes, capacity)
+                solved = settled(sizes, bins, capacity)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([island], pa.int32()), pa.array([sizes], pa.list_(pa.int32())), pa.array([_labels(len(sizes), bins)], pa.list_(pa.int32())), pa.array([len(bins)], pa.int32()), pa.array([solved])], ["block", "island", "sizes", "elite", "bins", "solved"])
 
     return work
@@ -197,7 +206,7 @@ _STATE = "block long, island int, sizes array<int>, elite array<int>, bins int,
 def _solve(blocks: DataFrame, n: int, capacity: int) -> DataFrame:
     """``n`` ``blocks(block, sizes)`` -> ``(block, elite)``: for each item its bin, from the best island.
 
-    Blocks in which an island needs no more bins than the sum of sizes does leave the epochs. The partitions are
+    Blocks that an island settles leave the epochs. The partitions are
     counted by work, not by bytes: few islands a task, though their rows are small.
     """
     tasks = max(1, -(-n * ISLANDS // 4))
