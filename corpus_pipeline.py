@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
+
+Any column may be null and texts may be empty or very long. The first stage drops documents without ten words, so null
+and empty texts end there; null languages and sources are groups and a source of their own. Documents of a null id
+stay until the last stage, rows that are equal in all columns are treated alike, extra columns pass up to the last
+stage whatever their names (those beginning with ``__`` are reserved), and an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -9,22 +15,22 @@ from lattix.llm.shared import stash
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive quality rules keep."""
+    """Documents that the adaptive quality rules keep; repeated rows stay or go together."""
     return quality.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated line runs; documents that have nothing else are dropped."""
+    """Texts without later copies of repeated line runs; documents that have nothing else are dropped. Rows of equal id and text are one document."""
     return linededup.drop_repeated(docs)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each group of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more: that of the smallest id, with the rows that repeat it; groups of only null ids stay."""
     return simhash.keep_one_similar(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix reads them, in training order."""
+    """Documents as often as the mix reads them, in training order; rows of equal id and text are one document."""
     return mixing.mixed_documents(docs)
 
 

@@ -47,3 +47,15 @@ def test_stages(spark, sf):
     assert d.columns == docs.columns and times == visits
     e = sequences(spark, d, sf).groupBy("sequence_id").sum("length").collect()
     assert max(r[1] for r in e) <= 2048
+
+
+def test_stages_on_odd_rows_and_an_empty_table(spark, sf):
+    words = " ".join(f"word{k} is the {k * 7 % 31}th" for k in range(60))
+    rows = [(1, words, "en", "a", 1, "x"), (1, words, "en", "a", 1, "x"), (2, None, "en", "a", None, "x"), (3, "", None, None, 0, None), (None, words + " tail", None, None, 3, None), (4, words.replace("word7", "other"), None, "b", 4, "y"), (5, " ".join(f"u{k % 5003}" for k in range(40_000)), "de", None, 5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string")
+    for table, least in ((docs, 1), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            table = stage(spark, table, sf).cache()
+            assert table.columns == docs.columns and table.count() >= least, name
+        found = corpus_pipeline.sequences(spark, table, sf).collect()
+        assert len(found) >= least and {r.doc_id for r in found} <= {None, 1, 4, 5}
