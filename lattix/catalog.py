@@ -442,6 +442,41 @@ def threshold_clusters(t: Tables) -> DataFrame:
     return graphs.threshold_clusters(t.umatrix, ROWS, COLS, 0.99)
 
 
+SWEEP = "WITH RECURSIVE " + BASE.removeprefix("WITH ") + """, fixed AS MATERIALIZED (SELECT * FROM u),
+cuts AS MATERIALIZED (SELECT row_number() OVER (ORDER BY val)::INTEGER AS step, val AS cut FROM (SELECT DISTINCT val FROM fixed)),
+low AS MATERIALIZED (SELECT step, cut, nid, i, j, val FROM fixed JOIN cuts ON val < cut),
+near AS MATERIALIZED (SELECT DISTINCT a.step, t.nid, t.other FROM toric t JOIN low a ON t.nid = a.nid JOIN low b ON t.other = b.nid AND a.step = b.step WHERE a.i = b.i OR a.j = b.j),
+reach(step, node, root) AS (SELECT step, nid, nid FROM low UNION SELECT near.step, other, root FROM reach JOIN near ON nid = node AND near.step = reach.step),
+comp AS (SELECT step, node AS nid, min(root) AS c FROM reach GROUP BY step, node),
+ranked AS (SELECT step, c, row_number() OVER (PARTITION BY step ORDER BY m, c)::INTEGER AS label FROM (SELECT step, c, avg(val) AS m FROM comp JOIN low USING (step, nid) GROUP BY step, c)),
+sweep AS MATERIALIZED (SELECT step, cut, nid, label FROM comp JOIN ranked USING (step, c) JOIN cuts USING (step))
+"""
+RATED = """, hits AS MATERIALIZED (SELECT b.nid AS nid, label = 3 AS k FROM bmus),
+rated AS (SELECT step, cut, sweep.label, count(*) FILTER (k) / (SELECT count(*) FROM hits WHERE k) AS se, 1 - count(*) FILTER (NOT k) / (SELECT count(*) FROM hits WHERE NOT k) AS sp FROM sweep LEFT JOIN hits USING (nid) GROUP BY ALL),
+far_off AS (SELECT *, sqrt((1 - sp) * (1 - sp) + (1 - se) * (1 - se)) AS gamma, count(*) OVER (PARTITION BY step) AS clusters FROM rated),
+bests AS (SELECT step, round(cut, 6) AS cut, clusters, label, round(se, 6) AS se, round(sp, 6) AS sp, round(gamma, 6) AS gamma, gamma AS exact FROM far_off QUALIFY row_number() OVER (PARTITION BY step ORDER BY gamma, label) = 1)
+"""
+
+
+@query(SWEEP + "SELECT step, round(cut, 6) AS cut, nid, label FROM sweep")
+def threshold_sweep(t: Tables) -> DataFrame:
+    return graphs.threshold_sweep(t.umatrix, ROWS, COLS)
+
+
+def _roc_steps(t: Tables) -> DataFrame:
+    return project.roc_sweep(t.bmus.withColumnRenamed("label", "kind"), graphs.threshold_sweep(t.umatrix, ROWS, COLS), F.col("kind") == 3)
+
+
+@query(SWEEP + RATED + "SELECT * EXCLUDE (exact) FROM bests")
+def roc_sweep(t: Tables) -> DataFrame:
+    return _roc_steps(t)
+
+
+@query(SWEEP + RATED + "SELECT * EXCLUDE (exact) FROM bests ORDER BY exact, step LIMIT 1")
+def roc_best(t: Tables) -> DataFrame:
+    return project.roc_best(_roc_steps(t))
+
+
 @query(BASE + "SELECT (a // 4)::INTEGER AS label, 4::BIGINT AS n, round(avg(d), 6) AS val FROM gaps WHERE a < b AND a // 4 = b // 4 GROUP BY a // 4")
 def looseness(t: Tables) -> DataFrame:
     return clusters.looseness(t.map, t.labels)

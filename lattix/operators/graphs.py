@@ -109,6 +109,28 @@ def threshold_clusters(field: DataFrame, rows: int, cols: int, share: float) ->
     return groups.join(ranked, "component").select(F.col("node").alias("nid"), "label")
 
 
+def threshold_sweep(field: DataFrame, rows: int, cols: int) -> DataFrame:
+    """``(step, cut, nid, label)``: the groups of ``threshold_clusters`` below every distinct value, steps from 1 in ascending order.
+
+    All steps are grouped at once, as one graph that holds each cell once for every step in which it is low. No other
+    cut gives another grouping, so nothing is missed between two steps. The least value has no cell below it.
+    """
+    field = written(field, "field")
+    values = field.where("val is not null").select("val").distinct()  # a grid's values
+    cuts = values.select(F.row_number().over(Window.orderBy("val")).alias("step"), F.col("val").alias("cut"))
+    found = cuts.agg(F.collect_list(F.struct("step", "cut"))).scalar()
+    low = field.withColumn("cuts", found).select("nid", "val", F.explode(F.filter("cuts", lambda c: c["cut"] > F.col("val"))).alias("c"))
+    low = written(low.select("c.step", "c.cut", "nid", "val"), "low")
+    pairs = low.select("step", "nid").join(neighbours(field, rows, cols, True, FOUR), "nid")
+    pairs = pairs.join(low.select("step", F.col("nid").alias("other")), ["step", "other"], "left_semi")
+    node = lambda cell: F.col("step").cast("long") * (rows * cols) + F.col(cell)
+    links = pairs.select(node("nid").alias("src"), node("other").alias("dst")).unionByName(low.select(node("nid").alias("src"), node("nid").alias("dst")))
+    groups = components(links).join(low.withColumn("node", node("nid")), "node")
+    order = Window.partitionBy("step").orderBy("mean", "component")
+    ranked = groups.groupBy("step", "component").agg(F.avg("val").alias("mean")).select("component", F.row_number().over(order).alias("label"))
+    return groups.join(ranked, "component").select("step", "cut", "nid", "label")
+
+
 def cluster_stats(field: DataFrame, labels: DataFrame) -> DataFrame:
     """``(label, n, mean, median, low)`` of the field's values in each cluster."""
     return field.join(labels, "nid").groupBy("label").agg(F.count("*").alias("n"), F.avg("val").alias("mean"), F.median("val").alias("median"), F.min("val").alias("low"))

@@ -103,3 +103,23 @@ def sensitivity(bmus: DataFrame, active: Column, label: str = "nid") -> DataFram
     k, u = bmus.agg(F.count_if(active)).scalar(), bmus.agg(F.count_if(~active)).scalar()
     se, sp = F.col("k") / k, 1 - F.col("u") / u
     return counts.select("label", se.alias("se"), sp.alias("sp"), F.sqrt((1 - sp) * (1 - sp) + (1 - se) * (1 - se)).alias("gamma"))
+
+
+def roc_sweep(bmus: DataFrame, sweep: DataFrame, active: Column) -> DataFrame:
+    """``(step, cut, clusters, label, se, sp, gamma)``: the cluster nearest to the perfect corner at each step of ``graphs.threshold_sweep``.
+
+    Inputs are counted by neuron before the sweep, so that only a map's rows meet its steps. Ties go to the smaller label.
+    """
+    hits = bmus.groupBy("nid").agg(F.count_if(active).alias("k"), F.count_if(~active).alias("u"))
+    k, u = bmus.agg(F.count_if(active)).scalar(), bmus.agg(F.count_if(~active)).scalar()
+    counts = sweep.join(hits, "nid", "left").fillna(0, ["k", "u"]).groupBy("step", "cut", "label").agg(F.sum("k").alias("k"), F.sum("u").alias("u"))
+    rated = counts.withColumn("se", F.col("k") / F.nullif(k, F.lit(0))).withColumn("sp", 1 - F.col("u") / F.nullif(u, F.lit(0)))
+    rated = rated.withColumn("gamma", F.sqrt((1 - F.col("sp")) * (1 - F.col("sp")) + (1 - F.col("se")) * (1 - F.col("se"))))
+    best = rated.groupBy("step", "cut").agg(F.count("*").alias("clusters"), F.min(F.struct("gamma", "label", "se", "sp")).alias("b"))
+    return best.select("step", "cut", "clusters", "b.label", "b.se", "b.sp", "b.gamma")
+
+
+def roc_best(steps: DataFrame) -> DataFrame:
+    """The row of ``roc_sweep`` with the smallest gamma, the earliest of equal ones."""
+    columns = ["gamma", "step", "cut", "clusters", "label", "se", "sp"]
+    return steps.where("gamma is not null").agg(F.min(F.struct(*columns)).alias("b")).where("b is not null").select(*(f"b.{c}" for c in columns))
