@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattix.llm import licenses, linededup, mixing, mtree, packing, quality, quotes, render, simhash, tokenfiles
+from lattix.llm import divergence, licenses, linededup, mixing, mtree, packing, pieces, quality, quotes, render, simhash, spelling, tokenfiles
 from lattix.llm.shared import shared_dir
 
 
@@ -62,7 +62,21 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.sort_array("removed"), ",").alias("removed"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_quotes, op4_quality, op5_render, op6_packing, op7_licenses, op8_tokenfiles, op9_mtree, op10_linededup)}
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = pieces.decoded(pieces.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), misspelt=spelling.MISSPELT)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_quotes, op4_quality, op5_render, op6_packing, op7_licenses, op8_tokenfiles, op9_mtree, op10_linededup, op11_pieces, op12_divergence, op13_spelling)}
 
 _LOW = "translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -150,4 +164,20 @@ SELECT o.doc_id, coalesce(len(string_split(o.text, chr(10))), 0)::BIGINT AS n_li
   coalesce(array_to_string(r.lns, ','), '') AS removed, md5(CASE WHEN r.lns IS NULL THEN o.text ELSE coalesce(k.out, '') END) AS text_md5
 FROM documents o LEFT JOIN removed r ON o.doc_id IS NOT DISTINCT FROM r.doc_id AND o.text = r.text LEFT JOIN kept k ON o.doc_id IS NOT DISTINCT FROM k.doc_id AND o.text = k.text"""
 
-ORACLES = {"op2_mixing": _op2_sql(), "op7_licenses": _op7_sql(), "op9_mtree": OP9_SQL, "op10_linededup": OP10_SQL}
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.LEAST_DOCS}),
+counts AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+shares AS (SELECT *, 1 + {divergence.UNIT}::HUGEINT * (n + {divergence.SMOOTH}) // (sum(n) OVER (PARTITION BY lang, source) + {divergence.SMOOTH} * count(*) OVER (PARTITION BY lang, source)) AS p FROM cells),
+whole AS (SELECT lang, term, sum(n) AS n FROM cells GROUP BY ALL),
+langs AS (SELECT lang, term, 1 + {divergence.UNIT}::HUGEINT * (n + {divergence.SMOOTH}) // (sum(n) OVER (PARTITION BY lang) + {divergence.SMOOTH} * count(*) OVER (PARTITION BY lang)) AS q FROM whole),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(any_value(v.value), 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS a, y.source AS b, sum(abs(x.p - y.p)) AS value FROM shares x JOIN shares y USING (lang, term) GROUP BY ALL) v ON v.lang = a.lang AND v.a = a.source AND v.b = b.source GROUP BY ALL),
+terms AS (SELECT s.lang, s.source, 'term' AS part, s.term AS item, (p - q)::BIGINT AS value FROM shares s JOIN langs l USING (lang, term) WHERE n > 0 AND p > q),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranks WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+
+ORACLES = {"op2_mixing": _op2_sql(), "op7_licenses": _op7_sql(), "op9_mtree": OP9_SQL, "op10_linededup": OP10_SQL, "op12_divergence": OP12_SQL}
