@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattix.llm.shared import WORD, stash
+from lattix.llm.shared import WORD, packed, quoted, stash, unpacked
 
 #: A run is deleted where it repeats if it has so many words.
 MIN_WORDS = 50
@@ -37,7 +37,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     least, so a piece has no more than ``min_words`` lines.
     """
     lines = docs.select("id", "th", F.posexplode("lines").alias("at", "x")).select("id", "th", "at", "x.ln", "x.line")
-    lines = stash(lines.select("id", "th", "at", "ln", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit("second")).alias("h2"), F.regexp_count("line", F.lit(WORD)).alias("w")), "lines")
+    lines = stash(lines.select("id", "th", "at", "ln", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), F.regexp_count("line", F.lit(WORD)).alias("w")), "lines")
     live = lines.join(_ranked(lines, ["h1", "h2"], "r0"), ["h1", "h2"])
     doc = Window.partitionBy(*KEY)
     live = live.repartition(*KEY).dropDuplicates([*KEY, "at"])  # repeated rows; the windows reuse this shuffle
@@ -90,27 +90,35 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     id, null first, then by text hash; lines in order) is deleted, in whole; the first copy stays. Lines are compared
     trimmed; lines without a word are neither compared nor deleted, and don't break a run. A document repeats its own
     earlier runs, too. Rows that repeat both id and text are one document: each returns the same result. Null texts
-    stay null with no lines, empty texts have one line. Other columns pass, but names beginning with ``__`` and the
-    two added ones are reserved. An empty table gives an empty result.
+    stay null with no lines, empty texts have one line. Other columns pass; those of the names of the two added ones, or
+    of names beginning with ``__``, are refused (``drop_repeated`` takes any). An empty table gives an empty result.
     """
+    if clash := [c for c in docs.columns if c.startswith("__") or c.lower() in ("n_lines", "removed")]:
+        raise ValueError(f"columns {clash} would clash with those that are added")
     keyed = docs.withColumn("__th", F.xxhash64(F.col(text)))
     cut = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("ln"), F.btrim(x, F.lit(SPACE)).alias("line")))
     slim = keyed.select(F.col(id).alias("id"), F.col("__th").alias("th"), F.filter(cut, lambda x: x["line"] != "").alias("lines"))
     runs = repeated_runs(slim.where(F.size("lines") > 0), min_words)
     gone = runs.select("id", "th", F.explode("numbers").alias("ln")).distinct()
     gone = gone.groupBy("id", "th").agg(F.sort_array(F.collect_list("ln")).alias("__gone"))
-    joined = keyed.join(gone, keyed[id].eqNullSafe(gone["id"]) & (keyed["__th"] == gone["th"]), "left").select(*(keyed[c] for c in keyed.columns), "__gone")
+    joined = keyed.join(gone, keyed[id].eqNullSafe(gone["id"]) & (keyed["__th"] == gone["th"]), "left").select(*(quoted(c) for c in keyed.columns), "__gone")
     # Exploded from an array of one, so that the split below is made once for a text, not once for each use.
     joined = joined.withColumn("__lines", F.explode(F.array(F.split(F.col(text), "\n"))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     left = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
     out = F.when(F.col("__gone").isNotNull(), left).otherwise(F.col(text))
     count = F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long")
-    return joined.select(*(out.alias(c) if c == text else F.col(c) for c in docs.columns), count.alias("n_lines"), F.coalesce("__gone", F.array().cast("array<int>")).alias("removed"))
+    return joined.select(*(out.alias(c) if c == text else quoted(c) for c in docs.columns), count.alias("n_lines"), F.coalesce("__gone", F.array().cast("array<int>")).alias("removed"))
 
 
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with deduplicated texts and ``n_chars`` to match; documents that lose their last word are dropped."""
-    done = dedup_lines(docs, min_words)
+    """``docs`` with deduplicated texts and ``n_chars`` to match; documents that lose their last word are dropped.
+
+    Other columns pass, whatever their names.
+    """
+    done = dedup_lines(packed(docs, "doc_id", "text"), min_words)
     left = done.where((F.size("removed") == 0) | F.col("text").rlike(WORD))
-    return left.select(*(F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    if "n_chars" in docs.columns:
+        counted = F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+        left = left.withColumn("row", F.col("row").withField("n_chars", counted))
+    return unpacked(left, docs.columns, "doc_id", "text")

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattix.llm.shared import WORD, stash
+from lattix.llm.shared import WORD, packed, stash, unpacked
 
 #: A source is read so many times at most.
 MOST_EPOCHS = 3
@@ -107,12 +107,12 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """``docs`` mixed: each document once for each whole visit, in training order, with the columns of ``docs``.
 
     Visits are found without the texts and joined to them by id and text hash; rows that repeat both are one document
-    with the visits of all. Names beginning with ``__`` are reserved.
+    with the visits of all. Other columns pass, whatever their names.
     """
-    hashed = docs.withColumn("__th", F.xxhash64("text"))
+    hashed = packed(docs, "doc_id", "text", "source").withColumn("__th", F.xxhash64("text"))
     mixed = mix(hashed, seed, cut_last=False, keep=["__th"]).where(F.size("visits") > 0)
     visits = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("__th").alias("__h")).agg(F.flatten(F.collect_list("visits")).alias("__visits"))
     once = hashed.repartition("doc_id", "__th").dropDuplicates(["doc_id", "__th"])
     read = once.join(visits, once["doc_id"].eqNullSafe(visits["__id"]) & (once["__th"] == visits["__h"]))
-    read = read.select(*(once[c] for c in docs.columns), F.explode("__visits").alias("__visit"))
-    return read.orderBy("__visit.position", "doc_id", "__visit.epoch").select(*docs.columns)
+    read = read.select("doc_id", "text", "source", "row", F.explode("__visits").alias("__visit"))
+    return unpacked(read.orderBy("__visit.position", "doc_id", "__visit.epoch"), docs.columns, "doc_id", "text", "source")

@@ -6,6 +6,7 @@ import random
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +27,8 @@ INJECTED = 0.05
 OPENED = 2
 #: Bins of more documents exchange single ones only; more displaced ones than this are not tried in pairs.
 PAIRED_BIN, PAIRED_LOOSE = 8, 64
-#: A packing is settled if all its bins but the emptiest waste this share of their room at most: no other can save more.
-SETTLED = 0.001
+#: An island's turn ends after so many generations without a gain.
+PATIENCE = 6
 #: Sequences that are filled less are opened and packed again with those of other blocks.
 WELL_FILLED = 0.97
 #: Such rounds at most; each has a few hundredths of the pieces of the one before.
@@ -36,14 +37,17 @@ ROUNDS = 4
 PLACE = "__place"
 
 
-def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
+#: A sequence in the making: how full it is, and its items.
+Bin = tuple[int, list[int]]
+
+
+def best_fit(sizes: list[int], items: list[int], bins: list[Bin], capacity: int) -> list[Bin]:
     """Add ``items`` in their order, each to the fullest bin with room for it. ``mask`` has a bit for each room that some bin has."""
     by_room: dict[int, list[list[int]]] = {}
     mask = 0
-    for b in bins:
-        room = capacity - sum(sizes[i] for i in b)
-        by_room.setdefault(room, []).append(b)
-        mask |= 1 << room
+    for fill, b in bins:
+        by_room.setdefault(capacity - fill, []).append(b)
+        mask |= 1 << capacity - fill
     for i in items:
         s = sizes[i]
         if above := mask >> s:
@@ -54,20 +58,19 @@ def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], capacity
                 mask ^= 1 << room
         else:
             b, room = [], capacity
-            bins.append(b)
         b.append(i)
         room -= s
         by_room.setdefault(room, []).append(b)
         mask |= 1 << room
-    return bins
+    return [(capacity - room, b) for room, same in by_room.items() for b in same]
 
 
-def fitness(sizes: list[int], bins: list[list[int]], capacity: int) -> tuple[int, float]:
+def fitness(bins: list[Bin], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then uneven fill: full bins beside empty ones leave more to gain."""
-    return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
+    return -len(bins), sum([fill * fill for fill, _ in bins]) / capacity**2
 
 
-def exchange(sizes: list[int], bins: list[list[int]], loose: list[int], capacity: int, rng: random.Random) -> list[int]:
+def exchange(sizes: list[int], bins: list[Bin], loose: list[int], capacity: int, rng: random.Random) -> list[int]:
     """Displaced documents, one or two, take the place of one or two smaller ones of a bin where that fills it further.
 
     ``bins`` change in place; returns what is displaced now, smaller in sum by all that the bins gained.
@@ -76,10 +79,12 @@ def exchange(sizes: list[int], bins: list[list[int]], loose: list[int], capacity
     order = list(range(len(bins)))
     rng.shuffle(order)
     for k in order:
-        b = bins[k]
-        room = capacity - sum([sizes[i] for i in b])
-        if not room or not held:
+        fill, b = bins[k]
+        room = capacity - fill
+        if not room:
             continue
+        if not held:
+            break
         outs = [(sizes[i], (i,)) for i in b]
         if len(b) <= PAIRED_BIN:
             outs += [(sizes[x] + sizes[y], (x, y)) for n, x in enumerate(b) for y in b[:n]]
@@ -100,7 +105,7 @@ def exchange(sizes: list[int], bins: list[list[int]], loose: list[int], capacity
             if gain == room:
                 break
         if gain:
-            bins[k] = [i for i in b if i not in out] + [held[x][1] for x in into]
+            bins[k] = fill + gain, [i for i in b if i not in out] + [held[x][1] for x in into]
             for x in reversed(into):
                 del held[x]
             for i in out:
@@ -108,69 +113,72 @@ def exchange(sizes: list[int], bins: list[list[int]], loose: list[int], capacity
     return [i for _, i in held]
 
 
-def cross(sizes: list[int], base: list[list[int]], donor: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
+def cross(sizes: list[int], base: list[Bin], donor: list[Bin], capacity: int, rng: random.Random) -> list[Bin]:
     """Inject whole well-filled bins of ``donor`` into ``base``: bins with a duplicate go, and so do the emptiest (mutation).
 
     What they held besides is displaced: it first replaces smaller documents of bins that it fills further, and what
     is left is best-fitted in descending order.
     """
-    fill = lambda b: sum([sizes[i] for i in b])
-    ranked = sorted(donor, key=fill, reverse=True)
+    ranked = sorted(donor, key=lambda b: -b[0])
     injected = [b for b in ranked[: max(1, len(ranked) // 2)] if rng.random() < INJECTED] or ranked[:1]
-    taken = {i for b in injected for i in b}
+    taken = {i for _, b in injected for i in b}
     whole, loose = [], []
-    for b in base:
-        if taken.isdisjoint(b):
-            whole.append(b)
+    for bin_ in base:
+        if taken.isdisjoint(bin_[1]):
+            whole.append(bin_)
         else:
-            loose.extend(i for i in b if i not in taken)
-    whole.sort(key=fill)
-    for b in whole[:OPENED]:
+            loose.extend([i for i in bin_[1] if i not in taken])
+    whole.sort(key=lambda b: b[0])
+    for _, b in whole[:OPENED]:
         loose.extend(b)
-    whole = [b[:] for b in whole[OPENED:]]
+    whole = whole[OPENED:]
     loose = exchange(sizes, whole, loose, capacity, rng)
     loose.sort(key=lambda i: -sizes[i])
-    return best_fit(sizes, loose, whole + [b[:] for b in injected], capacity)
+    return best_fit(sizes, loose, [(fill, b[:]) for fill, b in whole + injected], capacity)
 
 
 def least_bins(sizes: list[int], capacity: int = CAPACITY) -> int:
-    """So many bins are needed for certain."""
-    return -(-sum(sizes) // capacity)
-
-
-def settled(sizes: list[int], bins: list[list[int]], capacity: int) -> bool:
-    """Whether no packing can be better by more than ``SETTLED``: by the number of bins, or by what all but the emptiest waste."""
-    waste = [capacity - sum([sizes[i] for i in b]) for b in bins]
-    return len(bins) <= least_bins(sizes, capacity) or sum(waste) - max(waste) <= SETTLED * capacity * len(bins)
+    """So many bins are needed for certain: by the sum of sizes, and for each least size, since items over half need one
+    each, and those of that size or more only fit beside such as leave them room."""
+    s = np.sort(np.array(sizes, np.int64))
+    upto = np.concatenate([[0], np.cumsum(s)])
+    half = np.searchsorted(s, capacity // 2, "right")
+    alpha = np.unique(s[:half])
+    low, high = np.searchsorted(s, alpha), np.searchsorted(s, capacity - alpha, "right")
+    beside = (high - half) * capacity - (upto[high] - upto[half])
+    more = -((beside - (upto[half] - upto[low])) // capacity)
+    by_size = len(s) - half + np.maximum(more, 0)
+    return max(-(-int(upto[-1]) // capacity), len(s) - int(half), int(by_size.max(initial=0)))
 
 
 def evolve(sizes: list[int], elites: list[list[list[int]]], seed: int, capacity: int = CAPACITY, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
     """The best packing of items ``0..n-1`` that an island finds, from ``elites`` and best-fit packings in noisy descending order.
 
     Two parents are drawn, the better one is the donor; the child takes the place of the worst if it is better than
-    that and its fitness is new. Ends early where the best is ``settled``.
+    that and its fitness is new. Ends early where the best has as few bins as are needed for certain (``least_bins``),
+    or after ``PATIENCE`` generations without a better best.
     """
     rng = random.Random(seed)
     full = [[i] for i, s in enumerate(sizes) if s >= capacity]
     rest = [i for i, s in enumerate(sizes) if s < capacity]
-    small = [s if s < capacity else 0 for s in sizes]
-    done = lambda p: not p or settled(small, p, capacity)
-    people = [[b for b in e if sizes[b[0]] < capacity] for e in elites]
+    enough = least_bins([sizes[i] for i in rest], capacity)
+    people = [[(sum([sizes[i] for i in b]), b) for b in e if sizes[b[0]] < capacity] for e in elites]
     noise = 0.0 if not elites else 0.02 * len(people)
-    while len(people) < population and not (people and done(people[-1])):
+    while len(people) < population and not (people and len(people[-1]) <= enough):
         people.append(best_fit(sizes, sorted(rest, key=lambda i: -sizes[i] * (1 + noise * rng.random())), [], capacity))
         noise += 0.02
-    scores = [fitness(sizes, p, capacity) for p in people]
-    for _ in range(generations):
-        if len(people) < 2 or done(people[max(range(len(people)), key=scores.__getitem__)]):
-            break
+    scores = [fitness(p, capacity) for p in people]
+    best, since = max(scores), 0
+    while generations and since < PATIENCE and len(people) > 1 and -best[0] > enough:
+        generations -= 1
         a, b = rng.sample(range(len(people)), 2)
         base, donor = (a, b) if scores[a] < scores[b] else (b, a)
         child = cross(sizes, people[base if rng.random() < 0.5 else donor], people[donor], capacity, rng)
-        score, worst = fitness(sizes, child, capacity), min(range(len(people)), key=scores.__getitem__)
+        score, worst = fitness(child, capacity), min(range(len(people)), key=scores.__getitem__)
         if score > scores[worst] and score not in scores:
             people[worst], scores[worst] = child, score
-    return full + people[max(range(len(people)), key=scores.__getitem__)]
+        best, since = (score, 0) if score > best else (best, since + 1)
+    return full + [b for _, b in people[max(range(len(people)), key=scores.__getitem__)]]
 
 
 def _labels(n: int, bins: list[list[int]]) -> list[int]:
@@ -194,7 +202,7 @@ def _epoch(capacity: int, epoch: int):
             for i in range(batch.num_rows):
                 block, island, sizes, *elites = (batch.column(k)[i].as_py() for k in range(batch.num_columns))
                 bins = evolve(sizes, [_bins(e) for e in elites if e is not None], hash((block, island, epoch)), capacity)
-                solved = settled(sizes, bins, capacity)
+                solved = len(bins) <= least_bins(sizes, capacity)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([island], pa.int32()), pa.array([sizes], pa.list_(pa.int32())), pa.array([_labels(len(sizes), bins)], pa.list_(pa.int32())), pa.array([len(bins)], pa.int32()), pa.array([solved])], ["block", "island", "sizes", "elite", "bins", "solved"])
 
     return work
@@ -206,8 +214,8 @@ _STATE = "block long, island int, sizes array<int>, elite array<int>, bins int,
 def _solve(blocks: DataFrame, n: int, capacity: int) -> DataFrame:
     """``n`` ``blocks(block, sizes)`` -> ``(block, elite)``: for each item its bin, from the best island.
 
-    Blocks that an island settles leave the epochs. The partitions are
-    counted by work, not by bytes: few islands a task, though their rows are small.
+    Blocks that an island packs in as few bins as are needed for certain leave the epochs. The partitions are counted
+    by work, not by bytes: few islands a task, though their rows are small.
     """
     tasks = max(1, -(-n * ISLANDS // 4))
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")

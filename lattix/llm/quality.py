@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattix.llm.shared import bounded, stash
+from lattix.llm.shared import bounded, quoted, stash
 from lattix.llm.tokens import batched
 
 SYMBOLS = b"#*$%&|<>"
@@ -216,7 +216,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     Null and empty texts go, repeated rows go or stay together; an empty table gives an empty result.
     """
     names = docs.columns
-    packed = docs.select("lang", "source", "text", F.struct(*(docs[c] for c in names)).alias("row"))
-    table = stash(with_stats(packed).drop("text"), "measured")
+    whole = docs.select("lang", "source", "text", F.struct(*map(quoted, names)).alias("row"))
+    table = stash(with_stats(whole).drop("text"), "measured")
     bounds = stash(thresholds(table.select("lang", "source", "stats")), "thresholds")
     return judge(table, bounds).where("kept").select(*(F.col("row").getField(c).alias(c) for c in names))

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word everywhere in this subpackage (ASCII white space parts words).
@@ -48,6 +48,22 @@ def stash(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, *apart: str) -> DataFrame:
+    """The columns ``apart`` of ``docs`` and all others in a struct ``row``, so that a job's own names can't clash with them."""
+    rest = [quoted(c) for c in docs.columns if c not in apart]
+    return docs.select(*apart, (F.struct(*rest) if rest else F.lit(None)).alias("row"))
+
+
+def unpacked(df: DataFrame, names: list[str], *apart: str) -> DataFrame:
+    """The columns ``names`` of what ``packed`` made."""
+    return df.select(*(F.col(c) if c in apart else F.col("row").getField(c).alias(c) for c in names))
+
+
 def ranked(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with ``rank`` from 0 in ``order``: rows are range-sorted and written, then numbered by file and row, so no task has them all."""
     rows = stash(df.orderBy(*order), "ranked").select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))

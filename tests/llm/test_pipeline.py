@@ -59,3 +59,17 @@ def test_stages_on_odd_rows_and_an_empty_table(spark, sf):
             assert table.columns == docs.columns and table.count() >= least, name
         found = corpus_pipeline.sequences(spark, table, sf).collect()
         assert len(found) >= least and {r.doc_id for r in found} <= {None, 1, 4, 5}
+
+
+def test_stages_pass_columns_of_any_name(spark, sf):
+    words = " ".join(f"word{k} is the {k * 7 % 31}th" for k in range(60))
+    names = ["removed", "n_lines", "a.b", "__th", "__lines", "row", "kept", "stats", "visits", "size", "node", "th", "x`y"]
+    row = (1, words, "en", "a", 5, *(f"v{k}" for k in range(len(names))))
+    docs = spark.createDataFrame([row, (2, words.replace("is", "was"), "en", "b", 6, *names)], ["doc_id", "text", "lang", "source", "n_chars", *names])
+    table = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = stage(spark, table, sf).cache()
+        assert table.columns == docs.columns, name
+    found = {r[0]: tuple(r)[5:] for r in table.collect()}
+    assert found == {1: row[5:], 2: tuple(names)}
+    assert corpus_pipeline.sequences(spark, table, sf).count() >= 2

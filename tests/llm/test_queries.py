@@ -299,8 +299,32 @@ def test_genetic_operators():
     sizes = [random.Random(3).randrange(1, 2048) for _ in range(200)]
     bins = packing.evolve(sizes, [], 1)
     assert sorted(i for b in bins for i in b) == list(range(200))
-    child = packing.cross(sizes, bins, bins[::-1], 2048, random.Random(2))
-    assert sorted(i for b in child for i in b) == list(range(200)) and all(sum(sizes[i] for i in b) <= 2048 for b in child)
+    filled = [(sum(sizes[i] for i in b), b) for b in bins]
+    child = packing.cross(sizes, filled, filled[::-1], 2048, random.Random(2))
+    assert sorted(i for _, b in child for i in b) == list(range(200)) and all(fill == sum(sizes[i] for i in b) <= 2048 for fill, b in child)
+
+
+def test_least_bins_is_a_bound_and_ends_the_search_only_there(monkeypatch):
+    import random
+
+    rng = random.Random(5)
+
+    def fewest(sizes, rooms=()):
+        """By trying every place for each item."""
+        if not sizes:
+            return len(rooms)
+        s, *rest = sizes
+        options = {tuple(sorted((*rooms[:k], r - s, *rooms[k + 1 :]))) for k, r in enumerate(rooms) if r >= s}
+        return min([fewest(rest, o) for o in options] + [fewest(rest, tuple(sorted((*rooms, 20 - s))))])
+
+    for _ in range(60):
+        sizes = [rng.randint(1, 20) for _ in range(7)]
+        assert packing.least_bins(sizes, 20) <= fewest(sizes) <= len(packing.evolve(sizes, [], 1, 20))
+    assert packing.least_bins([11] * 5 + [9, 9, 8], 20) == 5 and packing.least_bins([12] * 5 + [9] * 4, 20) == 7
+    crossed, real = [], packing.cross
+    monkeypatch.setattr(packing, "cross", lambda *a: crossed.append(1) or real(*a))
+    over = [rng.randint(300, 1000) for _ in range(2000)]
+    assert len(packing.evolve(over, [], 1)) > packing.least_bins(over) and len(crossed) >= packing.PATIENCE
 
 
 def test_genetic_search_gains_over_best_fit(spark):
