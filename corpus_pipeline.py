@@ -3,7 +3,7 @@
 Any column may be null and texts may be empty or very long. The first stage drops documents without ten words, so null
 and empty texts end there; null languages and sources are groups and a source of their own. Documents of a null id
 stay until the last stage, rows that are equal in all columns are treated alike, extra columns pass up to the last
-stage whatever their names (those beginning with ``__`` are reserved), and an empty table gives an empty result.
+stage whatever their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
