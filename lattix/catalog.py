@@ -164,7 +164,7 @@ def bmu_top3(t: Tables) -> DataFrame:
     return bmu.nearest(t.data, t.map, 3)
 
 
-@query(BASE + "SELECT id, nid, round(d, 6) AS d FROM (SELECT *, min(d) OVER (PARTITION BY id) + stddev_pop(d) OVER (PARTITION BY id) AS most FROM far) WHERE d <= most")
+@query(BASE + "SELECT id, nid, round(d, 6) AS d FROM (SELECT *, avg(d) OVER (PARTITION BY id) - stddev_pop(d) OVER (PARTITION BY id) AS most FROM far) WHERE d < most")
 def region_per_input(t: Tables) -> DataFrame:
     return bmu.within_spread(t.data, t.map)
 

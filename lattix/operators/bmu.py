@@ -62,11 +62,21 @@ def whole(data: DataFrame, codebook: DataFrame) -> DataFrame:
     return keyed.join(near, "__row").drop("__row")
 
 
-def assign_arrow(data: DataFrame, codebook: DataFrame, limit: int = 1 << 26) -> DataFrame:
-    """``(id, nid, i, j, qe)`` by NumPy over Arrow batches, which pays for large maps; the codebook (``limit`` numbers at most) goes with the task."""
+#: Numbers of a codebook that may be sent with a task.
+SENT = 1 << 26
+
+
+def gathered(codebook: DataFrame, limit: int = SENT) -> list:
+    """The rows of a codebook by nid; fails where it has more than ``limit`` numbers, before more than that is collected."""
     rows = codebook.orderBy("nid").limit(limit // 8 + 1).collect()
     if len(rows) * (len(rows[0].w) if rows else 0) > limit:
-        raise ValueError("the codebook is too large to send; use assign")
+        raise ValueError("the codebook is too large to send; use assign, or a smaller map")
+    return rows
+
+
+def assign_arrow(data: DataFrame, codebook: DataFrame, limit: int = SENT) -> DataFrame:
+    """``(id, nid, i, j, qe)`` by NumPy over Arrow batches, which pays for large maps; the codebook (``limit`` numbers at most) goes with the task."""
+    rows = gathered(codebook, limit)
     w = np.array([r.w for r in rows])
     nid, i, j = (np.array([r[k] for r in rows], np.int32) for k in ("nid", "i", "j"))
     square = (w**2).sum(1)
@@ -92,13 +102,13 @@ def nearest(data: DataFrame, codebook: DataFrame, k: int) -> DataFrame:
     return top.select("id", F.posexplode("top").alias("rank", "b")).select("id", (F.col("rank") + 1).alias("rank"), "b.nid", F.col("b.d").alias("qe"))
 
 
-def within_spread(data: DataFrame, codebook: DataFrame) -> DataFrame:
-    """``(id, nid, d)``: each input's region, the neurons no farther than the nearest plus one standard deviation of its distances."""
+def within_spread(data: DataFrame, codebook: DataFrame, scale: float = 1.0) -> DataFrame:
+    """``(id, nid, d)``: each input's region, the neurons nearer than the mean of its distances less ``scale`` standard deviations."""
     far = whole(data, codebook).select("id", "near", F.transform("near", lambda x: x["d"]).alias("ds"))
     mean = far.withColumn("mean", total(F.col("ds")) / F.size("ds"))
     spread = F.sqrt(total(F.transform("ds", lambda d: (d - F.col("mean")) * (d - F.col("mean")))) / F.size("ds"))
-    limited = mean.withColumn("limit", F.array_min("ds") + spread)
-    return limited.select("id", F.explode(F.filter("near", lambda x: x["d"] <= F.col("limit"))).alias("b")).select("id", "b.nid", "b.d")
+    limited = mean.withColumn("limit", F.col("mean") - F.lit(float(scale)) * spread)
+    return limited.select("id", F.explode(F.filter("near", lambda x: x["d"] < F.col("limit"))).alias("b")).select("id", "b.nid", "b.d")
 
 
 def exponents(data: DataFrame, codebook: DataFrame, rows: int, cols: int, radius: float = 1.0) -> DataFrame:

@@ -57,16 +57,14 @@ def correlation(matrix: DataFrame) -> DataFrame:
 
 
 def moments(data: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean and scatter on the driver: d and d x d numbers."""
-    rows = product_sums(data).collect()
-    d = 1 + max(r.r for r in rows)
-    mean, out = np.zeros(d), np.zeros((d, d))
-    n = rows[0].n
+    """Count, mean and scatter about the mean on the driver: d and d x d numbers, in two passes for accuracy."""
+    means = data.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).orderBy("d").collect()
+    mean = np.array([r.m for r in means])
+    rows = product_sums(data, mean.tolist()).collect()
+    out = np.zeros((len(mean), len(mean)))
     for r in rows:
-        mean[r.r] = r.sr / n
-    for r in rows:
-        out[r.r, r.c] = r.src - n * mean[r.r] * mean[r.c]
-    return n, mean, out
+        out[r.r, r.c] = r.src - r.sr * r.sc / r.n
+    return rows[0].n, mean, out
 
 
 def block_trace(matrix: DataFrame, size: int = 3) -> DataFrame:

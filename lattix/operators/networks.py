@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattix.operators.bmu import nearest
-from lattix.operators.graphs import CYCLE_CHECK, components, vertices
+from lattix.operators.graphs import CYCLE_CHECK, components, symmetrized, vertices
 from lattix.plans.tables import written
 
 
@@ -36,6 +36,63 @@ def covering(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("w") <= own.agg(F.max("w")).scalar())
 
 
+def grown(edges: DataFrame) -> DataFrame:
+    """The edges that a growing threshold takes in, without the long ones between parts that shorter ones join already.
+
+    Thresholds are the distinct weights in order. Each looks at the nodes whose own shortest edge is not below the
+    lower limit, and at all their edges up to the threshold. If these touch as many nodes as at the threshold before,
+    nothing is taken and the threshold becomes the lower limit; else all are taken. It ends when all nodes are touched.
+
+    A lower limit changes what is looked at only once it passes some node's shortest edge, so a round finds all
+    thresholds up to there at once: each node's first threshold is a grouped minimum, their counts a running sum over
+    the weights (a map's number of rows). There are fewer rounds than nodes; each takes one row to the driver.
+    """
+    edges = written(edges.select("src", "dst", "w"), "edges")
+    own = edges.groupBy("src").agg(F.min("w").alias("own"))
+    edges = written(edges.join(own, "src"), "growing")
+    everyone = vertices(edges).count()
+    weights = edges.select("w").distinct()
+    low, before, at = float("-inf"), -1, float("-inf")
+    taken = []
+    while True:
+        seen = edges.where(F.col("own") >= low)
+        least = seen.agg(F.min("own")).first()[0]
+        if least is None:
+            break
+        first = seen.select(F.explode(F.array("src", "dst")).alias("node"), "w").groupBy("node").agg(F.min("w").alias("w")).groupBy("w").agg(F.count("*").alias("new"))
+        order = Window.orderBy("w")
+        curve = weights.join(first, "w", "left").select("w", F.sum(F.coalesce("new", F.lit(0))).over(order).alias("n")).where(F.col("w") > at)
+        curve = curve.withColumn("stall", F.col("n") == F.lag("n", 1, before).over(order))
+        ends = (F.col("stall") & (F.col("w") > least)) | (F.col("n") == everyone)
+        curve = written(curve.withColumn("end", ends), "curve")
+        end = curve.where("end").agg(F.min_by(F.struct("w", "stall"), "w")).first()[0]
+        upto = curve if end is None else curve.where(F.col("w") <= end["w"])
+        grew = upto.where("not stall").agg(F.max(F.struct("w", "n"))).first()[0]
+        if grew is not None:
+            taken.append(seen.where(F.col("w") <= grew["w"]).select("src", "dst", "w"))
+            before = grew["n"]
+        if end is None or not end["stall"] or before == everyone:
+            break
+        low = at = end["w"]
+    out = edges.where("false").select("src", "dst", "w")
+    for part in taken:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
+def cleaned(edges: DataFrame) -> DataFrame:
+    """A complete graph of lengths between nodes less its long edges: those that ``grown`` takes, both ways, with pieces
+    joined by their shortest edges and each node left over by its shortest edge to the rest (ties by its end)."""
+    edges = written(symmetrized(edges), "lengths")
+    core = written(symmetrized(grown(edges)), "core")
+    inside = written(vertices(core), "inside")
+    both = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    joined = reconnected(core, both)
+    others = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_anti").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    last = others.groupBy("src").agg(F.min(F.struct("w", "dst")).alias("m")).select("src", "m.dst", "m.w")
+    return joined.unionByName(last).unionByName(last.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+
+
 def route_lengths(routes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(route, length)`` of ``routes(route, step, node)``; null where a step has no edge."""
     moves = routes.select("route", F.col("node").alias("src"), F.lead("node").over(Window.partitionBy("route").orderBy("step")).alias("dst")).where("dst is not null")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.operators.bmu import rows_of
+from lattix.operators.bmu import gathered, rows_of
 
 
 def _sums(w: np.ndarray):
@@ -36,9 +36,10 @@ def batch_step(data: DataFrame, codebook: DataFrame, rows: int, cols: int, radiu
 
     Each partition sums its inputs by their best-matching unit and those sums are shuffled (a map's size for each
     partition). The sums of all, a map's size, are spread over the neighbourhood by products of kernel blocks with
-    them, so the kernel's cost depends on the map alone.
+    them, so the kernel's cost depends on the map alone. A neuron that no input reaches (its kernel is 0 in doubles)
+    keeps its weights.
     """
-    cells = codebook.orderBy("nid").collect()
+    cells = gathered(codebook)
     sums = data.select("v").mapInArrow(_sums(np.array([r.w for r in cells])), "nid int, n long, x array<double>")
     sums = sums.select("nid", "n", F.posexplode("x").alias("dim", "x")).groupBy("nid", "dim").agg(F.sum("x").alias("sx"), F.sum("n").alias("n"))
     sums = sums.groupBy("nid").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "sx"))), lambda s: s["sx"]).alias("x")).collect()
@@ -46,20 +47,21 @@ def batch_step(data: DataFrame, codebook: DataFrame, rows: int, cols: int, radiu
     hits, total = np.zeros(len(cells)), np.zeros((len(cells), len(cells[0].w)))
     for r in sums:
         hits[r.nid], total[r.nid] = r.n, r.x
-    new = np.empty_like(total)
+    new, old = np.empty_like(total), np.array([r.w for r in cells])
     for a in range(0, len(cells), 1024):
         d = np.abs(at[a : a + 1024, None, :] - at[None])
         if toric:
             d = np.minimum(d, np.array([rows, cols]) - d)
         h = np.exp(-(d**2).sum(2) / (4 * radius * radius))
-        new[a : a + 1024] = (h @ total) / (h @ hits)[:, None]
+        mass = (h @ hits)[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            new[a : a + 1024] = np.where(mass > 0, (h @ total) / mass, old[a : a + 1024])
     return data.sparkSession.createDataFrame([(r.nid, r.i, r.j, w) for r, w in zip(cells, new.tolist())], "nid int, i int, j int, w array<double>")
 
 
 def fixed(codebook: DataFrame) -> DataFrame:
     """The codebook as a local table: cuts the plan between steps of training (some thousand rows)."""
-    rows = codebook.orderBy("nid").collect()
-    return codebook.sparkSession.createDataFrame(rows, codebook.schema)
+    return codebook.sparkSession.createDataFrame(gathered(codebook), codebook.schema)
 
 
 def batch_train(data: DataFrame, codebook: DataFrame, rows: int, cols: int, radii: list[float], toric: bool = True) -> DataFrame:
