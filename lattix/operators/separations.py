@@ -43,9 +43,23 @@ def _merges(w: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return height[order], np.array(out, np.int64).reshape(-1, 2)
 
 
-def _terms(w: np.ndarray, ends: np.ndarray, span: float, border: float):
+def merges(book: DataFrame, rows: int, cols: int) -> tuple[list, np.ndarray, np.ndarray, float]:
+    """The neurons of a planar map, ``height`` and pair of clusters of each merge in order (by places), and the largest border.
+
+    The merges are the edges of a spanning tree of least weight, found in rounds of joins: one less than neurons, so
+    that a map's size (checked) comes to the driver.
+    """
+    cells = gathered(book)
+    w, at = np.array([r.w for r in cells]), {r.nid: k for k, r in enumerate(cells)}
+    borders = written(edges(book, rows, cols, False, FOUR), "borders")
+    tree = unsymmetrized(reconnected(borders.where("false"), borders)).collect()
+    height, pairs = _merges(w, np.array([(at[r.src], at[r.dst]) for r in tree], np.int64).reshape(-1, 2))
+    border = max((float(_apart(w[[at[r.src]]], w[[at[r.dst]]])[0, 0]) for r in borders.orderBy(F.desc("w")).limit(8).collect()), default=0.0)
+    return cells, height, pairs, border
+
+
+def _terms(w: np.ndarray, height: np.ndarray, merges: np.ndarray, span: float, border: float):
     """For each number of merges: the neurons' parts of the looseness and of the distances, and the least threshold that makes them."""
-    height, merges = _merges(w, ends)
     share = height / border if border else height
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,12 +104,8 @@ def separation_sweep(codebook: DataFrame, rows: int, cols: int) -> DataFrame:
     hand on sums by merge. The codebook and the tree, a map's size (checked), go with the tasks.
     """
     codebook = written(codebook.select("nid", "i", "j", "w"), "book")
-    cells = gathered(codebook)
-    w, at = np.array([r.w for r in cells]), {r.nid: k for k, r in enumerate(cells)}
-    borders = written(edges(codebook, rows, cols, False, FOUR), "borders")
-    tree = unsymmetrized(reconnected(borders.where("false"), borders)).collect()  # one edge less than neurons
-    ends = np.array([(at[r.src], at[r.dst]) for r in tree], np.int64).reshape(-1, 2)
-    border = max((float(_apart(w[[at[r.src]]], w[[at[r.dst]]])[0, 0]) for r in borders.orderBy(F.desc("w")).limit(8).collect()), default=0.0)
+    cells, height, pairs, border = merges(codebook, rows, cols)
+    w = np.array([r.w for r in cells])
     spark = codebook.sparkSession
     placed = spark.createDataFrame([(k, r.w) for k, r in enumerate(cells)], "k int, w array<double>").repartition(max(1, min(len(cells) // ROWS_HELD, 4096)), "k")
 
@@ -105,7 +115,7 @@ def separation_sweep(codebook: DataFrame, rows: int, cols: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([max(float(_apart(x[a : a + ROWS_HELD], w).max()) for a in range(0, len(x), ROWS_HELD))])], ["d"])
 
     span = placed.mapInArrow(widest, "d double").agg(F.max("d")).first()[0] or 0.0
-    terms = placed.mapInArrow(_terms(w, ends, span, border), "t int, loose double, far double, cut double")
+    terms = placed.mapInArrow(_terms(w, height, pairs, span, border), "t int, loose double, far double, cut double")
     sums = terms.groupBy("t").agg(F.sum("loose").alias("loose"), F.sum("far").alias("far"), F.min("cut").alias("cut"))
     last = sums.groupBy("cut").agg(F.max(F.struct("t", "loose", "far")).alias("s")).select("cut", "s.*")
     n, m = len(cells), F.lit(len(cells)) - F.col("t")

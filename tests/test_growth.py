@@ -129,3 +129,83 @@ def test_growing_and_cleaned_graphs(spark, kind):
 def test_growing_graph_without_edges(spark):
     edges = spark.createDataFrame([], "src int, dst int, w double")
     assert networks.grown(edges).count() == 0 and networks.cleaned(edges).count() == 0
+
+
+def brute_roc(w, rows, cols, hits, by_sensitivity):
+    """``hits``: (k, u) of each neuron."""
+    n = rows * cols
+    near = {(a, b): math.dist(w[a], w[b]) for a in range(n) for b in (a + 1, a + cols) if (b == a + 1 and (a + 1) % cols) or (b == a + cols and b < n)}
+    top, ks, us, out = max(near.values()), sum(h[0] for h in hits), sum(h[1] for h in hits), []
+    for cut in [-1.0, *sorted(set(near.values()))]:
+        label = list(range(n))
+        for (a, b), x in near.items():
+            if x <= cut:
+                label = [min(label[a], label[b]) if y in (label[a], label[b]) else y for y in label]
+        if out and label == out[-1][-1]:
+            continue
+        rated = []
+        for c in set(label):
+            k, u = (sum(hits[x][y] for x in range(n) if label[x] == c) for y in (0, 1))
+            if k + u:
+                se, sp = k / ks, 1 - u / us
+                rated.append((se, sp, math.hypot(1 - sp, 1 - se), c))
+        se, sp, gamma, c = min(rated, key=lambda x: (-x[0], x[2], x[3]) if by_sensitivity else (x[2], x[3]))
+        out.append((max(cut, 0) / top, len(rated), c, [x for x in range(n) if label[x] == c], se, sp, gamma, label))
+    return out
+
+
+@pytest.mark.parametrize("by_sensitivity", [False, True])
+def test_roc_of_every_clustering(spark, by_sensitivity):
+    from pyspark.sql import functions as F
+
+    from lattix.operators import retrain
+
+    rng = np.random.default_rng(4)
+    w = rng.integers(0, 6, size=(20, 2)).astype(float)  # equal borders are one step
+    nid = rng.integers(0, 14, 90)
+    kind = (rng.random(90) < 0.3).astype(int)
+    bmus = spark.createDataFrame([(k, int(x), int(y)) for k, (x, y) in enumerate(zip(nid, kind))], "id long, nid int, kind int")
+    hits = [(int(((nid == c) & (kind == 1)).sum()), int(((nid == c) & (kind == 0)).sum())) for c in range(20)]
+    want = brute_roc(w, 4, 5, hits, by_sensitivity)
+    steps = retrain.roc_merges(book(spark, w, 4, 5), 4, 5, bmus, F.col("kind") == 1, by_sensitivity)
+    got = [tuple(r) for r in steps.orderBy("step").collect()]
+    # A border of length 0 joins neurons before the first step.
+    want = want if want[0][0] == 0 and len(want) == len(got) else want[1:]
+    assert [(g[0], *g[2:5]) for g in got] == [(k, x[1], x[2], x[3]) for k, x in enumerate(want)]
+    assert all(np.allclose([g[1], *g[5:]], [x[0], *x[4:7]]) for g, x in zip(got, want))
+    best = retrain.best_step(steps, by_sensitivity).first()
+    pick = min(range(len(want)), key=lambda k: (-want[k][4], want[k][6], k) if by_sensitivity else (want[k][6], k))
+    assert best.step == pick
+
+
+def test_narrowing_rounds(spark):
+    from pyspark.sql import functions as F
+
+    from lattix.operators import retrain
+
+    rng = np.random.default_rng(2)
+    actives = rng.normal(0, 0.2, (30, 4)) + [3, 0, 0, 0]
+    others = np.concatenate([rng.normal(0, 0.2, (120, 4)) + [-3, 0, 0, 0], rng.normal(0, 0.2, (60, 4)) + [3, 1.5, 0, 0]])
+    x = np.concatenate([actives, others])
+    data = spark.createDataFrame([(k, v.tolist(), k < 30) for k, v in enumerate(x)], "id long, v array<double>, known boolean")
+    learn = retrain.trainer(3, 4, [2.0, 1.0])
+    rounds, members, maps = retrain.narrowed(data, F.col("known"), 3, 4, learn)
+    rounds, kept = rounds.orderBy("round").collect(), {r.id for r in members.collect()}
+    told, ids, before = [], list(range(len(x))), None
+    for t in range(len(rounds)):
+        w = np.array([r.w for r in maps.where(f"round = {t}").orderBy("nid").collect()])
+        own = ((x[ids][:, None] - w[None]) ** 2).sum(2).argmin(1)
+        hits = [(sum(1 for k, c in zip(ids, own) if c == n and k < 30), sum(1 for k, c in zip(ids, own) if c == n and k >= 30)) for n in range(12)]
+        best = min(brute_roc(w, 3, 4, hits, True), key=lambda y: (-y[4], y[6]))
+        inside = [k for k, c in zip(ids, own) if c in best[3]]
+        told.append((len(ids), best[4], len(inside)))
+        if best[4] != 1:
+            break
+        ids, stop, before = inside, len(inside) == before, len(inside)
+        if stop:
+            break
+    assert [(r.n, r.se, r.held) for r in rounds] == told and kept == set(ids) and set(range(30)) <= kept and len(kept) < len(x)
+    sizes, _ = retrain.learning_sizes(data, F.col("known"), 3, 4, learn, step=90)
+    rows = sizes.orderBy("others").collect()
+    assert [r.others for r in rows] == [0, 90] and sum(r.best for r in rows) == 1 == sum(r.most_sensitive for r in rows)
+    assert min(r.gamma for r in rows) == next(r.gamma for r in rows if r.best)
