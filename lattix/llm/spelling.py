@@ -24,6 +24,9 @@ LEAST_LENGTH, LEAST_COUNT, TIMES, MISSPELT = 7, 2, 10, 31
 PREFIX = 3
 #: Entries of a task's counts before they are handed on, and words whose bigrams are ordered at once.
 ENTRIES, WORDS = 1 << 18, 1 << 14
+#: A bit for each letter; some share one.
+_BITS = np.zeros(256, np.int64)
+_BITS[[*range(97, 123), *range(0xC0, 256)]] = [1 << k % 63 for k in range(90)]
 #: A-Z lower-cased, a-z and the letters from C0 to FF of Latin-1 as they are, all else a space.
 _RUNS = bytes((c + 32 if 65 <= c <= 90 else c) if 65 <= c <= 90 or 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
 
@@ -86,17 +89,22 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rarest(batches: Iterator[pa.RecordBatch], order: np.ndarray, prefix: int) -> Iterator[pa.RecordBatch]:
-    """The first bigrams of each word in the global order (equal ones by place): ``(word, n, length, gram, place)``."""
+    """The first bigrams of each word in the global order (equal ones by place): ``(word, n, length, odd, gram, place)``.
+
+    ``odd`` has the bits of the letters that a word has an odd number of: one edit changes two of them at most.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, WORDS):
             part = batch.slice(at, WORDS)
             gram, place, sizes = _grams(part.column(0))
+            letters = np.frombuffer("".join(part.column(0).to_pylist()).encode("latin-1"), np.uint8)
+            odd = np.bitwise_xor.reduceat(_BITS[letters], np.cumsum(sizes + 1) - sizes - 1)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             ordered = np.lexsort((place, order[gram], owner))
             first = ordered[np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < prefix]
             of = pa.array(owner[first])
-            columns = [part.column(0).take(of), part.column(1).take(of), pa.array((sizes[owner[first]] + 1).astype(np.int32)), pa.array(gram[first].astype(np.int32)), pa.array(place[first].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["word", "n", "length", "gram", "place"])
+            columns = [part.column(0).take(of), part.column(1).take(of), pa.array((sizes[owner[first]] + 1).astype(np.int32)), pa.array(odd[owner[first]]), pa.array(gram[first].astype(np.int32)), pa.array(place[first].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "n", "length", "odd", "gram", "place"])
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -104,17 +112,19 @@ def near_words(words: DataFrame) -> DataFrame:
 
     The order of bigrams goes to the driver and to tasks: it has 65,536 entries at most, one for each two characters.
     Of two words of a length a shared bigram stands at the same place, else at the same or the next in the longer one;
-    a bigram's words meet in a join that can be split, and no list of them is made.
+    a bigram's words meet in a join that can be split, and no list of them is made. Two that meet are first held
+    against one another by the letters that they have an odd number of, a comparison of two numbers.
     """
     counts = words.select("word").mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     order = np.zeros(1 << 16, np.int64)
     for k, row in enumerate(sorted(counts, key=lambda r: (r["n"], r["gram"]))):
         order[row["gram"]] = k
-    rare = stash(words.select("word", "n").mapInArrow(lambda batches: _rarest(batches, order, PREFIX), "word string, n long, length int, gram int, place int"), "bigrams")
+    rare = stash(words.select("word", "n").mapInArrow(lambda batches: _rarest(batches, order, PREFIX), "word string, n long, length int, odd long, gram int, place int"), "bigrams")
     met = [F.struct(F.lit(d).alias("longer"), (F.col("length") + d).alias("length"), (F.col("place") + m).alias("place")) for d, m in ((0, 0), (1, 0), (1, 1))]
-    sought = rare.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "gram", F.explode(F.array(*met)).alias("at")).select("a", "n_a", "gram", "at.*")
-    found = sought.join(rare.select(F.col("word").alias("b"), F.col("n").alias("n_b"), "gram", "length", "place"), ["gram", "length", "place"])
-    found = found.where("longer = 1 or a < b").where(F.levenshtein("a", "b", 1) == 1)
+    sought = rare.select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"), "gram", F.explode(F.array(*met)).alias("at")).select("a", "n_a", "odd_a", "gram", "at.*")
+    found = sought.join(rare.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"), "gram", "length", "place"), ["gram", "length", "place"])
+    close = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2 - F.col("longer")
+    found = found.where(F.when(close, (F.col("longer") == 1) | (F.col("a") < F.col("b"))).otherwise(False)).where(F.when(close, F.levenshtein("a", "b", 1) == 1).otherwise(False))
     return found.select("a", "n_a", "b", "n_b").distinct()
 
 
