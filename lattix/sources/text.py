@@ -31,11 +31,11 @@ def read_pdb(spark: SparkSession, path: str) -> DataFrame:
     return got.select("path", "index", count.alias("count"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("atomname", "resname", "chain")), "resid", F.array("x", "y", "z").alias("coord"), "beta", F.coalesce("segid", F.lit("")).alias("segid"))
 
 
-def pdb_lines(atoms: DataFrame) -> DataFrame:
-    """``(count, value)``: the record of each atom."""
+def pdb_lines(atoms: DataFrame, *keep: str) -> DataFrame:
+    """``(*keep, count, value)``: the record of each atom."""
     name = F.when(F.length("atomname") < 4, F.concat(F.lit(" "), F.rpad("atomname", 3, " "))).otherwise(F.col("atomname"))
     text = F.format_string("ATOM  %5d %s %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f      %-4s", "index", name, "resname", "chain", F.col("resid").cast("int"), *(F.col("coord")[k] for k in range(3)), F.lit(1.0), "beta", "segid")
-    return atoms.select("count", text.alias("value"))
+    return atoms.select(*keep, "count", text.alias("value"))
 
 
 def write_pdb(atoms: DataFrame, path: str) -> None:
@@ -43,6 +43,38 @@ def write_pdb(atoms: DataFrame, path: str) -> None:
     pdb_lines(atoms).coalesce(1).sortWithinPartitions("count").select("value").write.text(path)
 
 
+def structure_lines(atoms: DataFrame, key: str, model: str | None = None, bonds: DataFrame | None = None) -> DataFrame:
+    """``(key, at, value)``: the lines of a structure of each ``key``: its atoms in order of ``count``, its ``bonds(key, a, b)`` of atom numbers, END.
+
+    With ``model`` a key has a numbered model for each of its values, in their order, between MODEL and ENDMDL. Lines
+    are rows with a place; no structure is gathered. An atom's bonds are told four a line, in order.
+    """
+    zero, parts = F.lit(0).cast("long"), []
+    own = F.col(model).cast("long") if model else zero
+    values = pdb_lines(atoms.withColumn("__place", F.struct(F.col(key).alias("key"), own.alias("model"))), "__place")
+    parts.append(values.select("__place.key", F.struct(F.lit(0).alias("part"), F.col("__place.model").alias("model"), F.lit(1).alias("kind"), F.col("count").cast("long").alias("n")).alias("at"), "value"))
+    if model:
+        each = atoms.select(F.col(key).alias("key"), own.alias("model")).distinct()
+        for kind, text in ((0, F.format_string("MODEL %8d", F.col("model") + 1)), (2, F.lit("ENDMDL"))):
+            parts.append(each.select("key", F.struct(F.lit(0).alias("part"), "model", F.lit(kind).alias("kind"), zero.alias("n")).alias("at"), text.alias("value")))
+    if bonds is not None:
+        both = bonds.select(F.col(key).alias("key"), "a", "b").unionByName(bonds.select(F.col(key).alias("key"), F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        four = both.withColumn("nth", F.expr("(row_number() over (partition by key, a order by b) - 1) div 4")).groupBy("key", "a", "nth").agg(F.array_sort(F.collect_list("b")).alias("bs"))
+        text = F.concat(F.format_string("CONECT%5d", "a"), F.array_join(F.transform("bs", lambda b: F.format_string("%5d", b)), ""))
+        parts.append(four.select("key", F.struct(F.lit(1).alias("part"), F.col("a").cast("long").alias("model"), F.lit(0).alias("kind"), F.col("nth").cast("long").alias("n")).alias("at"), text.alias("value")))
+    parts.append(atoms.select(F.col(key).alias("key")).distinct().select("key", F.struct(F.lit(2).alias("part"), zero.alias("model"), F.lit(0).alias("kind"), zero.alias("n")).alias("at"), F.lit("END").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def write_structures(lines: DataFrame, path: str) -> None:
+    """A file of each key of ``structure_lines`` below ``path/key=...``, many at once: lines are shuffled by key and sorted
+    within a task, which holds no structure; a key's lines stay in one file."""
+    lines.repartition("key").sortWithinPartitions("key", "at").select("key", "value").write.partitionBy("key").text(path)
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """``(r, c, val)`` of white-space numbers, one row of the matrix for each line; blank lines are skipped."""
     lines = numbered(spark, path).where(F.trim("value") != "")
