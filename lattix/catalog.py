@@ -48,11 +48,6 @@ class Tables:
     def edges(self) -> DataFrame:
         return grid.edges(self.map, ROWS, COLS, False, grid.FOUR)
 
-    @property
-    def short(self) -> DataFrame:
-        """The first 12 dimensions, four points of three."""
-        return self.data.select("id", F.slice("v", 1, 12).alias("v"))
-
     @property
     def long(self) -> DataFrame:
         """63 of the 64 dimensions, 21 points of three."""
@@ -108,7 +103,7 @@ cov AS (SELECT r, c, s / n AS val FROM pairs),
 corr AS (SELECT cov.r, cov.c, cov.val / (sqrt(x.val) * sqrt(y.val)) AS val FROM cov JOIN cov x ON x.r = x.c AND x.r = cov.r JOIN cov y ON y.r = y.c AND y.c = cov.c),
 points AS (SELECT id, a::INTEGER AS a, v[3 * a + 1:3 * a + 3] AS p FROM (SELECT id, v, unnest(range(0, {n} // 3)) AS a FROM short))
 """
-SHORT, LONG, FULL = (MATRIX.replace("{n}", str(n)) for n in (12, 63, 64))
+LONG, FULL = (MATRIX.replace("{n}", str(n)) for n in (63, 64))
 WALK = """WITH walk AS (SELECT user_id, ts, event_id, least(floor(value / 125), 3)::INTEGER AS i, (extract(hour FROM ts) // 6)::INTEGER AS j FROM events),
 states AS (SELECT *, i * 4 + j AS nid, lead(i * 4 + j) OVER w AS dst, lead(i) OVER w - i AS di, lead(j) OVER w - j AS dj FROM walk WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 moves AS (SELECT nid AS src, dst, count(*) AS n FROM states WHERE dst IS NOT NULL GROUP BY 1, 2)
@@ -267,9 +262,25 @@ def _nd(shape: tuple[int, ...], toric: bool) -> str:
     return f"SELECT a.id::INTEGER AS nid, b.id::INTEGER AS other FROM (SELECT unnest(range({size})) AS id) a, (SELECT unnest(range({size})) AS id) b WHERE a.id <> b.id AND {' AND '.join(tests)}"
 
 
+_GAP = "round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS d"
+
+
+def _gaps(t: Tables, pairs: DataFrame) -> DataFrame:
+    """``pairs(nid, other)`` of neurons, which are the embeddings of these ids, with their distance."""
+    a, b = t.data.select(F.col("id").alias("nid"), F.col("v").alias("a")), t.data.select(F.col("id").alias("other"), F.col("v").alias("b"))
+    return pairs.join(a, "nid").join(b, "other").select("nid", "other", vectors.distance(F.col("a"), F.col("b")).alias("d"))
+
+
+@query(BASE + f"SELECT a.id::INTEGER AS nid, b.id::INTEGER AS other, {_GAP} FROM (SELECT *, count(*) OVER () AS n FROM data) a JOIN data b ON b.id = (a.id + 1) % a.n OR b.id = (a.id + a.n - 1) % a.n WHERE a.id <> b.id")
+def neighbours_1d(t: Tables) -> DataFrame:
+    """All embeddings as a ring."""
+    return _gaps(t, grid.neighbours_nd(t.spark, (t.data.count(),)))
+
+
 def _register_nd() -> None:
-    for shape, toric in (((7,), True), ((3, 4, 5), True), ((3, 4, 5), False), ((2, 3, 3, 4), True)):
-        query(_nd(shape, toric), f"neighbours_{len(shape)}d" + ("" if toric else "_planar"))(lambda t, shape=shape, toric=toric: grid.neighbours_nd(t.spark, shape, toric))
+    for shape, toric in (((3, 4, 5), True), ((3, 4, 5), False), ((2, 3, 3, 4), True)):
+        sql = BASE + f", near AS ({_nd(shape, toric)}) SELECT nid, other, {_GAP} FROM near JOIN data a ON nid = a.id JOIN data b ON other = b.id"
+        query(sql, f"neighbours_{len(shape)}d" + ("" if toric else "_planar"))(lambda t, shape=shape, toric=toric: _gaps(t, grid.neighbours_nd(t.spark, shape, toric)))
 
 
 _register_nd()
@@ -365,11 +376,13 @@ def growing_train(t: Tables) -> DataFrame:
     return train.train_growing(t.data)
 
 
-@query("""WITH t AS (SELECT range AS t, (6.25 - 3.0) * exp(-10.0 * range / 100) + 3.0 AS r FROM range(0, 101))
-SELECT t, round(r, 6) AS radius, round(exp(-4.0 / (4 * r * r)), 6) AS gauss, round(sin(2 / r * pi()) / (2 / r * pi()), 6) + 0.0 AS sinc FROM t""")
+@query(BASE + """, t AS (SELECT id, b.nid AS nid, (6.25 - 3.0) * exp(-10.0 * id / n) + 3.0 AS r, least(b.i, 4 - b.i) ** 2 + least(b.j, 4 - b.j) ** 2 AS q FROM bmus, (SELECT count(*) AS n FROM bmus))
+SELECT id, nid, round(r, 6) AS radius, round(exp(-q / (4 * r * r)), 6) AS gauss, CASE WHEN q = 0 THEN 1.0 ELSE round(sin(sqrt(q) / r * pi()) / (sqrt(q) / r * pi()), 6) + 0.0 END AS sinc FROM t""")
 def kernel_values(t: Tables) -> DataFrame:
-    r = kernels.decay(6.25, 3.0, F.col("id"), 100)
-    return t.spark.range(101).select(F.col("id").alias("t"), r.alias("radius"), kernels.gaussian(F.lit(4.0), r).alias("gauss"), kernels.sinc(F.lit(2.0), r).alias("sinc"))
+    """The pull of each input on the first neuron, were the inputs met in the order of their ids while the radius shrinks."""
+    met = t.bmus.withColumn("r", kernels.decay(6.25, 3.0, F.col("id"), t.embeddings.count())).withColumn("q", kernels.toric_squared(F.col("i"), F.col("j"), F.lit(0), F.lit(0), ROWS, COLS).cast("double"))
+    sinc = F.when(F.col("q") == 0, 1.0).otherwise(kernels.sinc(F.sqrt("q"), F.col("r")))
+    return met.select("id", "nid", F.col("r").alias("radius"), kernels.gaussian(F.col("q"), F.col("r")).alias("gauss"), sinc.alias("sinc"))
 
 
 @query(BASE + "SELECT id, label AS series, round(qe, 6) AS qe, round(max(qe) OVER w, 6) AS rho, round(qe / nullif(max(qe) OVER w, 0), 6) AS epsilon FROM bmus WINDOW w AS (PARTITION BY label ORDER BY id)")
@@ -705,8 +718,8 @@ def atom_distances(t: Tables) -> DataFrame:
 @query(BASE + """, flat AS (SELECT d.id, b.nid AS nid, unnest(v[1:63]) AS x, unnest(range(1, 64)) AS k FROM data d JOIN bmus USING (id)), means AS (SELECT nid, k, avg(x) AS m FROM flat GROUP BY 1, 2),
 away AS (SELECT f.nid, f.id, sqrt(sum((x - m) * (x - m)) / 21) AS r FROM flat f JOIN means USING (nid, k) GROUP BY 1, 2)
 SELECT nid, count(*) AS n, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS spread FROM away GROUP BY nid""")
-def rmsd_map(t: Tables) -> DataFrame:
-    return molecules.rmsd_map(linalg.atoms(t.long), t.bmus)
+def rmsd_spread(t: Tables) -> DataFrame:
+    return molecules.rmsd_spread(linalg.atoms(t.long), t.bmus)
 
 
 def _turn_sql(axes: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.catalog import BASE, COLS, EDGE, FIELD, LEVELS, ROWS, SHORT, Tables, query
+from lattix.catalog import BASE, COLS, EDGE, FIELD, LEVELS, LONG, ROWS, Tables, query
 from lattix.operators import codebook, graphs, grid, landscape, linalg, molecules, networks, project
 
 WALKS = BASE.removeprefix("WITH ") + ", low AS (SELECT nid FROM book WHERE i = j), walks(source, node, dist, seen) AS (SELECT nid, nid, 0.0::DOUBLE, [nid] FROM low UNION ALL SELECT source, dst, dist + w, list_append(seen, dst) FROM walks JOIN edges ON src = node WHERE NOT list_contains(seen, dst) AND len(seen) < 16), lengths AS (SELECT source, node, min(dist) AS dist, arg_min(seen, {'d': dist, 'n': len(seen), 's': seen}) AS path FROM walks GROUP BY 1, 2)"
@@ -176,10 +176,11 @@ def split_descriptor(t: Tables) -> DataFrame:
     return part.select("id", F.col("s.centre")[0].alias("centre"), F.col("s.norm")[0].alias("norm"), F.col("s.unit")[0][0].alias("unit"))
 
 
-@query(SHORT + """, g AS (SELECT id, list_transform(list_zip(v[4:6], v[1:3]), lambda p: p[1] - p[2]) AS a, list_transform(list_zip(v[7:9], v[4:6]), lambda p: p[1] - p[2]) AS b, list_transform(list_zip(v[10:12], v[7:9]), lambda p: p[1] - p[2]) AS c FROM short)
-SELECT id, 0 AS at, round(((a[2] * b[3] - a[3] * b[2]) * c[1] + (a[3] * b[1] - a[1] * b[3]) * c[2] + (a[1] * b[2] - a[2] * b[1]) * c[3]) / pow(sqrt(b[1] * b[1] + b[2] * b[2] + b[3] * b[3]), 3), 5) + 0.0 AS val FROM g""")
+@query(LONG + """, g AS (SELECT x.id, x.a AS k, list_transform(list_zip(y.p, x.p), lambda q: q[1] - q[2]) AS a, list_transform(list_zip(z.p, y.p), lambda q: q[1] - q[2]) AS b, list_transform(list_zip(w.p, z.p), lambda q: q[1] - q[2]) AS c
+FROM points x JOIN points y ON y.id = x.id AND y.a = x.a + 1 JOIN points z ON z.id = x.id AND z.a = x.a + 2 JOIN points w ON w.id = x.id AND w.a = x.a + 3)
+SELECT id, k AS at, round(((a[2] * b[3] - a[3] * b[2]) * c[1] + (a[3] * b[1] - a[1] * b[3]) * c[2] + (a[1] * b[2] - a[2] * b[1]) * c[3]) / pow(sqrt(b[1] * b[1] + b[2] * b[2] + b[3] * b[3]), 3), 5) + 0.0 AS val FROM g""")
 def chiralities(t: Tables) -> DataFrame:
-    found = linalg.atoms(t.short).select("id", F.posexplode(molecules.chiralities(F.col("xyz"))).alias("at", "val"))
+    found = linalg.atoms(t.long).select("id", F.posexplode(molecules.chiralities(F.col("xyz"))).alias("at", "val"))
     return found.withColumn("val", F.round("val", 5) + 0.0)
 
 
@@ -190,7 +191,7 @@ def neuron_coordinates(t: Tables) -> DataFrame:
 
 @query()
 def aligned_frames(t: Tables) -> DataFrame:
-    points = linalg.atoms(t.short)
+    points = linalg.atoms(t.long)
     return molecules.aligned(points, points.where("id = 0").first().xyz)
 
 

@@ -154,7 +154,7 @@ def atom_distances(points: DataFrame, reference: list[list[float]]) -> DataFrame
     return points.select("id", F.posexplode(F.zip_with("xyz", ref, distance)).alias("atom", "d"))
 
 
-def rmsd_map(frames: DataFrame, bmus: DataFrame) -> DataFrame:
+def rmsd_spread(frames: DataFrame, bmus: DataFrame) -> DataFrame:
     """``(nid, n, mean, spread)``: for each neuron its frames' root mean square distance to their mean structure, and how that varies.
 
     ``frames(id, xyz)``, ``bmus(id, nid)``. Means are sums by neuron, atom and axis, combined before the shuffle.

@@ -1,6 +1,6 @@
 import pytest
 
-from lattix import catalog, catalog_landscape  # noqa: F401
+from lattix import catalog, catalog_growth, catalog_landscape  # noqa: F401
 from tests.compare import assert_same
 
 
