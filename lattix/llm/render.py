@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Generator, Iterator
 from html import unescape
 
@@ -44,6 +44,8 @@ IMPLIED = {
 # Types of input whose value is seen, and the most that a cell may span.
 SHOWN = frozenset("text search email url tel number date time month week submit button reset".split()) | {""}
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: A table's columns are aligned up to the width at which its lines have room for so many times its text.
+ROOMY = 16
 #: Levels by which text moves in; what is nested deeper stands below the last.
 INDENTS = 40
 PROPERTY = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
@@ -52,10 +54,13 @@ NOTE = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 
 
 class Node:
-    __slots__ = ("tag", "kids", "attrs")
+    """An element. ``met`` and ``above``: the beginnings of selectors that it, and that some element around it, answers to."""
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.kids, self.attrs = tag, [], attrs or {}
+    __slots__ = ("tag", "kids", "attrs", "up", "met", "above")
+
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, up: Node | None = None):
+        self.tag, self.kids, self.attrs, self.up = tag, [], attrs or {}, up
+        self.met = self.above = frozenset()
 
 
 def scan(html: str) -> Iterator[tuple]:
@@ -160,7 +165,7 @@ def build(html: str) -> tuple[Node, list[str]]:
                 pass
         if name in ("html", "body") and places.get(name):
             continue
-        node = Node(name, attrs)
+        node = Node(name, attrs, stack[-1])
         stack[-1].kids.append(node)
         if name in RAW:
             shut = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, after)
@@ -174,12 +179,14 @@ def build(html: str) -> tuple[Node, list[str]]:
             stack.append(node)
 
 
-def rules(styles: list[str]) -> dict[str, list[tuple]]:
-    """What style sheets say of display and visibility, by the name, class or id that a selector ends with.
+def rules(styles: list[str]) -> dict:
+    """What style sheets say of display and visibility, by the name, class or id that a selector's last element has.
 
-    Only selectors of one element (``p.note#x``) are read; rules within ``@media`` count for ``screen`` and ``all``.
+    Selectors of elements (``p.note#x``) within others (``.ad p``, ``div > p``) are read, others are not; rules within
+    ``@media`` count for ``screen`` and ``all``. What stands before the last element is a path of steps, each numbered
+    once; at ``None`` are the steps, by name, class or id too.
     """
-    out, order = {}, 0
+    out, order, steps, numbers = {}, 0, {}, {}
     for css in styles:
         css, at, depth, skipped = NOTE.sub(" ", css), 0, 0, 0
         braces = list(re.finditer(r"[{}]", css))
@@ -200,33 +207,70 @@ def rules(styles: list[str]) -> dict[str, list[tuple]]:
             depth += 1
             found = PROPERTY.findall(css[at : following.start() if following else len(css)])
             for selector in head.rpartition(";")[2].split(",") if found else ():
-                simple = SIMPLE.fullmatch(selector.strip())
-                if not simple or not selector.strip():
+                if (parsed := _selector(selector)) is None:
                     continue
-                marks = re.findall(r"[.#][\w-]+", simple[2])
-                tag = (simple[1] or "*").lower()
-                weight = (sum(m[0] == "#" for m in marks), sum(m[0] == "." for m in marks), tag != "*")
+                *around, (key, tag, marks, child) = parsed
+                before = None
+                for k, t, m, c in around:
+                    step = (before, c, t, m)
+                    if step not in numbers:
+                        numbers[step] = len(numbers)
+                        steps.setdefault(k, []).append((numbers[step], t, m, before, c))
+                    before = numbers[step]
+                every = [m for _, _, marked, _ in parsed for m in marked]
+                weight = (sum(m[0] == "#" for m in every), sum(m[0] == "." for m in every), sum(t != "*" for _, t, _, _ in parsed))
                 for name, value, important in found:
                     order += 1
-                    out.setdefault(marks[-1] if marks else tag, []).append((bool(important), weight, order, tag, frozenset(marks), name.lower(), value.lower()))
+                    out.setdefault(key, []).append((bool(important), weight, order, tag, marks, before, child, name.lower(), value.lower()))
+    if steps:
+        out[None] = steps
     return out
 
 
-def styled(node: Node, sheet: dict[str, list[tuple]]) -> dict[str, str]:
-    """The display and visibility that style sheets and the element's own style give it."""
+def _selector(text: str) -> list[tuple[str, str, frozenset, bool]] | None:
+    """``(key, tag, marks, child)`` of each element of a selector, ``child`` if it stands right below the one before; None if it has anything else."""
+    out, child = [], False
+    for part in re.findall(r">|[^\s>]+", text):
+        if part == ">":
+            if child or not out:
+                return None
+            child = True
+            continue
+        simple = SIMPLE.fullmatch(part)
+        if not simple:
+            return None
+        marks, tag = re.findall(r"[.#][\w-]+", simple[2]), (simple[1] or "*").lower()
+        out.append((marks[-1] if marks else tag, tag, frozenset(marks), child))
+        child = False
+    return out if out and not child else None
+
+
+def styled(node: Node, sheet: dict) -> dict[str, str]:
+    """The display and visibility that style sheets and the element's own style give it. Elements around it come first."""
     if not sheet and "style" not in node.attrs:
         return {}
     own = {f".{c}" for c in node.attrs.get("class", "").split()} | ({"#" + node.attrs["id"]} if node.attrs.get("id") else set())
+    up = node.up
+    if (steps := sheet.get(None)) is not None:
+        if up is not None:
+            node.above = up.above | up.met if up.met - up.above else up.above
+        met = [n for key in (*own, node.tag, "*") for n, tag, marks, before, child in steps.get(key, ()) if tag in ("*", node.tag) and marks <= own and _below(node, before, child)]
+        node.met = frozenset(met)
     best: dict[str, tuple] = {}
     for key in (*own, node.tag, "*"):
-        for important, weight, order, tag, marks, name, value in sheet.get(key, ()):
-            if tag in ("*", node.tag) and marks <= own:
+        for important, weight, order, tag, marks, before, child, name, value in sheet.get(key, ()):
+            if tag in ("*", node.tag) and marks <= own and _below(node, before, child):
                 best[name] = max(best.get(name, ()), (important, weight, order, value))
     for n, (name, value, important) in enumerate(PROPERTY.findall(node.attrs.get("style", ""))):
-        best[name.lower()] = max(best.get(name.lower(), ()), (bool(important), (9, 9, True), n, value.lower()))
+        best[name.lower()] = max(best.get(name.lower(), ()), (bool(important), (10**9, 0, 0), n, value.lower()))
     return {k: v[3] for k, v in best.items()}
 
 
+def _below(node: Node, before: int | None, child: bool) -> bool:
+    """Whether what a selector asks of the elements around ``node`` holds."""
+    return before is None or (before in node.up.met if child and node.up else not child and before in node.above)
+
+
 def width(s: str) -> int:
     """Cells of a line: wide characters take two, combining ones none."""
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
@@ -444,55 +488,75 @@ def table(node: Node, sheet, seen: bool) -> Generator:
             only.kids = [kid]
             yield layout(only, inner, sheet, visible)
             above += inner.done()
-    placed, taken = [], {}  # taken: column -> rows that a cell from above still covers
+    placed, taken = [], []  # taken: (first column, behind the last, last row) of what cells from above still cover
     for n, row in enumerate(rows):
-        here, at = [], 0
+        taken = _joined([x for x in taken if x[2] >= n])
+        here, at, k, new = [], 0, 0, []
         for columns, down, lines in row:
-            while taken.get(at):
-                at += 1
+            while k < len(taken) and taken[k][0] <= at:
+                at, k = max(at, taken[k][1]), k + 1
             here.append((at, columns, lines))
-            for k in range(at, at + columns):
-                taken[k] = (down or len(rows) - n) if down != 1 else 1
+            if down != 1:
+                new.append((at, at + columns, min(n + down, len(rows)) - 1 if down else len(rows) - 1))
             at += columns
-        taken = {k: v - 1 for k, v in taken.items() if v > 1}
+        taken += new
         placed.append(here)
     placed = [r for r in placed if any(any(lines) for *_, lines in r)]
     widths: dict[int, int] = {}
+    used: list[int] = []  # the columns that have a width, in order
     for at, columns, lines in sorted((c for r in placed for c in r), key=lambda c: c[1]):
         wide = max(map(width, lines), default=0)
         if columns == 1:
-            widths[at] = max(widths.get(at, 0), wide)
+            last, lacking = at, wide - widths.get(at, 0)
         else:
-            inside = [widths[k] for k in range(at, at + columns) if widths.get(k)]
-            lacking = wide - sum(inside) - 2 * max(0, len(inside) - 1)
-            if lacking > 0:
-                last = max((k for k in range(at, at + columns) if widths.get(k)), default=at)
-                widths[last] = widths.get(last, 0) + lacking
+            inside = used[bisect_left(used, at) : bisect_left(used, at + columns)]
+            last, lacking = inside[-1] if inside else at, wide - sum([widths[k] for k in inside]) - 2 * max(0, len(inside) - 1)
+        if lacking > 0:
+            if last not in widths:
+                insort(used, last)
+            widths[last] = widths.get(last, 0) + lacking
+    heights = [max((len(lines) for *_, lines in r), default=0) for r in placed]
+    told = sum(width(x) + 2 for r in placed for *_, lines in r for x in lines)
+    most = max(widths.values(), default=0)
+    while most and sum(heights) * sum(min(w, most) + 2 for w in widths.values()) > ROOMY * told:
+        most //= 2
     starts, total = {}, 0
-    for k in sorted(widths):
+    for k in used:
         starts[k] = total
-        total += widths[k] + 2 if widths[k] else 0
-    columns_used = sorted(starts)
+        total += min(widths[k], most) + 2 if most else 0
     out = list(above)
-    for r in placed:
-        for k in range(max((len(lines) for *_, lines in r), default=0)):
+    for r, height in zip(placed, heights):
+        for k in range(height):
             line, filled = [], 0
             for at, _, lines in r:
                 if k < len(lines) and lines[k]:
-                    start = starts[at] if at in starts else starts[columns_used[min(bisect_left(columns_used, at), len(columns_used) - 1)]]
+                    place = bisect_left(used, at)
+                    start = max(starts[used[min(place, len(used) - 1)]], filled + 2 if filled else 0)
                     line.append(" " * (start - filled) + lines[k])
-                    filled = max(start, filled) + width(lines[k])
+                    filled = start + width(lines[k])
             out.append("".join(line).rstrip())
     return out
 
 
+def _joined(taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Intervals of columns in order, those that touch and end in one row as one."""
+    out: list[tuple[int, int, int]] = []
+    for first, behind, last in sorted(taken):
+        if out and out[-1][1] == first and out[-1][2] == last:
+            out[-1] = (out[-1][0], behind, last)
+        else:
+            out.append((first, behind, last))
+    return out
+
+
 def render(html: str | None) -> str | None:
     """All visible text of a page; null for null, empty for a page without any."""
     if html is None:
         return None
     tree, styles = build(html)
-    page = Page()
-    _run(layout(tree, page, rules(styles)))
+    page, sheet = Page(), rules(styles)
+    styled(tree, sheet)
+    _run(layout(tree, page, sheet))
     return "\n".join(page.done())
 
 
@@ -500,7 +564,8 @@ def rendered(pages: DataFrame, html: str = "html", out: str = "text") -> DataFra
     """``pages`` with the visible text of ``html`` in ``out`` (an existing column of that name is replaced).
 
     Row by row, without a shuffle. Null pages stay null, empty ones are empty; pages of any length and depth are read
-    once from start to end. Repeated rows give repeated rows; other columns pass. An empty table gives an empty result.
+    once from start to end, and a table is never wider than some times its text (``ROOMY``): columns that are wider are
+    not aligned. Repeated rows give repeated rows; other columns pass. An empty table gives an empty result.
     """
 
     @F.arrow_udf("string")
