@@ -73,6 +73,10 @@ def parse(text: str | None) -> tuple[str | None, list[tuple[int, list[str]]]]:
     return "\n".join(own).strip("\n"), passages
 
 
+#: Words of a run that is a quote of another conversation however many have it.
+OUTSIDE_WORDS = 5
+
+
 def windows(lines: list[str]) -> list[tuple[int, int, int]]:
     """``(first, length, hash)`` of all runs of 1, 2, 4, ... of the lines: a run's hash is that of its halves'."""
     now, size, out = [digest(x) for x in lines], 1, []
@@ -119,7 +123,8 @@ def _originals(rows: DataFrame) -> DataFrame:
     """``(rank, quoted)``: for each message with quotes that are found, the place of the message it quotes.
 
     A passage's hash keeps one original for each conversation and two for all, so a passage that thousands share makes
-    no pairs.
+    no pairs. Words that anybody may write are no quote of another conversation: a run of under ``OUTSIDE_WORDS`` words
+    counts there only if no other conversation has it, and one of a single word never.
     """
     quoted = rows.select("rank", "conv_id", F.explode("passages").alias("q")).select("rank", "conv_id", "q.*")
     place = F.struct("rank", "conv_id", "turn")
@@ -130,7 +135,8 @@ def _originals(rows: DataFrame) -> DataFrame:
     both = first.join(others, "hash", "left")
     found = quoted.join(own, ["conv_id", "hash"], "left").join(both, "hash", "left")
     inside = F.when(F.col("own.rank") < F.col("rank"), F.col("own"))
-    outside = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
+    told = (F.col("words") >= OUTSIDE_WORDS) | ((F.col("words") > 1) & F.col("second").isNull())
+    outside = F.when(told, F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second")))
     found = found.withColumn("parent", F.coalesce(inside, outside)).where("parent is not null")
     return found.groupBy("rank").agg(F.min_by("parent", F.struct("level", -F.col("words"), "n", "parent.rank")).alias("quoted"))
 
@@ -170,7 +176,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     original by its whole, its paragraphs and such runs of its author's own lines. A message's parent is the original
     of what it quotes at the lowest level that is found anywhere, there of the run with most words, then the first: the
     first message of its own conversation before itself that has the run, else the first of another conversation, in
-    order of (conv_id, turn), earlier or later. Without a quote that is found it replies to the first message of the
+    order of (conv_id, turn), earlier or later, if the run has ``OUTSIDE_WORDS`` words, or two and stands in no third one. Without a quote that is found it replies to the first message of the
     turn before it in its conversation. ``thread_*`` names the root, ``depth`` the steps to it, ``text`` is without
     quotes. Where parents run in a circle, or into one, links to later (conv_id, turn) give way to the turn before.
 
@@ -191,5 +197,9 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
 
 def reply_order(linked: DataFrame) -> DataFrame:
-    """The messages of each thread from root to leaves, range-sorted by thread, depth and place."""
-    return linked.orderBy("thread_conv", "thread_turn", "depth", "conv_id", "turn")
+    """The messages with their ``position`` from 0: thread by thread, each from its root to its leaves by depth and place.
+
+    Positions stay when the rows are written or shuffled. They come from the rows' places in a table that is sorted and
+    written, so no task has a whole thread.
+    """
+    return ranked(linked, ["thread_conv", "thread_turn", "depth", "conv_id", "turn", "role", "text"]).withColumnRenamed("rank", "position")

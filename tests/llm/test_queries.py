@@ -474,7 +474,8 @@ def brute_links(rows):
                 words = len((whole or " ".join(run)).split())
                 holders = [k for k, (runs, wholes) in enumerate(known) if (run in runs if run else whole in wholes or (whole,) in runs)]
                 inside = [k for k in holders if rows[k][0] == conv and k < m]
-                outside = [k for k in holders if rows[k][0] != conv]
+                common = len({rows[k][0] for k in holders}) > 1
+                outside = [k for k in holders if rows[k][0] != conv and (words >= 5 or (words > 1 and not common))]
                 if inside or outside:
                     found.append((level, -words, n, min(inside or outside)))
         before = [k for k in range(m) if rows[k][0] == conv and rows[k][1] < turn]
@@ -520,16 +521,26 @@ def test_quotes_as_brute_force(spark):
         assert (r.thread_conv, r.thread_turn, r.depth) == (*at, steps)
 
 
+def test_words_of_anybody_are_no_quotes_of_other_conversations(spark):
+    rows = [(1, 0, "user", "ok"), (1, 1, "user", "thanks a lot"), (2, 0, "user", "start"), (2, 1, "user", "> ok\nwhy"), (2, 2, "user", "more"), (3, 0, "user", "thanks a lot\nthis line is told once and has many words"), (4, 0, "user", "> thanks a lot\nbye"), (5, 0, "user", "> this line is told once and has many words\nyes"), (6, 0, "user", "rare pair"), (7, 0, "user", "> rare pair\nso")]
+    found = quotes.reply_order(quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    by = {(r.conv_id, r.turn): r for r in found}
+    assert (by[2, 1].parent_conv, by[2, 1].parent_turn, by[2, 2].thread_conv) == (2, 0, 2)
+    assert by[4, 0].parent_conv is None and by[5, 0].parent_conv == 3 and by[7, 0].parent_conv == 6
+    order = [(r.thread_conv, r.thread_turn, r.depth, r.conv_id, r.turn) for r in sorted(found, key=lambda r: r.position)]
+    assert order == sorted(order) and sorted(r.position for r in found) == list(range(len(rows)))
+
+
 def test_quotes_edges(spark):
     kind = "conv_id long, turn long, role string, text string, depth string"
     long = "\n".join(f"line number {k}" for k in range(20_000))
-    rows = [(1, 0, "user", "one\ntwo\nthree", "x"), (1, 1, "user", "> two\n> three\nyes", "x"), (1, 1, "user", "> two\n> three\nyes", "y"), (1, 1, "user", "another of that turn", "x"), (1, 2, "user", "last", "x"), (2, 0, "user", long, "x"), (0, 0, "user", "> line number 777\n> line number 778\n> line number 779\nso", "x"), (3, 0, "user", "", None), (None, 1, None, None, None), (7, 0, "user", "> mine\nyours", "x"), (8, 0, "user", "> yours\nmine", "x")]
+    rows = [(1, 0, "user", "one\ntwo\nthree", "x"), (1, 1, "user", "> two\n> three\nyes", "x"), (1, 1, "user", "> two\n> three\nyes", "y"), (1, 1, "user", "another of that turn", "x"), (1, 2, "user", "last", "x"), (2, 0, "user", long, "x"), (0, 0, "user", "> line number 777\n> line number 778\n> line number 779\nso", "x"), (3, 0, "user", "", None), (None, 1, None, None, None), (7, 0, "user", "> mine too\nyours too", "x"), (8, 0, "user", "> yours too\nmine too", "x")]
     found = quotes.link_quotes(spark.createDataFrame(rows, kind)).collect()
     assert len(found) == len(rows) - 1
     by = {(r.conv_id, r.turn, r.text): (r.parent_conv, r.parent_turn) for r in found}
     assert by[1, 1, "yes"] == by[1, 1, "another of that turn"] == (1, 0) and by[1, 2, "last"] == (1, 1)
     assert by[0, 0, "so"] == (2, 0) and by[3, 0, ""] == (None, None)
-    assert (by[7, 0, "yours"], by[8, 0, "mine"]) == ((None, None), (7, 0))
+    assert (by[7, 0, "yours too"], by[8, 0, "mine too"]) == ((None, None), (7, 0))
     assert quotes.link_quotes(spark.createDataFrame([], kind)).count() == 0
 
 
@@ -566,6 +577,63 @@ def test_render_spans_and_wide_cells():
     assert render.render("<ol start=3><li>x<ul><li>y<li>z</ul><li value=9>w</ol>") == "3. x\n   - y\n   - z\n9. w"
 
 
+def test_render_reads_selectors_of_elements_within_others():
+    style = "<style>.ad p{display:none} div>p.q{display:none} #a .b > i{visibility:hidden} ul li + li{display:none} .ad .in p{display:block} h1:hover{display:none}</style>"
+    body = "<div class=ad><section><p>no</section><div class=in><p>back</div></div><div><p class=q>no<span><p class=q>no</span></div><section><p class=q>yes</section><div id=a><b class=b><i>no</i><u><i>yes</i></u></b></div><h1>head</h1><ul><li>a<li>b</ul>"
+    assert render.render(style + body).split() == "back yes yes head - a - b".split()
+    deep = "<style>.x .y .z{display:none}</style>" + "<div class=x>" * 3000 + "<div class=y>" * 3000 + "<p class=z>no<p>yes"
+    assert render.render(deep).strip() == "yes"
+
+
+def test_render_tables_as_large_as_their_text():
+    import time
+
+    wide = "<table><tr><td>" + "w" * 20_000 + "<td>x" + "".join(f"<tr><td>a{k}<td>b{k}" for k in range(5000)) + "</table>"
+    spans = "<table>" + "<tr>" + "<td colspan=1000 rowspan=65534>c" * 60 + "".join("<tr>" + f"<td colspan=1000 rowspan={k + 2}>d" * 60 for k in range(200)) + "</table>"
+    for page in (wide, spans, wide * 10, "<table>" + "<tr><td rowspan=0>r<td colspan=0>s" * 3000 + "</table>"):
+        began = time.process_time()
+        text = render.render(page)
+        assert time.process_time() - began < 2 + 6e-6 * len(page) and len(text) < 40 * len(page)
+    assert [x.split() for x in render.render(wide).split("\n")[1:]] == [[f"a{k}", f"b{k}"] for k in range(5000)]
+
+
+def table_by_cells(rows):
+    """A table of plain cells, row by row, laid out anew."""
+    held, lines = {}, [[] for _ in rows]
+    for n, row in enumerate(rows):
+        at = 0
+        for columns, down, text in row:
+            while (n, at) in held:
+                at += 1
+            lines[n].append((at, columns, text))
+            held |= {(n + d, at + c): 1 for d in range(down) for c in range(columns)}
+            at += columns
+    wide = {}
+    for at, columns, text in sorted((c for r in lines for c in r), key=lambda c: c[1]):
+        inside = [k for k in sorted(wide) if at <= k < at + columns]
+        lacking = len(text) - sum(wide[k] for k in inside) - 2 * max(0, len(inside) - 1)
+        if lacking > 0:
+            wide[inside[-1] if inside else at] = wide.get(inside[-1] if inside else at, 0) + lacking
+    out = []
+    for r in lines:
+        line = ""
+        for at, _, text in r:
+            start = sum(w + 2 for k, w in wide.items() if k < at)
+            line = line.ljust(max(start, len(line) + 2 if line else 0)) + text
+        out.append(line)
+    return "\n".join(out)
+
+
+def test_render_tables_as_brute_force():
+    import random
+
+    rng = random.Random(11)
+    for _ in range(200):
+        rows = [[(rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2]), "".join(rng.choices("abc", k=rng.randint(1, 9)))) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 6))]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td colspan={c} rowspan={d}>{t}" for c, d, t in r) for r in rows) + "</table>"
+        assert render.render(html) == table_by_cells(rows), rows
+
+
 def brute_words(html):
     """The visible words of a plain page: what is left without hidden elements, comments and tags."""
     from html import unescape
