@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,15 +55,16 @@ def quaternion_inverse(q: Column) -> Column:
     return let(q, dot(q, q), lambda q, n: F.transform(quaternion_conjugate(q), lambda x: x / n))
 
 
-def quaternion_slerp(a: Column, b: Column, t: Column | float) -> Column:
-    """Along the shorter arc; the start where the two are one rotation."""
+def quaternion_slerp(a: Column, b: Column, t: Column | float, spin: int = 0, shortest: bool = True) -> Column:
+    """Between two unit quaternions, with ``spin`` half turns more, along the shorter arc or else as they stand; the start where the two are one rotation."""
     t = F.lit(t)
     raw = dot(a, b)
-    d = F.least(F.abs(raw), F.lit(1.0))
-    w = F.acos(d)
-    flat = F.sin(w) < 1e-12
-    mixed = F.zip_with(a, b, lambda x, y: (F.sin((1 - t) * w) * x + F.sin(t * w) * F.signum(raw) * y) / F.sin(w))
-    return F.when(flat, a).otherwise(mixed)
+    side = F.signum(raw) if shortest else F.lit(1.0)
+    d = F.least(F.abs(raw), F.lit(1.0)) if shortest else F.greatest(F.lit(-1.0), F.least(raw, F.lit(1.0)))
+    one = F.sin(F.acos(d)) < 1e-12
+    w = F.acos(d) + spin * math.pi
+    mixed = F.zip_with(a, b, lambda x, y: (F.sin((1 - t) * w) * x + F.sin(t * w) * side * y) / F.sin(w))
+    return F.when(t == 0, a).when(t == 1, b).when(one, a).otherwise(mixed)
 
 
 def quaternion_matrix(q: Column) -> Column:

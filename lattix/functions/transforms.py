@@ -113,6 +113,80 @@ def projection(point: Column, normal: Column, direction: Column | None = None, p
     return vec(*rows, 0, 0, 0, 1)
 
 
+def _null(m: np.ndarray) -> np.ndarray:
+    """The direction that ``m`` takes closest to 0."""
+    return np.linalg.svd(m)[2][-1]
+
+
+def _fixed_point(m: np.ndarray) -> np.ndarray:
+    """A point that ``m`` leaves where it is, of those the one nearest to the origin."""
+    point = np.linalg.lstsq(m[:3, :3] / m[3, 3] - np.eye(3), -m[:3, 3] / m[3, 3], rcond=None)[0]
+    return point
+
+
+#: A projection's kinds as ``projection_from`` tells them.
+ORTHOGONAL, PARALLEL, PERSPECTIVE = 0.0, 1.0, 2.0
+
+
+def projection_from(m: Column, pseudo: bool = False) -> Column:
+    """``[kind, point, normal, direction, perspective]`` (1 and 3 each) of a matrix of ``projection``; null if it is none.
+
+    ``kind`` is 0 for an orthogonal projection, 1 for one along ``direction``, 2 for one from the point ``perspective``;
+    what a kind does not have is 0. A parallel projection takes ``direction`` to 0 and leaves the points of its plane,
+    whose ``normal`` no image of it has; one from a point leaves the plane's points, too, which hold where the last row
+    gives the normal. ``pseudo``: the matrix keeps depths apart.
+    """
+
+    def kernel(a: np.ndarray) -> np.ndarray:
+        a, none = a.reshape(4, 4), np.zeros(3)
+        if np.abs(a[3, :3]).max() < 1e-12 * np.abs(a).max():
+            a = a / a[3, 3]
+            low = np.linalg.svd(a[:3, :3])[1]
+            if low[2] > 1e-8 * low[0]:
+                return np.full(13, np.nan)
+            direction, normal = _null(a[:3, :3]), _null(a[:3, :3].T)
+            if normal @ direction < 0:
+                normal = -normal
+            kind = ORTHOGONAL if np.allclose(direction, normal, atol=1e-8) else PARALLEL
+            return np.r_[kind, _fixed_point(a), normal, none if kind == ORTHOGONAL else direction, none]
+        # The scale is that at which the last row is the unit normal, turned. Across the normal the matrix is a number,
+        # and along it the rest is the eye (with depths apart, the eye and the normal).
+        a = a / np.linalg.norm(a[3, :3])
+        gap = (np.trace(a[:3, :3]) - a[3, :3] @ a[:3, :3] @ a[3, :3]) / 2
+        eye = -(np.eye(3) * gap - a[:3, :3]) @ a[3, :3]
+        if pseudo:
+            if eye @ a[3, :3] + a[3, 3] > 0:  # the matrix has been turned over
+                a, gap = -a, -gap
+            eye = eye + a[3, :3]
+        normal, depth = -a[3, :3], a[3, 3] - gap
+        return np.r_[PERSPECTIVE, depth * normal, normal, none, eye]
+
+    found = _mapped(kernel, m)
+    return F.when(~F.isnan(found[0]), found)
+
+
+def shear_from(m: Column) -> Column:
+    """``[angle, direction, point, normal]`` (1 and 3 each) of a matrix of ``shear``, the angle not negative; null if it is none.
+
+    What a shear adds to the identity is one direction times the normal, so both are the singular vectors of its only
+    singular value, the angle's tangent.
+    """
+
+    def kernel(a: np.ndarray) -> np.ndarray:
+        a = a.reshape(4, 4) / a[15]
+        u, s, vt = np.linalg.svd(a[:3, :3] - np.eye(3))
+        direction, normal = u[:, 0], vt[0]
+        if s[1] > 1e-6 * max(1.0, s[0]) or abs(direction @ normal) > 1e-4 or np.abs(a[3, :3]).max() > 1e-12:
+            return np.full(10, np.nan)
+        if s[0] == 0:
+            return np.r_[0.0, direction, np.zeros(3), normal]
+        point = -(direction @ a[:3, 3]) / s[0] * normal
+        return np.r_[math.atan(s[0]), direction, point, normal]
+
+    found = _mapped(kernel, m)
+    return F.when(~F.isnan(found[0]), found)
+
+
 def clip(left: float, right: float, bottom: float, top: float, near: float, far: float, perspective: bool = False) -> Column:
     """A viewing volume to the cube from -1 to 1."""
     if left >= right or bottom >= top or near >= far or (perspective and near <= 0):
@@ -131,18 +205,32 @@ def shear(angle: Column, direction: Column, point: Column, normal: Column) -> Co
     return vec(*rows, 0, 0, 0, 1)
 
 
-def compose(scale: Column, shears: Column, angles: Column, translate: Column) -> Column:
-    """Scale, then shear (xy, xz, yz), turn about static x, y, z, then move."""
+def compose(scale: Column, shears: Column, angles: Column, translate: Column, perspective: Column | None = None) -> Column:
+    """Scale, then shear (xy, xz, yz), turn about static x, y, z, then move; ``perspective`` is the last row that comes after all, and the whole is scaled to end in 1."""
     stretched = vec(scale[0], 0, 0, 0, 0, scale[1], 0, 0, 0, 0, scale[2], 0, 0, 0, 0, 1)
     sheared = vec(1, shears[0], shears[1], 0, 0, 1, shears[2], 0, 0, 0, 1, 0, 0, 0, 0, 1)
-    return concatenated(translation(translate), euler_matrix(angles[0], angles[1], angles[2]), sheared, stretched)
+    whole = concatenated(translation(translate), euler_matrix(angles[0], angles[1], angles[2]), sheared, stretched)
+    if perspective is None:
+        return whole
+    last = vec(1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, *(perspective[k] for k in range(4)))
+    return let(concatenated(last, whole), lambda m: F.transform(m, lambda x: x / m[15]))
 
 
 def decompose(m: Column) -> Column:
-    """``[scale, shears, angles, translation]`` (3 each), the inverse of ``compose``: Gram-Schmidt on the columns."""
+    """``[scale, shears, angles, translation]`` (3 each) and ``perspective`` (4), the inverse of ``compose``: Gram-Schmidt on the columns.
+
+    A matrix that is singular without its last row, or ends in 0, fails.
+    """
 
     def kernel(a: np.ndarray) -> np.ndarray:
-        a = a.reshape(4, 4) / a[15]
+        a = a.reshape(4, 4)
+        if abs(a[3, 3]) < 1e-12 * np.abs(a).max():
+            raise ValueError("the last element of the matrix is zero")
+        a = a / a[3, 3]
+        plain = np.vstack([a[:3], [0.0, 0.0, 0.0, 1.0]])
+        if np.linalg.svd(a[:3, :3])[1][-1] < 1e-14 * np.abs(a[:3, :3]).max():
+            raise ValueError("the matrix is singular")
+        last = np.linalg.solve(plain.T, a[3]) if a[3, :3].any() else np.array([0.0, 0.0, 0.0, 1.0])
         q, r = np.linalg.qr(a[:3, :3])
         sign = np.where(np.diag(r) < 0, -1.0, 1.0)
         q, r = q * sign, r * sign[:, None]
@@ -153,7 +241,7 @@ def decompose(m: Column) -> Column:
         y = math.asin(-np.clip(q[2, 0], -1, 1))
         flat = abs(math.cos(y)) < 1e-12
         x, z = (math.atan2(-q[1, 2], q[1, 1]), 0.0) if flat else (math.atan2(q[2, 1], q[2, 2]), math.atan2(q[1, 0], q[0, 0]))
-        return np.r_[s, shears, x, y, z, a[:3, 3]]
+        return np.r_[s, shears, x, y, z, a[:3, 3], last]
 
     return _mapped(kernel, m)
 
@@ -212,13 +300,24 @@ def superimposition(v0: Column, v1: Column, scale: bool = False) -> Column:
     return _mapped(kernel, v0, v1)
 
 
-def affine(v0: Column, v1: Column) -> Column:
-    """The affine transform of least squares from ``v0`` to ``v1``."""
+def affine(v0: Column, v1: Column, shears: bool = True, scale: bool = True, total: bool = False) -> Column:
+    """The affine transform from ``v0`` to ``v1`` (x, y, z in turn) of least squares; without ``shears`` a rotation, a move and, with ``scale``, one factor.
+
+    ``total``: errors of both point sets count, by the leading singular vectors of the two side by side, not those of
+    ``v1`` alone.
+    """
+    if not shears:
+        return superimposition(v0, v1, scale)
 
     def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a, b = a.reshape(-1, 3), b.reshape(-1, 3)
-        found = np.linalg.lstsq(np.column_stack([a, np.ones(len(a))]), b, rcond=None)[0]
-        return np.vstack([found.T, [0, 0, 0, 1]])
+        if not total:
+            found = np.linalg.lstsq(np.column_stack([a, np.ones(len(a))]), b, rcond=None)[0]
+            return np.vstack([found.T, [0, 0, 0, 1]])
+        ca, cb = a.mean(0), b.mean(0)
+        lead = np.linalg.svd(np.column_stack([a - ca, b - cb]), full_matrices=False)[2][: np.linalg.matrix_rank(a - ca)]
+        turn = np.linalg.lstsq(lead[:, :3], lead[:, 3:], rcond=None)[0].T
+        return np.vstack([np.column_stack([turn, cb - turn @ ca]), [0, 0, 0, 1]])
 
     return _mapped(kernel, v0, v1)
 
