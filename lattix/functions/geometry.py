@@ -47,6 +47,15 @@ def quaternion_multiply(a: Column, b: Column) -> Column:
     ))
 
 
+def rotation_between(a: Column, b: Column) -> Column:
+    """``[angle, x, y, z]`` of the turn that lays ``a`` along ``b``; null where they lie along one line, which leaves the axis open."""
+
+    def of(c: Column, length: Column) -> Column:
+        return F.when(length > 0, vec(angle(a, b), *(c[k] / length for k in range(3))))
+
+    return let(cross(a, b), lambda c: let(norm(c), lambda n: of(c, n)))
+
+
 def quaternion_conjugate(q: Column) -> Column:
     return let(q, lambda q: vec(q[0], -q[1], -q[2], -q[3]))
 

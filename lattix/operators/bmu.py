@@ -75,7 +75,7 @@ def gathered(codebook: DataFrame, limit: int = SENT) -> list:
 
 
 def assign_arrow(data: DataFrame, codebook: DataFrame, limit: int = SENT) -> DataFrame:
-    """``(id, nid, i, j, qe)`` by NumPy over Arrow batches, which pays for large maps; the codebook (``limit`` numbers at most) goes with the task."""
+    """``data`` less ``v``, with ``nid, i, j, qe``, by NumPy over Arrow batches, which pays for large maps; the codebook (``limit`` numbers at most) goes with the task."""
     rows = gathered(codebook, limit)
     w = np.array([r.w for r in rows])
     nid, i, j = (np.array([r[k] for r in rows], np.int32) for k in ("nid", "i", "j"))
@@ -83,7 +83,7 @@ def assign_arrow(data: DataFrame, codebook: DataFrame, limit: int = SENT) -> Dat
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = rows_of(batch.column("v"), w.shape[1])
+            x = rows_of(batch.column(batch.schema.get_field_index("v")), w.shape[1])
             best, far = np.empty(len(x), np.int64), np.empty(len(x))
             step = max(1, (1 << 20) // max(1, len(w)))
             for a in range(0, len(x), step):
@@ -91,9 +91,11 @@ def assign_arrow(data: DataFrame, codebook: DataFrame, limit: int = SENT) -> Dat
                 # The product finds the nearest, whose distance is then taken from the difference.
                 near = (square[None, :] - 2 * (some @ w.T)).argmin(1)
                 best[a : a + step], far[a : a + step] = near, np.sqrt(((some - w[near]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nid[best]), pa.array(i[best]), pa.array(j[best]), pa.array(far)], ["id", "nid", "i", "j", "qe"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(nid[best]), pa.array(i[best]), pa.array(j[best]), pa.array(far)], [*keep, "nid", "i", "j", "qe"])
 
-    return data.select("id", "v").mapInArrow(work, "id long, nid int, i int, j int, qe double")
+    keep = [c for c in data.columns if c != "v"]
+    kinds = {f.name: f.dataType.simpleString() for f in data.schema}
+    return data.mapInArrow(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "nid int, i int, j int, qe double"]))
 
 
 def nearest(data: DataFrame, codebook: DataFrame, k: int) -> DataFrame:

@@ -54,6 +54,29 @@ def descriptors(atoms: DataFrame) -> DataFrame:
     return whole.select("mol", of("p").alias("v"))
 
 
+# The class of each residue type; others have none.
+RESIDUES = {
+    "LYS": "plus", "ARG": "plus", "ASP": "minus", "GLU": "minus", "GLN": "polar", "ASN": "polar", "SER": "polar", "CYS": "polar", "THR": "polar",
+    "ILE": "hydrophobic", "VAL": "hydrophobic", "LEU": "hydrophobic", "MET": "hydrophobic", "PHE": "hydrophobic", "TYR": "hydrophobic", "TRP": "hydrophobic",
+}
+
+
+def residue_descriptors(atoms: DataFrame) -> DataFrame:
+    """``atoms(mol, atom_id, x, y, z, res_type)`` -> ``(mol, v)``: like ``descriptors``, with the classes of residue types in place of charges."""
+
+    @F.arrow_udf("array<double>")
+    def of(rows: pa.Array) -> pa.Array:
+        found = []
+        for row in rows:
+            points = np.array([[p["x"], p["y"], p["z"]] for p in row.as_py()], float).reshape(-1, 3)
+            kinds = np.array([RESIDUES.get(p["res_type"]) for p in row.as_py()], object)
+            found.append(np.concatenate([principal_axes(points), *(principal_axes(points[kinds == k]) for k in PARTS[1:])]).tolist())
+        return pa.array(found, pa.list_(pa.float64()))
+
+    whole = atoms.groupBy("mol").agg(F.sort_array(F.collect_list(F.struct("atom_id", "x", "y", "z", "res_type"))).alias("p"))
+    return whole.select("mol", of("p").alias("v"))
+
+
 def rotated(v: Column, turn: Column) -> Column:
     """Each triple of ``v`` turned by the 3 x 3 matrix ``turn`` (row by row)."""
     row = lambda k, r: F.aggregate(F.sequence(F.lit(0), F.lit(2)), F.lit(0.0), lambda s, c: s + F.get(turn, F.lit(3 * r) + c) * F.get(v, 3 * k + c))

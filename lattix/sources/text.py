@@ -95,7 +95,7 @@ def read_rms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mol2(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, mol, atom_id, atom_name, x, y, z, atom_type, res_id, res_type, charge)`` of ATOM sections; rows without numbers are dropped.
+    """``(path, mol, atom_id, atom_name, x, y, z, atom_type, res_id, res_type, charge, residue)`` of ATOM sections; rows without numbers are dropped.
 
     A line belongs to the last section mark before it, found by a running maximum within its file.
     """
@@ -108,7 +108,7 @@ def read_mol2(spark: SparkSession, path: str) -> DataFrame:
     x = F.split(F.trim("value"), r"\s+")
     rows = rows.where((F.trim("section") == "@<TRIPOS>ATOM") & (F.col("value") != F.col("section"))).where(F.size(x) >= 9)
     num = lambda k: F.expr(f"try_cast(split(trim(value), '\\\\s+')[{k}] as double)")
-    out = rows.select("path", "mol", x[0].try_cast("int").alias("atom_id"), x[1].alias("atom_name"), num(2).alias("x"), num(3).alias("y"), num(4).alias("z"), x[5].alias("atom_type"), x[6].try_cast("int").alias("res_id"), F.substring(x[7], 1, 3).alias("res_type"), num(8).alias("charge"))
+    out = rows.select("path", "mol", x[0].try_cast("int").alias("atom_id"), x[1].alias("atom_name"), num(2).alias("x"), num(3).alias("y"), num(4).alias("z"), x[5].alias("atom_type"), x[6].try_cast("int").alias("res_id"), F.substring(x[7], 1, 3).alias("res_type"), num(8).alias("charge"), x[7].alias("residue"))
     return out.where("not (isnan(x) or isnan(y) or isnan(z)) and x is not null and y is not null and z is not null")
 
 
@@ -118,6 +118,15 @@ def write_points(field: DataFrame, path: str, spacing: float = 1.0) -> None:
     field.where("val <> 0").coalesce(1).sortWithinPartitions("z", "y", "x").select(text.alias("value")).write.text(path)
 
 
+def mol2_lines(atoms: DataFrame) -> DataFrame:
+    """``(key, at, value)`` of ``read_mol2`` rows, for ``write_structures``: a MOLECULE and ATOM section of each molecule and an empty BOND section."""
+    told = F.concat_ws("\t", *(F.col(c).cast("string") for c in ("atom_id", "atom_name", "x", "y", "z", "atom_type", "res_id", "residue", "charge")))
+    head = atoms.select("mol").distinct().select("mol", F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("n"), v.alias("value")) for k, v in enumerate((F.lit("@<TRIPOS>MOLECULE"), F.col("mol"), F.lit("@<TRIPOS>ATOM"), F.lit("@<TRIPOS>BOND")))))).alias("x"))
+    rows = atoms.select("mol", F.struct(F.lit(1).alias("part"), F.col("atom_id").cast("long").alias("n")).alias("at"), told.alias("value"))
+    edges = head.select("mol", F.struct(F.when(F.col("x.n") < 3, 0).otherwise(2).alias("part"), F.col("x.n").alias("n")).alias("at"), "x.value")
+    return edges.unionByName(rows).withColumnRenamed("mol", "key")
+
+
 def sections(lines: DataFrame, tags: list[str]) -> DataFrame:
     """``(name, kind)``: the lines between a tag and its next appearance, comments (#) and blanks left out."""
     w = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
