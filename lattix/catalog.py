@@ -592,11 +592,29 @@ def bmu_transitions(t: Tables) -> DataFrame:
     return project.transitions(t.walk, ["user_id"], ["ts", "event_id"])
 
 
-@query(WALK + ", s AS (SELECT nid, ((di + 6) % 4) - 2 AS a, ((dj + 6) % 4) - 2 AS b FROM states WHERE dst IS NOT NULL) SELECT nid, round(sum(a / sqrt(a * a + b * b)), 6) + 0.0 AS di, round(sum(b / sqrt(a * a + b * b)), 6) + 0.0 AS dj, count(*) AS moves FROM s WHERE a <> 0 OR b <> 0 GROUP BY nid")
+_IMAGE = "CASE WHEN 2 * {d} > 4 THEN {d} - 4 WHEN 2 * {d} < -4 THEN {d} + 4 ELSE {d} END"
+STEPS = WALK + f", s AS (SELECT nid, dst, {_IMAGE.format(d='di')} AS a, {_IMAGE.format(d='dj')} AS b FROM states WHERE dst IS NOT NULL)\n"
+
+
+def _flow(at: str, of: str, sign: str) -> str:
+    return STEPS + f"SELECT {at} AS nid, round({of}({sign}a / sqrt(a * a + b * b)), 6) + 0.0 AS di, round({of}({sign}b / sqrt(a * a + b * b)), 6) + 0.0 AS dj, count(*) AS moves FROM s WHERE a <> 0 OR b <> 0 GROUP BY {at}"
+
+
+@query(_flow("nid", "sum", ""))
 def flow_map(t: Tables) -> DataFrame:
     return project.flow(t.walk, ["user_id"], ["ts", "event_id"], ROWS, COLS)
 
 
+@query(_flow("dst", "avg", "-"))
+def inward_flow(t: Tables) -> DataFrame:
+    return project.flow(t.walk, ["user_id"], ["ts", "event_id"], ROWS, COLS, inward=True, normed=True)
+
+
+@query(WALK + "SELECT user_id, nid, max(k) AS last FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM states) WHERE dst IS NOT NULL GROUP BY user_id, nid")
+def last_visits(t: Tables) -> DataFrame:
+    return project.last_visits(t.walk, ["user_id"], ["ts", "event_id"])
+
+
 @query(WALK + "SELECT src, dst, n, ceil(n * 6 / (SELECT max(n) FROM moves WHERE src <> dst))::INTEGER AS class FROM moves WHERE src <> dst")
 def flux_classes(t: Tables) -> DataFrame:
     return project.flux_classes(project.transitions(t.walk, ["user_id"], ["ts", "event_id"]), 6)

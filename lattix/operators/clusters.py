@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lattix.functions.vectors import distance
 from lattix.operators.grid import neighbours
+from lattix.plans.tables import BLOCK, in_blocks, with_running_max
 
 
 def neuron_pairs(codebook: DataFrame) -> DataFrame:
@@ -133,6 +134,9 @@ def linkage(codebook: DataFrame) -> DataFrame:
 
 
 def convergence(steps: DataFrame, error: str = "qe", by: str = "id") -> DataFrame:
-    """``(*, rho, epsilon)``: largest error of the training steps so far, and each error as a share of it."""
-    rho = F.max(error).over(Window.partitionBy(by).orderBy("t"))
-    return steps.withColumn("rho", rho).withColumn("epsilon", F.col(error) / F.nullif(F.col("rho"), F.lit(0.0)))
+    """``(*, rho, epsilon)``: largest error of the training steps so far, and each error as a share of it.
+
+    Steps are sorted in blocks, so that a series of any length is spread over tasks.
+    """
+    rows = with_running_max(in_blocks(steps, [by], ["t"]), [by], ["t"], error, "rho").drop(BLOCK)
+    return rows.withColumn("epsilon", F.col(error) / F.nullif(F.col("rho"), F.lit(0.0)))

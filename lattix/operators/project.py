@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattix.operators.grid import dense
+from lattix.plans.tables import BLOCK, in_blocks, with_next, with_number
 
 
 def density(bmus: DataFrame, cells: DataFrame) -> DataFrame:
@@ -50,19 +51,40 @@ def co_membership(a: DataFrame, b: DataFrame, id: str = "id", label: str = "nid"
 
 
 def transitions(ordered: DataFrame, key: list[str], order: list[str], state: str = "nid") -> DataFrame:
-    """``(src, dst, n)``: moves between successive states of each trajectory."""
-    following = F.lead(state).over(Window.partitionBy(*key).orderBy(*order))
-    moved = ordered.withColumn("dst", following).where(F.col("dst").isNotNull())
+    """``(src, dst, n)``: moves between successive states of each trajectory, which are sorted in blocks, so that one of any length is spread over tasks."""
+    rows = in_blocks(ordered.select(*key, *order, state), key, order)
+    moved = with_next(rows, key, order, F.col(state), "dst").where(F.col("dst").isNotNull())
     return moved.groupBy(F.col(state).alias("src"), "dst").agg(F.count("*").alias("n"))
 
 
-def flow(ordered: DataFrame, key: list[str], order: list[str], rows: int, cols: int) -> DataFrame:
-    """``(nid, di, dj, moves)``: sum of unit vectors from each cell to the nearest image of the next on the torus; stays are skipped."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    step = lambda c, n: F.pmod(F.lead(c).over(w) - F.col(c) + n // 2, F.lit(n)) - n // 2
-    moved = ordered.withColumn("a", step("i", rows)).withColumn("b", step("j", cols)).where("a is not null and (a <> 0 or b <> 0)")
-    length = F.sqrt((F.col("a") * F.col("a") + F.col("b") * F.col("b")).cast("double"))
-    return moved.groupBy("nid").agg(F.sum(F.col("a") / length).alias("di"), F.sum(F.col("b") / length).alias("dj"), F.count("*").alias("moves"))
+def flow(ordered: DataFrame, key: list[str], order: list[str], rows: int, cols: int, inward: bool = False, normed: bool = False) -> DataFrame:
+    """``(nid, di, dj, moves)``: sum of unit vectors from each cell to the nearest image of the next on the torus; stays are skipped.
+
+    ``inward``: from each cell to where the trajectory came from; ``normed``: the mean in place of the sum.
+    """
+    moved = steps(ordered, key, order, rows, cols).where("a <> 0 or b <> 0")
+    length = F.sqrt((F.col("a") * F.col("a") + F.col("b") * F.col("b")).cast("double")) * (-1 if inward else 1)
+    of = F.avg if normed else F.sum
+    return moved.groupBy((F.col("next.nid") if inward else F.col("nid")).alias("nid")).agg(of(F.col("a") / length).alias("di"), of(F.col("b") / length).alias("dj"), F.count("*").alias("moves"))
+
+
+def last_visits(ordered: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """``(*key, nid, last)``: the number, from 1, of the last step that a trajectory takes from each cell; its last row takes none."""
+    rows = with_next(with_number(in_blocks(ordered.select(*key, *order, "nid"), key, order), key, order, "number"), key, order, F.lit(True), "more")
+    return rows.where("more").groupBy(*key, "nid").agg(F.max("number").alias("last"))
+
+
+def steps(ordered: DataFrame, key: list[str], order: list[str], rows: int, cols: int) -> DataFrame:
+    """``(*key, *order, nid, i, j, next, a, b)``: each state but a trajectory's last, and the step from it to the nearest image of the next on
+    the torus; of two as near, the one that does not cross the seam."""
+    placed = in_blocks(ordered.select(*key, *order, "nid", "i", "j"), key, order)
+    moved = with_next(placed, key, order, F.struct("nid", "i", "j"), "next").where("next is not null").drop(BLOCK)
+
+    def step(c: str, n: int) -> Column:
+        d = F.col(f"next.{c}") - F.col(c)
+        return F.when(2 * d > n, d - n).when(2 * d < -n, d + n).otherwise(d)
+
+    return moved.withColumn("a", step("i", rows)).withColumn("b", step("j", cols))
 
 
 def flux_classes(moves: DataFrame, classes: int) -> DataFrame:
