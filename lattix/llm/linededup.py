@@ -28,11 +28,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(id, th, start, length, numbers)``: runs of lines of ``docs(id, th, lines)`` that an earlier place of the corpus has too.
 
     ``lines`` are the trimmed lines with a word and their line numbers, ``(id, th)`` names and orders the documents. Ranks of blocks of 1, 2,
-    4, ... lines come by prefix doubling: the rank of a block is that of its halves' ranks sorted as pairs (a suffix
-    array of the corpus cut at that length; runs end with their document). Blocks that occur once have no rank and
-    drop out. All places with a common prefix of d lines are one longest-common-prefix interval, named by the ranks of
-    the two blocks that cover d lines. At each line start the intervals just long enough for ``min_words`` words, forward and
-    backward, are formed, and all places but the interval's earliest are returned. Any repeated run of ``min_words``
+    4, ... lines come by prefix doubling: the rank of a block is that of its halves' ranks sorted as pairs; runs end with
+    their document. Blocks that occur once have no rank and drop out. No order of whole suffixes and no lengths of
+    common prefixes are made: doubling ends at the lines that hold ``min_words`` words, and all places that share d
+    lines from there are known by the ranks of the two blocks that cover these. At each line start the pieces just long enough for ``min_words`` words, forward and
+    backward, are formed, and all places but the earliest of a piece are returned. Any repeated run of ``min_words``
     words is the union of such pieces, so their union is that of the maximal repeated runs; a line has a word at
     least, so a piece has no more than ``min_words`` lines.
     """
