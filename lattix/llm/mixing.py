@@ -23,7 +23,7 @@ def source_targets(sizes: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
     Sources by code point, null last, weigh 1, 2, 3, repeating. Each gets its share of the sum of all sizes; targets
     stop at ``most`` times the source's size and the excess is shared by weight among the others until none is above.
     The result of that process is min(most * size, level * weight): sources are sorted by size / weight and the level
-    is the first that no later source exceeds. One row a source, ordered in one window.
+    is the first that no later source exceeds; of equal ratios the first has the highest. One row a source, ordered in one window.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     ordered = by_source.withColumn("class", (F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1) % 3 + 1)
@@ -33,7 +33,7 @@ def source_targets(sizes: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
     total = F.sum("source_size").over(Window.partitionBy())
     level = (total - F.coalesce(F.sum(cap).over(before), F.lit(0))) / F.sum("class").over(after)
     leveled = ordered.withColumn("level", F.when(level * F.col("class") <= cap, level))
-    leveled = leveled.withColumn("level", F.max_by("level", -F.col("source_size") * 0 + F.when(F.col("level").isNotNull(), -cap / F.col("class"))).over(Window.partitionBy()))
+    leveled = leveled.withColumn("level", F.max_by("level", F.when(F.col("level").isNotNull(), F.struct((-cap / F.col("class")).alias("ratio"), "level"))).over(Window.partitionBy()))
     return leveled.select("source", "class", "source_size", "docs", F.least(cap.cast("double"), F.coalesce(F.col("level") * F.col("class"), cap.cast("double"))).alias("target"))
 
 
@@ -109,10 +109,10 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     Visits are found without the texts and joined to them by id and text hash; rows that repeat both are one document
     with the visits of all. Other columns pass, whatever their names.
     """
-    hashed = packed(docs, "doc_id", "text", "source").withColumn("__th", F.xxhash64("text"))
-    mixed = mix(hashed, seed, cut_last=False, keep=["__th"]).where(F.size("visits") > 0)
-    visits = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("__th").alias("__h")).agg(F.flatten(F.collect_list("visits")).alias("__visits"))
-    once = hashed.repartition("doc_id", "__th").dropDuplicates(["doc_id", "__th"])
-    read = once.join(visits, once["doc_id"].eqNullSafe(visits["__id"]) & (once["__th"] == visits["__h"]))
-    read = read.select("doc_id", "text", "source", "row", F.explode("__visits").alias("__visit"))
+    hashed = packed(docs, "doc_id", "text", "source").withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("hash")))
+    mixed = mix(hashed, seed, cut_last=False, keep=["__key"]).where(F.size("visits") > 0)
+    visits = mixed.groupBy("__key").agg(F.flatten(F.collect_list("visits")).alias("__visits"))
+    # One key for the join and the repeated rows, so that texts are shuffled once for both. A null id in it is like another.
+    once = hashed.join(visits, "__key").dropDuplicates(["__key"])
+    read = once.select("doc_id", "text", "source", "row", F.explode("__visits").alias("__visit"))
     return unpacked(read.orderBy("__visit.position", "doc_id", "__visit.epoch"), docs.columns, "doc_id", "text", "source")

@@ -123,7 +123,7 @@ WITH sizes AS ({sizes}),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 classed AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS class, 3 * source_size AS cap FROM sources),
 leveled AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / class, class, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(class) OVER (ORDER BY cap / class, class, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM classed),
-chosen AS (SELECT arg_min(level, cap / class) AS level FROM leveled WHERE level * class <= cap),
+chosen AS (SELECT arg_min(level, {{'ratio': cap / class, 'less': -level}}) AS level FROM leveled WHERE level * class <= cap),
 targets AS (SELECT source, source_size, class, CASE WHEN chosen.level IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, chosen.level * class) END AS target FROM leveled LEFT JOIN chosen ON true),
 placed AS (SELECT s.doc_id, s.size, t.*, (sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR, 'null') || ':0'), s.doc_id NULLS FIRST, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size)::BIGINT AS before FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 visited AS (SELECT *, {', '.join(f'{w} AS w{e}' for e, w in enumerate(words))}, least(before / target, 1.0) AS s FROM placed)

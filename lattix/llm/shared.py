@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,10 +46,39 @@ def stash(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     Spark knows its size on disk, so it broadcasts it in a join only below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     path = f"{shared_dir(df.sparkSession)}/lattix-{tag}-{uuid.uuid4().hex}"
+    for paths in _recording:
+        paths.append(path)
     df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """While it lasts, ``stash`` adds the paths that it writes to ``paths``."""
+    _recording.append(paths)
+    try:
+        yield
+    finally:
+        _recording.remove(paths)
+
+
+def clear(docs: DataFrame, paths: list[str]) -> None:
+    """Deletes the tables at ``paths`` and empties the list, if ``docs`` is read from files and from none of them.
+
+    For the beginning of a step whose input has been written elsewhere: then nothing reads what the steps before it
+    wrote for themselves. A table that is not read from files clears nothing.
+    """
+    files = docs.inputFiles()
+    if files and not any(p.rsplit("/", 1)[-1] in f for f in files for p in paths):
+        spark, jvm = docs.sparkSession, docs.sparkSession._jvm
+        while paths:
+            path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def quoted(name: str) -> Column:
     """A column by its whole name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")

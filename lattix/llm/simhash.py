@@ -304,7 +304,7 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) ->
     ends = groups.select(F.col("fp").alias("a"), F.col("least").alias("x")), groups.select(F.col("fp").alias("b"), F.col("least").alias("y"))
     near = link_fingerprints(groups).join(ends[0], "a").join(ends[1], "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b")
     pairs = stash(inside.unionByName(stars).unionByName(equal).unionByName(near).distinct(), "pairs")
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    used = stash(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "used")
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(used, "node", "left_semi").dropDuplicates(["node"])
     shingles = stash(_shingles(texts, shingle), "shingles")
     both = pairs.join(shingles.withColumnRenamed("shingles", "x"), F.col("a") == F.col("node")).drop("node").join(shingles.withColumnRenamed("shingles", "y"), F.col("b") == F.col("node"))
@@ -320,5 +320,9 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
     """
     nodes, pairs = similar_pairs(docs, similarity, shingle)
     gone = components(pairs).where("node <> root").select("node")
-    kept = nodes.join(gone, "node", "left_anti").select(F.col("node").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    kept = stash(nodes.join(gone, "node", "left_anti").distinct(), "kept")
+    # What goes is mostly little: written first, it is sent to the texts if its size allows it, and these are not shuffled.
+    ids = docs.select(F.col("doc_id").alias("gone_id")).where("gone_id is not null").distinct()
+    out = stash(ids.join(kept, ids["gone_id"] == kept["node"], "left_anti"), "gone")
+    left = docs.join(out, docs["doc_id"] == out["gone_id"], "left_anti")
+    return left if not kept.where("node is null").isEmpty() else left.where(F.col("doc_id").isNotNull())

@@ -73,3 +73,20 @@ def test_stages_pass_columns_of_any_name(spark, sf):
     found = {r[0]: tuple(r)[5:] for r in table.collect()}
     assert found == {1: row[5:], 2: tuple(names)}
     assert corpus_pipeline.sequences(spark, table, sf).count() >= 2
+
+
+def test_a_stage_deletes_what_those_before_it_left(spark, tmp_path):
+    import os
+
+    words = " ".join(f"word{k} is the {k * 7 % 31}th" for k in range(60))
+    docs = spark.createDataFrame([(1, words, "en", "a", 5), (2, words + " more", "en", "b", 6), (None, words.replace("is", "was"), "de", None, 1), (None, words.replace("is", "be"), "de", None, 2), (3, words + " more", "en", "b", 7)], "doc_id long, text string, lang string, source string, n_chars long")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [p.removeprefix("file://") for p in corpus_pipeline._left]
+        docs = stage(spark, docs, "")
+        assert k < 2 or before and not any(os.path.exists(p) for p in before), name
+        assert all(os.path.exists(p.removeprefix("file://")) for p in corpus_pipeline._left)
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if name == "simhash near-dedup":
+            assert sorted((r.doc_id for r in docs.collect()), key=str) == [1, None, None]
+    assert docs.count() >= 3

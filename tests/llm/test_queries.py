@@ -443,6 +443,15 @@ def test_licenses_as_brute_force(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_targets_of_sources_with_equal_ratios(spark):
+    sizes = spark.createDataFrame([("a", 240), (None, 240), (None, 240)], "source string, size long")
+    assert {r.source: r.target for r in mixing.source_targets(sizes).collect()} == {"a": 240.0, None: 480.0}
+    sizes = spark.createDataFrame([("a", 10), ("b", 20), ("c", 30), ("d", 1000)], "source string, size long")
+    # Weights 1, 2, 3, 1: the first three stop at three times their sizes, the last has the rest.
+    assert {r.source: r.target for r in mixing.source_targets(sizes).collect()} == {"a": 30.0, "b": 60.0, "c": 90.0, "d": 880.0}
+    assert all(r.target > 0 for r in mixing.source_targets(spark.createDataFrame([(s, 5 * k) for s, k in zip("abcdef", (1, 2, 3, 1, 2, 3))], "source string, size long")).collect())
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "First thought.\n\nSecond thought."), (1, 1, "user", "A reply."), (2, 0, "user", "> second   THOUGHT.\nI agree."), (2, 1, "user", "On Monday X wrote:\n> I agree.\n>> Second thought.\nSo do I."), (3, 0, "user", None), (None, 0, "user", "> A reply.")]
     got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
