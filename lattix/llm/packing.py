@@ -25,6 +25,9 @@ GENERATIONS = 16
 #: Chance that a well-filled bin of the better parent is injected; emptiest bins that are opened besides.
 INJECTED = 0.05
 OPENED = 2
+#: A child is mutated so many times at most, and until so many bring no gain: so many of its emptiest bins and as many
+#: others are opened and packed again.
+MUTATIONS, IDLE, REPACKED = 48, 10, 16
 #: Bins of more documents exchange single ones only; more displaced ones than this are not tried in pairs.
 PAIRED_BIN, PAIRED_LOOSE = 8, 64
 #: An island's turn ends after so many generations without a gain.
@@ -137,6 +140,56 @@ def cross(sizes: list[int], base: list[Bin], donor: list[Bin], capacity: int, rn
     return best_fit(sizes, loose, [(fill, b[:]) for fill, b in whole + injected], capacity)
 
 
+def fullest(sizes: list[int], items: list[int], capacity: int) -> list[Bin]:
+    """``items`` packed one bin after another: each gets the largest item left and those others that fill it furthest.
+
+    Bit k of ``sums[n]`` says whether some of the first n others sum to k; they descend, so large ones are taken first.
+    """
+    items, bins = sorted(items, key=lambda i: -sizes[i]), []
+    left = sum([sizes[i] for i in items])
+    while left > capacity:
+        first, others = items[0], items[1:]
+        room = capacity - sizes[first]
+        within, sums = (1 << room + 1) - 1, [1]
+        for i in others:
+            sums.append((sums[-1] | sums[-1] << sizes[i]) & within)
+            if sums[-1] >> room:
+                break
+        n, more = len(sums) - 1, sums[-1].bit_length() - 1
+        left -= sizes[first] + more
+        bins.append((sizes[first] + more, taken := [first]))
+        apart = set()
+        while more:
+            n -= 1
+            if not sums[n] >> more & 1:
+                apart.add(n)
+                taken.append(others[n])
+                more -= sizes[others[n]]
+        items = [i for k, i in enumerate(others) if k not in apart]
+    return bins + [(left, items)] if items else bins
+
+
+def mutate(sizes: list[int], bins: list[Bin], enough: int, capacity: int, rng: random.Random, times: int = MUTATIONS) -> list[Bin]:
+    """Open ``REPACKED`` of the emptiest bins and as many others, and pack what they held again by ``fullest``, some ``times``.
+
+    Room gathers so in few bins, until one is spared. What needs more bins than before is undone; ends at ``enough``
+    or after ``IDLE`` times without better ``fitness``.
+    """
+    best, idle = fitness(bins, capacity), 0
+    for _ in range(times):
+        if len(bins) <= enough or idle == IDLE:
+            break
+        bins.sort(key=lambda b: b[0])
+        least = min(REPACKED, len(bins))
+        opened = {*range(least), *rng.sample(range(least, len(bins)), min(REPACKED, len(bins) - least))}
+        again = fullest(sizes, [i for k in sorted(opened) for i in bins[k][1]], capacity)
+        if len(again) <= len(opened):
+            bins = [b for k, b in enumerate(bins) if k not in opened] + again
+        score = fitness(bins, capacity)
+        best, idle = (score, 0) if score > best else (best, idle + 1)
+    return bins
+
+
 def least_bins(sizes: list[int], capacity: int = CAPACITY) -> int:
     """So many bins are needed for certain: by the sum of sizes, and for each least size, since items over half need one
     each, and those of that size or more only fit beside such as leave them room."""
@@ -151,11 +204,11 @@ def least_bins(sizes: list[int], capacity: int = CAPACITY) -> int:
     return max(-(-int(upto[-1]) // capacity), len(s) - int(half), int(by_size.max(initial=0)))
 
 
-def evolve(sizes: list[int], elites: list[list[list[int]]], seed: int, capacity: int = CAPACITY, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
+def evolve(sizes: list[int], elites: list[list[list[int]]], seed: int, capacity: int = CAPACITY, population: int = POPULATION, generations: int = GENERATIONS, mutations: int = 0) -> list[list[int]]:
     """The best packing of items ``0..n-1`` that an island finds, from ``elites`` and best-fit packings in noisy descending order.
 
-    Two parents are drawn, the better one is the donor; the child takes the place of the worst if it is better than
-    that and its fitness is new. Ends early where the best has as few bins as are needed for certain (``least_bins``),
+    Two parents are drawn, the better one is the donor; the child is mutated up to ``mutations`` times and takes the place of the worst if it is
+    better than that and its fitness is new. Ends early where the best has as few bins as are needed for certain (``least_bins``),
     or after ``PATIENCE`` generations without a better best.
     """
     rng = random.Random(seed)
@@ -174,6 +227,7 @@ def evolve(sizes: list[int], elites: list[list[list[int]]], seed: int, capacity:
         a, b = rng.sample(range(len(people)), 2)
         base, donor = (a, b) if scores[a] < scores[b] else (b, a)
         child = cross(sizes, people[base if rng.random() < 0.5 else donor], people[donor], capacity, rng)
+        child = mutate(sizes, child, enough, capacity, rng, mutations)
         score, worst = fitness(child, capacity), min(range(len(people)), key=scores.__getitem__)
         if score > scores[worst] and score not in scores:
             people[worst], scores[worst] = child, score
@@ -201,7 +255,7 @@ def _epoch(capacity: int, epoch: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 block, island, sizes, *elites = (batch.column(k)[i].as_py() for k in range(batch.num_columns))
-                bins = evolve(sizes, [_bins(e) for e in elites if e is not None], hash((block, island, epoch)), capacity)
+                bins = evolve(sizes, [_bins(e) for e in elites if e is not None], hash((block, island, epoch)), capacity, mutations=MUTATIONS)
                 solved = len(bins) <= least_bins(sizes, capacity)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([island], pa.int32()), pa.array([sizes], pa.list_(pa.int32())), pa.array([_labels(len(sizes), bins)], pa.list_(pa.int32())), pa.array([len(bins)], pa.int32()), pa.array([solved])], ["block", "island", "sizes", "elite", "bins", "solved"])
 
@@ -214,15 +268,17 @@ _STATE = "block long, island int, sizes array<int>, elite array<int>, bins int,
 def _solve(blocks: DataFrame, n: int, capacity: int) -> DataFrame:
     """``n`` ``blocks(block, sizes)`` -> ``(block, elite)``: for each item its bin, from the best island.
 
-    Blocks that an island packs in as few bins as are needed for certain leave the epochs. The partitions are counted
-    by work, not by bytes: few islands a task, though their rows are small.
+    Blocks that an island packs in as few bins as are needed for certain leave the epochs, which end where none is left.
+    The partitions are counted by work, not by bytes: few islands a task, though their rows are small.
     """
-    tasks = max(1, -(-n * ISLANDS // 4))
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
     first = stash(blocks.select("block", F.lit(0).alias("island"), "sizes").repartition(max(1, -(-n // 4)), "block").mapInArrow(_epoch(capacity, 0), _STATE), "islands")
     over = first.where("not solved")
-    start = over.select("block", islands, "sizes", "elite").select("block", "island", "sizes", F.when(F.col("island") == 0, F.col("elite")).alias("elite"))
     done, state = first.select("block", "elite", "bins", "island"), None
+    if not (left := over.count()):
+        return done.select("block", "elite")
+    tasks = max(1, -(-left * ISLANDS // 4))
+    start = over.select("block", islands, "sizes", "elite").select("block", "island", "sizes", F.when(F.col("island") == 0, F.col("elite")).alias("elite"))
     for epoch in range(1, EPOCHS + 1):
         if state is None:
             asked = start

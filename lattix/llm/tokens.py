@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ MEMO_BYTES = 160 << 20
 #: Bytes of an entry besides its word and ids.
 ENTRY_BYTES = 230
 #: Characters that are split into words at once: longer texts are cut at blanks, so neither they nor their words pile up.
-CHUNK = 1 << 18
+CHUNK = 1 << 20
 #: Groups of words whose encodings are held at once.
 GROUPS = 64
 #: Words that are encoded in one call, as one text.
@@ -35,6 +37,29 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Steps that leave a lower-cased Latin-1 word of letters as it is and whole, by the names that tokenizer files give them.
+IDLE_NORMALIZERS = ("NFC", "Lowercase", {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+WHOLE_WORDS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def _bare(tokenizer):
+    """A tokenizer with the same model that gives lower-cased Latin-1 words of letters the same ids with fewer steps; ``tokenizer`` itself where its steps are others."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    def steps(part, names: str) -> list:
+        told = json.loads(part.__getstate__()) if part else {}
+        return told.get(names, [told]) if told else []
+
+    normal, parts = steps(tokenizer.normalizer, "normalizers"), steps(tokenizer.pre_tokenizer, "pretokenizers")
+    if not all(x in IDLE_NORMALIZERS or x["type"] in IDLE_NORMALIZERS for x in normal) or len(parts) != 2 or parts[0] != WHOLE_WORDS:
+        return tokenizer
+    if parts[1]["type"] != "ByteLevel" or parts[1]["add_prefix_space"] or parts[1]["use_regex"]:
+        return tokenizer
+    bare = Tokenizer(tokenizer.model)  # shared, not copied
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return bare
+
+
 class WordEncoder:
     """``encode(text)`` gives what ``Tokenizer.encode(text, add_special_tokens=False).ids`` gives, as little-endian uint32 bytes.
 
@@ -55,6 +80,7 @@ class WordEncoder:
             raise ValueError("the tokenizer has no suffix for the end of words")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+        self.quick = _bare(self.tokenizer)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.memo = memo
@@ -76,37 +102,59 @@ class WordEncoder:
         return out + self._encode(group)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         if self.held > self.memo // 2:
             self.old, self.young, self.held = self.young, {}, 0
-        split, young, old = [], self.young, self.old
-        for text in texts:
+        lower, others = [], {}
+        for k, text in enumerate(texts):
             try:
                 raw = text.encode("latin-1")
                 common = len(raw.translate(None, RARE)) == len(raw)
             except UnicodeEncodeError:
                 common = False
             # Lower-cased as the tokenizer does; other scripts and rare white space are left to it.
-            split.append(text.lower().split() if common else BLANK.split(text))
-        new = set().union(*split).difference(young)
-        young.update([(w, old[w]) for w in new if w in old])
-        self._learn(new)
-        get = young.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    def _learn(self, words: set[str]) -> None:
-        young, plain, odd, later = self.young, [], [], []
+            lower.append(text.lower() if common else "")
+            if not common:
+                others[k] = BLANK.split(text)
+        # Each distinct word of the texts meets the memo once.
+        split = pc.ascii_split_whitespace(pa.array(lower, pa.string()))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = dict(zip(words, map(self.young.get, words)))
+        self._learn(known, self.quick)
+        ids = pa.array(list(known.values()), pa.binary()).take(coded.indices)
+        at, raw = np.frombuffer(ids.buffers()[1], np.int32)[split.offsets.to_numpy()].tolist(), ids.buffers()[2]
+        out = [raw[a:b].to_pybytes() for a, b in zip(at, at[1:])]
+        if others:
+            words = set().union(*others.values())
+            known = dict(zip(words, map(self.young.get, words)))
+            self._learn(known, self.tokenizer)
+            for k, words in others.items():
+                out[k] = b"".join(map(known.__getitem__, words))
+        return out
+
+    def _learn(self, known: dict[str, bytes | None], tokenizer) -> None:
+        """Gives the words of ``known`` that have no ids theirs, and the memo too. ``tokenizer``: for words of letters."""
+        young, new, plain, odd, later = self.young, {}, [], [], []
+        words = [w for w, ids in known.items() if ids is None]
+        if old := self.old:
+            new.update([(w, ids) for w, ids in zip(words, map(old.get, words)) if ids is not None])
+            words = [w for w in words if w not in new]
         for w in words:
-            if w in young:
-                continue
             if w.isalpha():
                 plain.append(w)
             elif (core := w.rstrip(punctuation)).isalpha() and core.lower().isalpha():
                 later.append((w, core, w[len(core) :]))
             else:
                 odd.append(w)
+        fresh = set(words)
         for group, at in ((plain, 1), (odd, 2)):
-            group += {x for part in later if (x := part[at]) not in young and x not in words}
-        encode = self.tokenizer.encode_batch_fast
+            parts = list({part[at] for part in later}.difference(fresh, new))
+            met = dict(zip(parts, map(young.get, parts)))
+            group += [x for x, ids in met.items() if ids is None]
+            new.update([(x, ids) for x, ids in met.items() if ids is not None])
+        encode = tokenizer.encode_batch_fast
         for at in range(0, len(plain), JOINED * GROUPS):
             groups = [plain[i : i + JOINED] for i in range(at, min(at + JOINED * GROUPS, len(plain)), JOINED)]
             for group, found in zip(groups, encode([" ".join(g) for g in groups], add_special_tokens=False)):
@@ -116,13 +164,15 @@ class WordEncoder:
                     odd.extend(group)
                     continue
                 raw, cuts = ids.tobytes(), [0, *(cuts * 4).tolist()]
-                young.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+                new.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        encode = self.tokenizer.encode_batch_fast
         for at in range(0, len(odd), JOINED * GROUPS):
             slice_ = odd[at : at + JOINED * GROUPS]
-            young.update((w, np.array(found.ids, "<u4").tobytes()) for w, found in zip(slice_, encode(slice_, add_special_tokens=False)))
-        for w, core, tail in later:
-            young[w] = young[core] + young[tail]
-        self.held += sum(map(len, words)) * 2 + len(words) * ENTRY_BYTES
+            new.update((w, np.array(found.ids, "<u4").tobytes()) for w, found in zip(slice_, encode(slice_, add_special_tokens=False)))
+        new.update([(w, new[core] + new[tail]) for w, core, tail in later])
+        young.update(new)
+        known.update([(w, new[w]) for w, ids in known.items() if ids is None])
+        self.held += sum(map(len, new)) * 2 + len(new) * ENTRY_BYTES
 
 
 def _cut(text: str) -> Iterator[str]:
