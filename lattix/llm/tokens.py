@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -21,7 +22,7 @@ MEMO_BYTES = 160 << 20
 #: Bytes of an entry besides its word and ids.
 ENTRY_BYTES = 230
 #: Characters that are split into words at once: longer texts are cut at blanks, so neither they nor their words pile up.
-CHUNK = 1 << 20
+CHUNK = 1 << 21
 #: Groups of words whose encodings are held at once.
 GROUPS = 64
 #: Words that are encoded in one call, as one text.
@@ -87,6 +88,16 @@ class WordEncoder:
         self.held = 0
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        # Words and their ids make no cycles, and there are too many to look for some.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_groups(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_groups(self, texts: list[str | None]) -> list[bytes]:
         out, group, held = [], [], 0
         for text in texts:
             if len(text := text or "") > CHUNK:
